@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, chat, exact_dedup, jaccard, packing, quality, toxicity
+from spanloom.llm import bpe, chat, exact_dedup, jaccard, line_dedup, packing, quality, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_bpe": bpe.query,
     "op3_chat_format": chat.query,
     "op4_packing": packing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op3_chat_format": chat.SQL,
     "op4_packing": packing.SQL.replace("{docs}", "documents"),
     "op8_ngram_jaccard": jaccard.SQL,
