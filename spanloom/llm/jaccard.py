@@ -236,15 +236,14 @@ def _candidates(keys: DataFrame, tau: float) -> DataFrame:
     return keys.alias("l").join(keys.alias("r"), on).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
 
 
-def _tiles(pairs: DataFrame) -> DataFrame:
-    """(block, ta, tb, a, b): near pairs share a block; a large block is cut into square tiles."""
-    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    low = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("low"))
+def _tiles(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(tile, a, b): near pairs share a block; a large block is cut into square tiles."""
+    low = small_or_plain(vertices.select("v", "low"))
     p = pairs.join(low.select(F.col("v").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("v").alias("b"), F.col("low").alias("lb")), "b")
     p = p.select("a", "b", F.least("la", "lb").alias("block"))
     big = p.groupBy("block").count().where(F.col("count") > TILE_PAIRS).select("block", F.ceil(F.sqrt(F.col("count") / TILE_PAIRS)).cast("int").alias("s"))
-    p = p.join(big, "block", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    return p.select("block", F.pmod(F.xxhash64("a"), F.col("s")).cast("int").alias("ta"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("tb"), "a", "b")
+    p = p.join(small_or_plain(materialize(big, "large-blocks")), "block", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    return p.select(F.xxhash64("block", F.pmod(F.xxhash64("a"), F.col("s")), F.pmod(F.xxhash64("b"), F.col("s"))).alias("tile"), "a", "b")
 
 
 def _parity(e: np.ndarray) -> np.ndarray:
@@ -284,9 +283,8 @@ def _verify(tau: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
         for batch in batches:
-            tile = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            elements = batch.column(5)
+            tile, a, b = (batch.column(i).to_pylist() for i in range(3))
+            elements = batch.column(3)
             for i, t in enumerate(tile):
                 if t != at:
                     if pairs:
@@ -302,37 +300,40 @@ def _verify(tau: float):
     return run
 
 
-def _near_sets(features: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
-    """((a, b, jaccard) over distinct sets, (sig, doc_id, copies) with the lowest id of each set)."""
+def _near_sets(features: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((a, b, jaccard) over distinct sets, (sig, first, copies), (v, low, first) of the sets in candidates)."""
     reps = features.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(reps, "sets")
     spare = features.select("sig", "doc_id").join(reps.where("copies > 1").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("sig").alias("s_sig"), F.col("doc_id").alias("s_doc")).distinct()
     spare = materialize(spare, "spare-copies")
     once = features.select("sig", "doc_id", "elements").join(small_or_plain(spare), (F.col("sig") == F.col("s_sig")) & (F.col("doc_id") == F.col("s_doc")), "left_anti")
     cand = materialize(_candidates(key_table(once, tau), tau), "candidates")
-    tiles = materialize(_tiles(cand), "tiles")
-    need = tiles.select("block", "ta", "tb", F.col("a").alias("sig")).union(tiles.select("block", "ta", "tb", F.col("b").alias("sig"))).distinct()
-    wanted = materialize(cand.select(F.col("a").alias("w_sig")).union(cand.select("b")).distinct(), "wanted")
-    sets = once.join(small_or_plain(wanted), F.col("sig") == F.col("w_sig"), "left_semi").select("sig", "elements")
-    left = need.join(sets, "sig").select("block", "ta", "tb", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
-    right = tiles.select("block", "ta", "tb", "a", "b", F.lit(None).cast("binary").alias("elements"))
-    rows = left.union(right).repartition("block", "ta", "tb").sortWithinPartitions("block", "ta", "tb", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets"), reps
+    both = cand.select(F.col("a").alias("v"), F.col("b").alias("u")).union(cand.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    low = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("low"))
+    vertices = materialize(low.join(reps.select(F.col("sig").alias("v"), "first"), "v"), "vertices")
+    tiles = materialize(_tiles(cand, vertices), "tiles")
+    need = tiles.select("tile", F.col("a").alias("sig")).union(tiles.select("tile", F.col("b").alias("sig"))).distinct()
+    sets = once.join(small_or_plain(vertices.select(F.col("v").alias("w_sig"))), F.col("sig") == F.col("w_sig"), "left_semi").select("sig", "elements")
+    left = need.join(sets, "sig").select("tile", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+    rows = left.union(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("elements")))
+    rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets"), reps, vertices
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: near sets by their lowest ids, copies with the lowest id of theirs."""
     features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps = _near_sets(features, tau)
-    name = reps.select("sig", "first")
+    near, reps, vertices = _near_sets(features, tau)
+    name = small_or_plain(vertices.select("v", "first"))
     across = (
-        near.join(name.select(F.col("sig").alias("a"), F.col("first").alias("x")), "a")
-        .join(name.select(F.col("sig").alias("b"), F.col("first").alias("y")), "b")
+        near.join(name.select(F.col("v").alias("a"), F.col("first").alias("x")), "a")
+        .join(name.select(F.col("v").alias("b"), F.col("first").alias("y")), "b")
         .where("x <> y")
         .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
     )
     copies = features.select("sig", "doc_id").join(reps.where("copies > 1").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.union(copies).distinct()
+    # only repeated ids with different sets can give a pair twice
+    return across.union(copies.distinct())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
@@ -342,7 +343,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """
     ship(docs.sparkSession)
     features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps = _near_sets(features, tau)
+    near, reps, _ = _near_sets(features, tau)
     roots = components(near.select("a", "b"))
     member = reps.join(roots.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "first", "copies", F.coalesce("root", "sig").alias("root"))
     stays = member.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("size")).where("size > 1")
