@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import fresh, quoted, ship
 from spanloom.plans.session import materialize, scratch_path, small_or_plain
 
-#: Buckets of the index. At 100 TB take some thousands: a bucket is one task's sort-merge join.
-BUCKETS = 64
-
-
 def digest(text) -> F.Column:
     """SHA-256 of the text as 32 bytes; null for null."""
     return F.unhex(F.sha2(text, 256))
@@ -37,11 +33,14 @@ class DigestIndex:
 
     The folder outlives the session; a new session registers it again under the same layout.
     A join on digest reads it bucket by bucket without an exchange, so however large the
-    index is, only the new batch's digests are shuffled.
+    index is, only the new batch's digests are shuffled. The number of buckets is fixed with
+    the index; by default it is the session's number of shuffle partitions, so that a bucket
+    is as much as one task should join.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
         where = self.path.replace("'", "\\'")
         spark.sql(

@@ -312,9 +312,9 @@ def _near_sets(features: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, D
     low = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("low"))
     vertices = materialize(low.join(reps.select(F.col("sig").alias("v"), "first"), "v"), "vertices")
     tiles = materialize(_tiles(cand, vertices), "tiles")
-    need = tiles.select("tile", F.col("a").alias("sig")).union(tiles.select("tile", F.col("b").alias("sig"))).distinct()
-    sets = once.join(small_or_plain(vertices.select(F.col("v").alias("w_sig"))), F.col("sig") == F.col("w_sig"), "left_semi").select("sig", "elements")
-    left = need.join(sets, "sig").select("tile", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+    need = tiles.select("tile", F.col("a").alias("n_sig")).union(tiles.select("tile", F.col("b"))).distinct()
+    need = materialize(need, "needed")
+    left = once.join(small_or_plain(need), F.col("sig") == F.col("n_sig")).select("tile", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
     rows = left.union(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("elements")))
     rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
     return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets"), reps, vertices
