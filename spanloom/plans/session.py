@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -38,16 +38,23 @@ def get_spark(app: str = "spanloom", cores: int | str = "*", **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, wherever they were started from."""
+    """Make the package importable in Python workers, wherever they were started from.
+
+    The code travels by the shared folder, so an executor that joins later finds it as well.
+    """
     sc = spark.sparkContext
     if sc._conf.get(_SHIPPED) == sc.applicationId:
         return
-    folder = tempfile.mkdtemp(prefix="spanloom-ship-")
-    target = Path(folder, "spanloom_pkg.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_ROOT.rglob("*.py")):
             z.write(p, str(Path(_ROOT.name, p.relative_to(_ROOT))))
-    sc.addPyFile(str(target))
+    path = f"{scratch_path(spark, 'code')}/{_ROOT.name}_pkg.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
     sc._conf.set(_SHIPPED, sc.applicationId)
 
 
@@ -102,6 +109,3 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     n = df.limit(rows + 1).count()
     return F.broadcast(df) if n <= rows else df
 
-
-def env_dir(name: str, default: str) -> str:
-    return os.environ.get(name, default)
