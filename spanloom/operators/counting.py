@@ -59,7 +59,7 @@ def count_in_context(
         return _counted(units.df.select(F.lit(GLOBAL).alias("row_id"), units.item_or_none(unit_key).alias("col_id")))
     ctx = F.lit(GLOBAL) if merge_contexts else contexts.item_or_none(context_key)
     if seq_length == 1:
-        if units.recipe and units.recipe[0] is contexts and (fast := _in_place(units, ctx, unit_key, False)) is not None:
+        if units.recipe and units.recipe[0] is contexts and contexts.disjoint and (fast := _in_place(units, ctx, unit_key, False)) is not None:
             return _counted(fast)
         return _counted(contained(units, contexts, {"col_id": units.item_or_none(unit_key)}, {"row_id": ctx}))
     inside = contained(units, contexts, {"ord": F.col("ord"), "item": units.item_or_none(unit_key)}, {"ctx_ord": F.col("ord"), "row_id": ctx})

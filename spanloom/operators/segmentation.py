@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 
 from spanloom.plans.ordinals import with_ordinals
 
-NO_ANNOTATIONS = F.expr("cast(map() as map<string,string>)")
 NONE = "__none__"
 ADDRESS = ("str_index", "start", "end")
 
@@ -18,6 +17,10 @@ ADDRESS = ("str_index", "start", "end")
 FULL, SHOWN = 1000, 5
 
 
+def no_annotations() -> Column:
+    return F.expr("cast(map() as map<string,string>)")
+
+
 class Segmentation:
     """A labelled, ordered set of segments.
 
@@ -35,6 +38,11 @@ class Segmentation:
     def df(self) -> DataFrame:
         return self._df
 
+    @property
+    def disjoint(self) -> bool:
+        """Whether no two segments can share a place: whole strings, or plain tokens of disjoint segments."""
+        return self.whole or (self.recipe is not None and self.recipe[0].disjoint)
+
     @property
     def ordered(self) -> DataFrame:
         """df with ord, 0 .. N-1."""
@@ -78,7 +86,7 @@ class Segmentation:
         """A segmentation with the segment of that ordinal moved inside its string's content."""
         here = F.col("ord") == at
         text = F.expr(f"substring(content, {start} - start + 1, {end - start})")
-        ann = F.create_map(*(F.lit(x) for kv in (annotations or {}).items() for x in kv)) if annotations else NO_ANNOTATIONS
+        ann = F.create_map(*(F.lit(x) for kv in (annotations or {}).items() for x in kv)) if annotations else no_annotations()
         df = self.ordered.withColumn("content", F.when(here, text).otherwise(F.col("content")))
         df = df.withColumns({"start": F.when(here, F.lit(start)).otherwise(F.col("start")), "end": F.when(here, F.lit(end)).otherwise(F.col("end")), "annotations": F.when(here, ann).otherwise(F.col("annotations"))})
         return self.replace(df)
@@ -112,7 +120,7 @@ class Segmentation:
 
     def copy(self, annotations: dict[str, str] | None = None, update: bool = True, label: str | None = None) -> Segmentation:
         """A copy whose annotations are extended (update) or replaced by those given."""
-        new = F.create_map(*(F.lit(x) for kv in (annotations or {}).items() for x in kv)) if annotations else NO_ANNOTATIONS
+        new = F.create_map(*(F.lit(x) for kv in (annotations or {}).items() for x in kv)) if annotations else no_annotations()
         df = self._df
         if update and annotations:
             df = df.withColumn("annotations", merge_maps(F.col("annotations"), new))

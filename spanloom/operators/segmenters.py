@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.functions.patterns import compiled, expand, has_refs, substitute
-from spanloom.operators.segmentation import ADDRESS, NO_ANNOTATIONS, Segmentation, merge_maps
+from spanloom.operators.segmentation import ADDRESS, Segmentation, merge_maps, no_annotations
 from spanloom.plans.ordinals import with_ordinals
 from spanloom.plans.session import materialize, ship, small_or_plain
 
@@ -28,8 +28,9 @@ def auto_number(seg: Segmentation, key: str) -> Segmentation:
 def merge_duplicates(seg: Segmentation, take_first: bool = False) -> Segmentation:
     """Segments of one address become one; of two annotations of a key the later (or first) stays."""
     df = seg.ordered
-    anns = F.transform(F.array_sort(F.collect_list(F.struct("ord", "annotations"))), lambda x: x["annotations"])
-    merged = F.aggregate(anns, NO_ANNOTATIONS, lambda a, m: merge_maps(m, a) if take_first else merge_maps(a, m))
+    # maps can't be sorted, their entries can
+    anns = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.map_entries("annotations").alias("es")))), lambda x: F.map_from_entries(x["es"]))
+    merged = F.aggregate(anns, no_annotations(), lambda a, m: merge_maps(m, a) if take_first else merge_maps(a, m))
     one = df.groupBy(*ADDRESS).agg(F.first("real_str_index").alias("real_str_index"), merged.alias("annotations"), F.first("content").alias("content"))
     return seg.replace(one.select(SEGMENT))
 
@@ -55,7 +56,7 @@ def concatenate(
     """
     parts: DataFrame | None = None
     for k, s in enumerate(segs):
-        ann = F.col("annotations") if copy_annotations else NO_ANNOTATIONS
+        ann = F.col("annotations") if copy_annotations else no_annotations()
         if import_labels_as:
             ann = merge_maps(ann, F.create_map(F.lit(import_labels_as), F.lit(s.label)))
         src = s.ordered if not sort or "ord" in s.df.columns else s.df.withColumn("ord", F.lit(0).cast("long"))
@@ -140,10 +141,10 @@ def tokenize(
                 names.append("added")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    src = seg.df.select(*SEGMENT[:4], (F.col("annotations") if import_annotations else NO_ANNOTATIONS).alias("annotations"), "content")
+    src = seg.df.select(*SEGMENT[:4], (F.col("annotations") if import_annotations else no_annotations()).alias("annotations"), "content")
     df = src.mapInArrow(run, _SCHEMA + ", tie int" + (", added map<string,string>" if annotated else ""))
     if annotated:
-        df = df.withColumn("annotations", merge_maps(F.col("annotations"), F.coalesce("added", NO_ANNOTATIONS))).drop("added")
+        df = df.withColumn("annotations", merge_maps(F.col("annotations"), F.coalesce("added", no_annotations()))).drop("added")
     if len(plan) == 1:
         df = df.drop("tie")
     one = len(plan) == 1 and not plan[0][1] and not annotated and isinstance(regexes[0][0], str)
@@ -155,7 +156,7 @@ def _pair(seg: Segmentation, keep: Column, label: str, copy_annotations: bool, n
     """(kept, rest) by a condition that is never null."""
     src = seg.df if df is None else df
     if not copy_annotations:
-        src = src.withColumn("annotations", NO_ANNOTATIONS)
+        src = src.withColumn("annotations", no_annotations())
     src_out = [c for c in src.columns if c in SEGMENT or c in ("ord", "tie")]
     kept = src.where(keep).select(src_out)
     rest = src.where(~keep).select(src_out)
@@ -360,9 +361,6 @@ def import_xml(
     return _finish(Segmentation(df, label), merge, preserve_leaves, auto_number_as)
 
 
-_MARKS = "".join(chr(c) for c in range(0x0300, 0x0370))
-
-
 def strip_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
@@ -425,10 +423,7 @@ def recode(
         F.when(F.col("changed"), base + F.col("ord")).otherwise(F.col("real_str_index")).alias("real_str_index"),
         F.when(F.col("changed"), 0).otherwise(F.col("start")).alias("start"),
         F.when(F.col("changed"), F.length("text")).otherwise(F.col("end")).alias("end"),
-        (F.col("annotations") if copy_annotations else NO_ANNOTATIONS).alias("annotations"),
+        (F.col("annotations") if copy_annotations else no_annotations()).alias("annotations"),
         F.col("text").alias("content"),
     )
     return Segmentation(out, label), total
-
-
-Op = Callable[..., Segmentation]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators.segmentation import NO_ANNOTATIONS, Segmentation
+from spanloom.operators.segmentation import Segmentation, no_annotations
 
 
 def from_dataframe(df: DataFrame, id_col: str, text_col: str, annotations: Sequence[str] | dict[str, str] = (), label: str = "input_string") -> Segmentation:
@@ -22,7 +22,7 @@ def from_dataframe(df: DataFrame, id_col: str, text_col: str, annotations: Seque
         pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in named.items()))
         ann = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
     else:
-        ann = NO_ANNOTATIONS
+        ann = no_annotations()
     rows = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("str_index"),
         F.col(id_col).cast("long").alias("real_str_index"),
@@ -55,7 +55,7 @@ def from_spans(strings: Segmentation, spans: Sequence[tuple], label: str = "segm
     df = spark.createDataFrame(rows, "ord long, str_index long, start int, end int, ann map<string,string>")
     whole = strings.df.where("start = 0").select("str_index", "real_str_index", F.col("content").alias("text"))
     j = df.join(whole, "str_index").select(
-        "ord", "str_index", "real_str_index", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.length("text")).alias("end"), F.coalesce("ann", NO_ANNOTATIONS).alias("annotations"), "text"
+        "ord", "str_index", "real_str_index", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.length("text")).alias("end"), F.coalesce("ann", no_annotations()).alias("annotations"), "text"
     )
     return Segmentation(j.withColumn("content", F.expr("substring(text, start + 1, `end` - start)")).drop("text"), label)
 
