@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,22 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def named_apart(df: DataFrame, other: DataFrame) -> DataFrame:
+    """other with its columns renamed where df has the same names, whatever their case."""
+    out = other
+    for c in other.columns:
+        new = fresh(df, c)
+        if new != c:
+            out = out.withColumnRenamed(c, new)
+    return out
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df.mapInArrow to rows of the same columns, which run finds by their places: names may hold anything."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array, nulls as empty; offsets start at 0 and have len+1 entries."""
     if isinstance(arr, pa.ChunkedArray):

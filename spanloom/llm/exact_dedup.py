@@ -20,9 +20,10 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh, quoted, ship
+from spanloom.llm.common import fresh, named_apart, quoted, ship
 from spanloom.plans.session import materialize, scratch_path, small_or_plain
 
+
 def digest(text) -> F.Column:
     """SHA-256 of the text as 32 bytes; null for null."""
     return F.unhex(F.sha2(text, 256))
@@ -114,17 +115,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     multi = fresh_w.where("n > 1").select("digest", F.col("w.doc_id").alias("first"))
     losers = d.join(multi, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("l_digest"), F.col("doc_id").alias("l_doc")).distinct()
     losers = materialize(losers, "losers")
-    kept = full.join(small_or_plain(losers), (full[dig] == F.col("l_digest")) & full[key].eqNullSafe(F.col("l_doc")), "left_anti")
+    losers = small_or_plain(named_apart(full, losers))
+    kept = full.join(losers, (full[dig] == losers[losers.columns[0]]) & full[key].eqNullSafe(losers[losers.columns[1]]), "left_anti")
     if gone is not None:
         g = materialize(gone.select(F.col("digest").alias("g_digest")), "seen-digests")
-        kept = kept.join(small_or_plain(g), kept[dig] == F.col("g_digest"), "left_anti")
+        g = small_or_plain(named_apart(full, g))
+        kept = kept.join(g, kept[dig] == g[g.columns[0]], "left_anti")
     # equal rows of a winner: only those rows are shuffled
     again = fresh_w.where("w.m > 1").select(F.col("digest").alias("a_digest"))
     again = materialize(again, "equal-rows")
     if not again.isEmpty():
-        a = small_or_plain(again)
-        once = kept.join(a, kept[dig] == F.col("a_digest"), "left_anti")
-        twice = kept.join(a, kept[dig] == F.col("a_digest"), "left_semi").dropDuplicates([key, dig])
+        a = small_or_plain(named_apart(full, again))
+        same = kept[dig] == a[a.columns[0]]
+        once = kept.join(a, same, "left_anti")
+        twice = kept.join(a, same, "left_semi").dropDuplicates([key, dig])
         kept = once.unionByName(twice)
     return kept.drop(key, dig)
 

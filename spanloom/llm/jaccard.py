@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesvec
-from spanloom.llm.common import fresh, quoted, ship, slices, text_bytes
+from spanloom.llm.common import fresh, named_apart, quoted, ship, slices, text_bytes
 from spanloom.llm.components import components
 from spanloom.plans.session import materialize, small_or_plain
 
@@ -358,7 +358,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     gone = materialize(gone, "near-copies")
     key, th = fresh(docs, "k_doc"), fresh(docs, "k_th")
     full = docs.withColumns({key: quoted(id_col).cast("long"), th: F.xxhash64(quoted(text_col))})
-    return full.join(small_or_plain(gone), (full[key] == F.col("g_doc")) & (full[th] == F.col("g_th")), "left_anti").drop(key, th)
+    gone = small_or_plain(named_apart(full, gone))
+    return full.join(gone, (full[key] == gone[gone.columns[0]]) & (full[th] == gone[gone.columns[1]]), "left_anti").drop(key, th)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.llm import bytesvec
-from spanloom.llm.common import fresh, quoted, ship, slices, text_bytes
+from spanloom.llm.common import fresh, named_apart, quoted, ship, slices, text_bytes
 from spanloom.plans.session import materialize, small_or_plain
 
 MIN_WORDS = 50
@@ -152,10 +152,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = materialize(runs, "runs")
     key, th = fresh(docs, "k_doc"), fresh(docs, "k_th")
     full = docs.withColumns({key: quoted(id_col).cast("long"), th: F.xxhash64(quoted(text_col))})
-    got = full.join(small_or_plain(runs), (full[key] == F.col("r_doc")) & (full[th] == F.col("r_th")), "left")
-    removed = F.coalesce(F.aggregate("r_runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0)).cast("long")
-    text = F.when(F.col("r_runs").isNull(), quoted(text_col)).otherwise(_without(quoted(text_col), F.col("r_runs")))
-    return got.withColumns({text_col: text, fresh(docs, count_as): removed}).drop(key, th, "r_doc", "r_th", "r_runs")
+    runs = named_apart(full, runs)
+    doc, r_th, cut = runs.columns
+    runs = small_or_plain(runs)
+    got = full.join(runs, (full[key] == runs[doc]) & (full[th] == runs[r_th]), "left")
+    removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0)).cast("long")
+    text = F.when(F.col(cut).isNull(), quoted(text_col)).otherwise(_without(quoted(text_col), F.col(cut)))
+    return got.withColumns({text_col: text, fresh(docs, count_as): removed}).drop(key, th, doc, r_th, cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesvec
-from spanloom.llm.common import quoted, ship, slices, text_bytes
+from spanloom.llm.common import map_rows, quoted, ship, slices, text_bytes
 from spanloom.llm.labelled import best_threshold, sample
 
 #: Labelled documents used for fitting and calibration; the only bound on what is read.
@@ -254,7 +254,7 @@ def filter_docs(docs: DataFrame, model: Mil | None, text_col: str = "text") -> D
                 with np.errstate(invalid="ignore"):
                     yield part.filter(pa.array(~(p <= m.threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_known_notices():
     assert names("/*\n * " + MIT)[0][0] == "MIT"
     assert names("SPDX-License-Identifier: Apache-2.0\ncode")[0][0] == "Apache-2.0"
     assert names("Licensed under the Apache License, Version 2.0")[0][0] == "Apache-2.0"
-    assert names("see the MIT License.")[0] == ("MIT", "MIT License")
+    assert names("see the MIT License.")[0] == ("MIT", "the MIT License")
     assert names("the GNU General Public License version 3 or later")[0][0] == "GPL-3.0-or-later"
     assert names("the cat admits defeat; a limit on bread") == []
 
