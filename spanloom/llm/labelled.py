@@ -20,15 +20,18 @@ def sample(labels: DataFrame, target: str, limit: int, id_col: str = "doc_id") -
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def best_threshold(scores: np.ndarray, positive: np.ndarray, default: float) -> float:
-    """The cut with the highest F1 for score >= cut, amid the gap to the next score; default without both classes."""
+def best_threshold(scores: np.ndarray, positive: np.ndarray, default: float, beta: float = 0.5) -> float:
+    """The cut with the highest F-beta for score >= cut, amid the gap to the next score; default without both classes.
+
+    A beta below 1 weighs precision more: what is rejected wrongly is lost.
+    """
     if positive.all() or not positive.any():
         return default
     order = np.argsort(-scores, kind="stable")
     s, y = scores[order], positive[order].astype(float)
     hits, n = np.cumsum(y), np.arange(1, len(y) + 1)
-    f1 = 2 * hits / (n + y.sum())
+    f = (1 + beta * beta) * hits / (n + beta * beta * y.sum())
     ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    k = int(ends[np.argmax(f1[ends])])
+    k = int(ends[np.argmax(f[ends])])
     below = s[k + 1] if k + 1 < len(s) else 0.0
     return float((s[k] + below) / 2)

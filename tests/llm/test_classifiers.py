@@ -8,7 +8,7 @@ from tests.llm.helpers import clashing, docs, odd, prose
 
 @pytest.fixture(scope="module")
 def larger():
-    return "/root/testdata/sf0.01"
+    return "/root/testdata/sf0.1"
 
 
 def held_out(spark, d, target, positive):
@@ -29,8 +29,8 @@ def test_toxicity_held_out(spark, larger):
     docs_ = spark.read.parquet(f"{larger}/documents.parquet")
     train, want = held_out(spark, larger, "toxic", 1)
     got = {r.doc_id: r.toxic for r in toxicity.classify(docs_, toxicity.fit(docs_, train)).collect() if r.doc_id in want}
-    assert np.mean([got[d] for d, y in want.items() if y]) >= 0.8
-    assert np.mean([got[d] for d, y in want.items() if not y]) <= 0.03
+    assert np.mean([got[d] for d, y in want.items() if y]) >= 0.75
+    assert np.mean([got[d] for d, y in want.items() if not y]) <= 0.02
 
 
 def planted(spark):
