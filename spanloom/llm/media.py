@@ -2,10 +2,11 @@
 
 Corners (Harris, non-maximum suppression) are found at several scales. Each has an
 orientation from its patch's intensity centroid and 256 binary tests that are turned by it.
-Descriptors meet in eight Hamming tables, each keyed by its own 32 bits; what meets is kept if
-the whole descriptors differ in few bits. Every match of two oriented corners proposes a
-similarity transform; the images are a pair if one proposal carries enough of their other
-matches to their places (geometric consensus).
+Descriptors meet in nine Hamming tables, each keyed by its own 28 bits. Two images with one
+meeting whose whole descriptors differ in few bits are a candidate: all their corners are then
+compared with each other, so a candidate's matches are those of brute force. Every match of two
+oriented corners proposes a similarity transform; the images are a pair if one proposal
+carries enough of their other matches to their places (geometric consensus).
 
 Images are decoded here from PGM, PPM or PNG (8 bit, not interlaced). Images with equal
 bytes are one entity: the lowest id stands for it, and each other copy is paired with it, so
@@ -36,7 +37,7 @@ from spanloom.plans.session import materialize, small_or_plain
 
 SCALES = (1.0, 1.4, 2.0)
 RADIUS, SUPPRESS, STRENGTH = 9, 5, 0.05
-TABLES, BITS, FAR = 8, 32, 40
+TABLES, BITS, FAR = 9, 28, 40
 MIN_INLIERS, TOLERANCE = 6, 4.0
 
 _rng = np.random.default_rng(20240229)
@@ -252,36 +253,36 @@ def consensus(m: np.ndarray) -> tuple[int, float, float, float, float]:
     return best[0], float(s[i]), float((t[i] + np.pi) % (2 * np.pi) - np.pi), float(dx[i]), float(dy[i])
 
 
-def _agree(min_inliers: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+_CORNER = ("x", "y", "s", "angle", "d0", "d1", "d2", "d3")
+
+
+def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, places, codes) of a column of corner lists."""
+    lists = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    flat = lists.flatten()
+    f = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
+    off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    return off, np.stack([f[c] for c in _CORNER[:4]], 1).astype(np.float64), np.stack([f[c] for c in _CORNER[4:]], 1)
+
+
+def _agree(min_inliers: int, far: int):
+    """Compare all corners of each (a, b, corners of a, corners of b)."""
 
-        def result(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (oa, pa_, ca), (ob, pb, cb) = _unpacked(batch.column(2)), _unpacked(batch.column(3))
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             rows = []
-            for lo, hi in zip(cut, np.append(cut[1:], len(a)), strict=True):
-                if hi - lo >= min_inliers:
-                    got = consensus(m[lo:hi])
+            for n, (a, b) in enumerate(ids):
+                x, y = slice(oa[n], oa[n + 1]), slice(ob[n], ob[n + 1])
+                i, k = np.nonzero(np.bitwise_count(ca[x][:, None] ^ cb[y][None]).sum(2) <= far)
+                if len(i) >= min_inliers:
+                    got = consensus(np.concatenate([pa_[x][i], pb[y][k]], 1))
                     if got[0] >= min_inliers:
-                        rows.append((int(a[lo]), int(b[lo]), int(hi - lo), *got))
+                        rows.append((a, b, len(i), *got))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.float64()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "matches", "inliers", "scale", "angle", "dx", "dy"])
-
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            m = np.stack([batch.column(i).to_numpy() for i in range(2, 10)], 1).astype(np.float64)
-            if held is not None:
-                a, b, m = np.concatenate([held[0], a]), np.concatenate([held[1], b]), np.concatenate([held[2], m])
-            if not len(a):
-                continue
-            last = (a == a[-1]) & (b == b[-1])
-            k = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if k:
-                yield result(a[:k], b[:k], m[:k])
-            held = (a[k:], b[k:], m[k:])
-        if held is not None and len(held[0]):
-            yield result(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "matches", "inliers", "scale", "angle", "dx", "dy"])
 
     return run
 
@@ -297,14 +298,15 @@ def find_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     corners = materialize(corner_table(once).dropDuplicates(["sig", "k"]), "corners")
     keys = _keys(corners)
     met = keys.alias("l").join(keys.alias("r"), F.expr("l.key = r.key AND l.sig < r.sig")).select(F.col("l.sig").alias("a"), F.col("l.k").alias("ka"), F.col("r.sig").alias("b"), F.col("r.k").alias("kb")).distinct()
-    one = corners.select(F.col("sig").alias("a"), F.col("k").alias("ka"), *(F.col(c).alias(f"{c}a") for c in ("x", "y", "s", "angle", "d0", "d1", "d2", "d3")))
-    two = corners.select(F.col("sig").alias("b"), F.col("k").alias("kb"), *(F.col(c).alias(f"{c}b") for c in ("x", "y", "s", "angle", "d0", "d1", "d2", "d3")))
+    one = corners.select(F.col("sig").alias("a"), F.col("k").alias("ka"), *(F.col(c).alias(f"{c}a") for c in _CORNER[4:]))
+    two = corners.select(F.col("sig").alias("b"), F.col("k").alias("kb"), *(F.col(c).alias(f"{c}b") for c in _CORNER[4:]))
     bits = sum((F.bit_count(F.col(f"d{i}a").bitwiseXOR(F.col(f"d{i}b"))) for i in range(1, 4)), F.bit_count(F.col("d0a").bitwiseXOR(F.col("d0b"))))
-    near = met.join(one, ["a", "ka"]).join(two, ["b", "kb"]).where(bits <= far).select("a", "b", *(f"{c}{z}" for z in "ab" for c in ("x", "y", "s", "angle")))
-    near = materialize(near, "matches")
-    enough = near.groupBy("a", "b").count().where(F.col("count") >= min_inliers).select("a", "b")
-    rows = near.join(enough, ["a", "b"], "left_semi").repartition("a", "b").sortWithinPartitions("a", "b", *(f"{c}{z}" for z in "ab" for c in ("x", "y", "s", "angle")))
-    found = rows.mapInArrow(_agree(min_inliers), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
+    cand = materialize(met.join(one, ["a", "ka"]).join(two, ["b", "kb"]).where(bits <= far).select("a", "b").distinct(), "media-pairs")
+    seen = cand.select(F.col("a").alias("sig")).union(cand.select("b")).distinct()
+    sets = corners.join(seen, "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("k", *_CORNER))).alias("corners"))
+    sets = materialize(sets, "media-corners")
+    rows = cand.join(sets.select(F.col("sig").alias("a"), F.col("corners").alias("xs")), "a").join(sets.select(F.col("sig").alias("b"), F.col("corners").alias("ys")), "b")
+    found = rows.select("a", "b", "xs", "ys").mapInArrow(_agree(min_inliers, far), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
     edited = (
         found.join(first.select(F.col("sig").alias("a"), F.col("first").alias("ia")), "a")
         .join(first.select(F.col("sig").alias("b"), F.col("first").alias("ib")), "b")
