@@ -130,23 +130,29 @@ def _signature(e: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sig.view(np.int64)
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """(doc_id, th, n, sig, elements) of every document with an id and words; th is the text's hash."""
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, elements: bool = False) -> DataFrame:
+    """(doc_id, th, n, sig[, elements]) of every document with an id and words; th is the text's hash.
+
+    The elements are larger than the compressed text, so they are computed anew where they
+    are needed and never written.
+    """
     ship(docs.sparkSession)
+    kinds = "doc_id long, th long, n int, sig long" + (", elements binary" if elements else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(2)):
                 part = b.slice(lo, hi - lo)
                 e, counts = _elements(*text_bytes(part.column(2)), n)
-                packed = _pack(e)
-                off = np.concatenate([[0], np.cumsum(counts)]) * _WIDTH
-                sets = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(packed)])
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(_signature(e, counts)), sets], names=["doc_id", "th", "n", "sig", "elements"])
+                cols = [part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(_signature(e, counts))]
+                if elements:
+                    off = np.concatenate([[0], np.cumsum(counts)]) * _WIDTH
+                    cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(_pack(e))]))
+                out = pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "sig", "elements"][: len(cols)])
                 yield out.filter(pa.array(counts > 0))
 
     d = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("th"), F.lower(quoted(text_col)).alias("text"))
-    return d.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, th long, n int, sig long, elements binary")
+    return d.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, kinds)
 
 
 def keys_of(e: np.ndarray, counts: np.ndarray, sig: np.ndarray, tau: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -300,13 +306,13 @@ def _verify(tau: float):
     return run
 
 
-def _near_sets(features: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_sets(features: DataFrame, sets: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((a, b, jaccard) over distinct sets, (sig, first, copies), (v, low, first) of the sets in candidates)."""
     reps = features.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(reps, "sets")
     spare = features.select("sig", "doc_id").join(reps.where("copies > 1").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("sig").alias("s_sig"), F.col("doc_id").alias("s_doc")).distinct()
     spare = materialize(spare, "spare-copies")
-    once = features.select("sig", "doc_id", "elements").join(small_or_plain(spare), (F.col("sig") == F.col("s_sig")) & (F.col("doc_id") == F.col("s_doc")), "left_anti")
+    once = sets.select("sig", "doc_id", "elements").join(small_or_plain(spare), (F.col("sig") == F.col("s_sig")) & (F.col("doc_id") == F.col("s_doc")), "left_anti")
     cand = materialize(_candidates(key_table(once, tau), tau), "candidates")
     both = cand.select(F.col("a").alias("v"), F.col("b").alias("u")).union(cand.select(F.col("b").alias("v"), F.col("a").alias("u")))
     low = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("low"))
@@ -323,7 +329,7 @@ def _near_sets(features: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, D
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: near sets by their lowest ids, copies with the lowest id of theirs."""
     features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps, vertices = _near_sets(features, tau)
+    near, reps, vertices = _near_sets(features, feature_table(docs, id_col, text_col, n, True), tau)
     name = small_or_plain(vertices.select("v", "first"))
     across = (
         near.join(name.select(F.col("v").alias("a"), F.col("first").alias("x")), "a")
@@ -343,7 +349,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """
     ship(docs.sparkSession)
     features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps, _ = _near_sets(features, tau)
+    near, reps, _ = _near_sets(features, feature_table(docs, id_col, text_col, n, True), tau)
     roots = components(near.select("a", "b"))
     member = reps.join(roots.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "first", "copies", F.coalesce("root", "sig").alias("root"))
     stays = member.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("size")).where("size > 1")
