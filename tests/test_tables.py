@@ -137,7 +137,9 @@ def test_adjusted_resampling(spark):
     assert 2 <= got.first().subsample_size <= 10
     plain = variety_in_context(u, per_category=True, category_key="c", adjust=False, resample=True, subsample_size=10, num_subsamples=5)
     assert "subsample_size" not in plain.columns
-    assert adjusted_size(np.array([5, 5]), 8, 0.0) == 8
+    # where both ends of the last step lie above the target, the lower one is taken
+    assert adjusted_size(np.array([5, 5]), 8, 0.0) == 7
+    assert adjusted_size(np.array([1, 1, 1, 1]), 4, 1.0) == 4
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
