@@ -96,6 +96,15 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def absorb(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Append the digests of docs that the index lacks, each with its lowest doc_id: a sort-merge anti-join."""
+    ship(docs.sparkSession)
+    w = _winners(docs.select(quoted(id_col).cast("long").alias("doc_id"), digest(quoted(text_col)).alias("digest")))
+    new = w.join(index.read().select("digest").hint("merge"), "digest", "left_anti").select("digest", F.col("w.doc_id").alias("doc_id"))
+    # written first: the index can't be read and appended to by one job
+    index.append(materialize(new, "new-digests"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with their columns; new digests are appended to the index."""
     spark = docs.sparkSession
@@ -136,8 +145,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, scratch_path(spark, "digest-index"))
-    kept_digests = _winners(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")))
-    index.append(kept_digests.select("digest", F.col("w.doc_id").alias("doc_id")))
+    absorb(docs, index)
     return find_copies(docs, index=index)
 
 
