@@ -33,6 +33,8 @@ from spanloom.llm.labelled import best_threshold, sample
 #: Labelled documents used for fitting and calibration; the only bound on what is read.
 TRAIN_DOCS = 3000
 PASSAGE_WORDS, HIDDEN, GATE, EPOCHS, WORD_DIMS = 64, 24, 12, 12, 128
+#: Text bytes described in one pass, which takes about a hundred bytes of memory for each.
+PASS_BYTES = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 13]] = True
@@ -175,7 +177,7 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, seed: int = 11, epochs
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi in slices(b.column("text")):
+        for lo, hi in slices(b.column("text"), PASS_BYTES):
             part = b.slice(lo, hi - lo)
             x, bags = passages(*text_bytes(part.column("text")))
             off = np.concatenate([[0], np.cumsum(bags)])
@@ -226,7 +228,7 @@ def classify(docs: DataFrame, model: Mil | None, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), PASS_BYTES):
                 part = b.slice(lo, hi - lo)
                 p = _scores(m, part.column(1))
                 with np.errstate(invalid="ignore"):
@@ -248,7 +250,7 @@ def filter_docs(docs: DataFrame, model: Mil | None, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for lo, hi in slices(b.column(at)):
+            for lo, hi in slices(b.column(at), PASS_BYTES):
                 part = b.slice(lo, hi - lo)
                 p = _scores(m, part.column(at))
                 with np.errstate(invalid="ignore"):
