@@ -611,6 +611,27 @@ def cooc_two_units(spark: SparkSession, d: str) -> DataFrame:
     return concordance.cooc_in_context(_frequent(spark, d), x, context_key="source", units2=x, unit2_key="lang").df
 
 
+def _by_line(spark: SparkSession, d: str) -> tuple[Segmentation, Segmentation]:
+    """All words, and lines as their contexts: sparse, so words by words need no bound on frequency."""
+    x = lines(spark, d)
+    return segmenters.tokenize(x, [(WORD, "tokenize")]), x
+
+
+_LINES = f"p_ AS (SELECT DISTINCT line, item FROM (SELECT line, unnest(regexp_extract_all(line, '{WORD}')) AS item FROM (SELECT unnest(regexp_extract_all(text, '{LINE}')) AS line FROM documents)))"
+
+
+@query(_spectrum_sql(_LINES, "SELECT a.item AS x, b.item AS y, count(*) AS value FROM p_ a JOIN p_ b USING (line) GROUP BY 1, 2"))
+def cooc_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    w, x = _by_line(spark, d)
+    return spectrum(concordance.cooc_in_context(w, x).df)
+
+
+@query(f"WITH {TOK}, p_ AS (SELECT DISTINCT source, item FROM tok), q_ AS (SELECT DISTINCT source, lang FROM documents) SELECT b.lang AS row_id, a.item AS col_id, count(*) AS value FROM p_ a JOIN q_ b USING (source) GROUP BY 1, 2")
+def cooc_two_units_whole(spark: SparkSession, d: str) -> DataFrame:
+    x = docs(spark, d)
+    return concordance.cooc_in_context(words(spark, d), x, context_key="source", units2=x, unit2_key="lang").df
+
+
 # --- tables -----------------------------------------------------------------------------
 
 
@@ -667,6 +688,19 @@ for _bias, _scale in (("frequent", "1"), ("none", "sqrt(wx.w * wy.w)"), ("rare",
     _association(_bias, _scale)
 
 
+def _association_whole(bias: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        w, x = _by_line(spark, d)
+        return spectrum(_rounded(counting.count_in_context(w, x).to_association_matrix(bias)))
+
+    run.__name__ = f"association_{bias}_whole"
+    query()(run)
+
+
+for _bias in ("frequent", "none", "rare"):
+    _association_whole(_bias)
+
+
 @query(f"WITH {_T} SELECT col_id AS row_id, row_id AS col_id, CAST(v AS BIGINT) AS value FROM t")
 def transpose(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d).to_transposed().df
