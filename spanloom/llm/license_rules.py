@@ -2,7 +2,8 @@
 
 A rule is (licence, priority, keywords, pattern). The pattern is matched without regard to
 case; a space in it stands for any run of white space and comment signs. It can only match
-where one of its keywords (lower case) occurs, which is what the prefilter relies on.
+where all words of one of its keywords (lower case) occur, so each alternative of a pattern
+needs a keyword; that is what the prefilter relies on.
 Priorities: 90 clauses that identify a licence's text, 80 SPDX tags, 70 names with their
 version, 60 addresses, 50 bare names beside "licence", 20 unspecific notices.
 """
@@ -58,9 +59,9 @@ TEXTS = [
     ("Ms-PL", ("microsoft public",), r"this license governs use of the accompanying software.{0,120}?microsoft public license"),
     ("Artistic-2.0", ("artistic license",), r"the artistic license 2\.0 copyright"),
     ("CDDL-1.0", ("development and distribution",), r"subject to the terms of the common development and distribution license"),
-    ("EUPL-1.2", ("european union public",), r"licensed under the eupl,? version 1\.2|european union public licence v\. ?1\.2"),
+    ("EUPL-1.2", ("eupl", "european union public"), r"licensed under the eupl,? version 1\.2|european union public licence v\. ?1\.2"),
     ("X11", ("name of the x consortium",), r"except as contained in this notice, the name of the x consortium shall not be used"),
-    ("NCSA", ("dealing with the software",), r"documentation files \(the \"software\"\), to deal(?:ing)? with the software without restriction"),
+    ("NCSA", ("documentation files",), r"documentation files \(the \"software\"\), to deal(?:ing)? with the software without restriction"),
     ("HPND", ("documentation for any purpose",), r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and|with) "),
     ("SSPL-1.0", ("server side public",), r"under the terms of the server side public license,? version 1"),
     ("BUSL-1.1", ("change date",), r"licensed work will be made available.{0,200}?change date"),
@@ -75,7 +76,7 @@ NAMES = [
     ("X11", ("x11",), rf"\bx11 {_L}"),
     ("MIT-0", ("no attribution",), rf"\bmit no attribution(?: {_L})?"),
     ("ISC", ("isc ",), rf"\bisc {_L}"),
-    ("BSD-2-Clause", ("bsd",), rf"\b(?:2|two)[- ]clause bsd {_L}|\b(?:simplified|freebsd) bsd? ?{_L}|\bbsd[- ]2[- ]clause\b"),
+    ("BSD-2-Clause", ("bsd", "simplified"), rf"\b(?:2|two)[- ]clause bsd {_L}|\b(?:simplified|freebsd) bsd? ?{_L}|\bbsd[- ]2[- ]clause\b"),
     ("BSD-3-Clause", ("bsd",), rf"\b(?:3|three)[- ]clause bsd {_L}|\b(?:new|modified|revised) bsd {_L}|\bbsd[- ]3[- ]clause\b"),
     ("BSD-4-Clause", ("bsd",), rf"\b(?:4|four)[- ]clause bsd {_L}|\b(?:original|old) bsd {_L}|\bbsd[- ]4[- ]clause\b"),
     ("0BSD", ("bsd",), rf"\b(?:zero|0)[- ]clause bsd {_L}|\b0bsd\b"),
@@ -131,7 +132,7 @@ NAMES = [
     ("Ruby", ("ruby",), rf"\bruby {_L}"),
     ("OpenSSL", ("openssl",), rf"\bopenssl {_L}"),
     ("NCSA", ("ncsa",), rf"\b(?:university of illinois/)?ncsa open source {_L}"),
-    ("Ms-PL", ("microsoft public",), rf"\bmicrosoft public {_L}|\bms-pl\b"),
+    ("Ms-PL", ("microsoft public", "ms-pl"), rf"\bmicrosoft public {_L}|\bms-pl\b"),
     ("Ms-RL", ("microsoft reciprocal",), rf"\bmicrosoft reciprocal {_L}"),
     ("OFL-1.1", ("open font",), rf"\b(?:sil )?open font {_L}(?:{_V}1\.1\b)?"),
     ("EUPL-1.1", ("european union public",), rf"\beuropean union public {_L}{_V}1\.1\b"),
@@ -174,7 +175,7 @@ NAMES = [
     ("ODbL-1.0", ("open database",), rf"\bopen (?:data commons )?open database {_L}|\bopen database {_L}(?:{_V}1\.0\b)?"),
     ("PDDL-1.0", ("public domain dedication",), r"\bpublic domain dedication and licen[sc]e\b"),
     ("ODC-By-1.0", ("open data commons",), rf"\bopen data commons attribution {_L}"),
-    ("OpenRAIL-M", ("openrail",), r"\b(?:big(?:science|code) )?open ?rail(?:-m)?\b"),
+    ("OpenRAIL-M", ("openrail", "open rail"), r"\b(?:big(?:science|code) )?open ?rail(?:-m)?\b"),
     ("Public-Domain", ("public domain",), r"\b(?:released|placed|dedicated|put) (?:in|into|to|under) the public domain\b"),
 ]
 
@@ -265,7 +266,7 @@ LOOSE = [
     ("CC-BY", SHORT - 10, ("cc by", "cc-by"), r"\bcc[- ]by(?:-nc)?(?:-sa|-nd)?\b(?![- ]?\d)"),
     ("Public-Domain", VAGUE + 5, ("public domain",), r"\bpublic domain\b"),
     ("Proprietary", VAGUE + 15, ("proprietary",), r"\bproprietary and confidential\b"),
-    ("Proprietary", VAGUE + 15, ("confidential",), r"\bunauthori[sz]ed (?:copying|use|distribution) of this file[^.]{0,80}is strictly prohibited"),
+    ("Proprietary", VAGUE + 15, ("strictly prohibited",), r"\bunauthori[sz]ed (?:copying|use|distribution) of this file[^.]{0,80}is strictly prohibited"),
     ("All-Rights-Reserved", VAGUE + 2, ("all rights reserved",), r"\ball rights reserved\b"),
     ("Unknown-Reference", VAGUE, ("licen",), rf"\bsee (?:the )?(?:accompanying )?{_L}(?: file|\.txt|\.md)?\b"),
     ("Unknown-Reference", VAGUE, ("licen",), r"\b(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |an? |this )?[\w .,-]{0,60}?licen[sc]e\b"),

@@ -31,6 +31,11 @@ GAP = r"(?:[\s*#;/%]*[\s][\s*#;/%]*)"
 Detection = tuple[int, int, str, int, int]
 
 
+def lowered(text: str) -> str:
+    """Lower case, with the two letters that match s and i but don't become them."""
+    return text.replace("\u017f", "s").replace("\u0130", "i").lower()
+
+
 def _compiled(pattern: str) -> regex.Pattern:
     out, inside, escaped = [], False, False
     for c in pattern:
@@ -80,7 +85,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[Detection]:
         if not text:
             return []
-        ids = self.wanted(text.lower())
+        ids = self.wanted(lowered(text))
         return resolve(self.matches(text, ids)) if ids else []
 
 

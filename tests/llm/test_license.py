@@ -1,8 +1,10 @@
+from re import _parser
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm.license_rules import all_rules
-from spanloom.llm.license_scan import resolve, scan, scanner
+from spanloom.llm.license_scan import lowered, resolve, scan, scanner
 from tests.llm.helpers import clashing, docs, odd
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the "Software")'
@@ -33,6 +35,47 @@ def test_prefilter_loses_nothing(spark, data):
         assert s.scan(r.text) == resolve(s.matches(r.text))
 
 
+def alternatives(tree):
+    """Texts that a parsed pattern matches: each branch, spelling and optional part at least once."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(v if k == "LITERAL" else v[0]) if (k := str(kind)) in ("LITERAL", "RANGE") else "a" for kind, v in arg if str(kind) != "NEGATE"]
+            some = ["x"] if str(arg[0][0]) == "NEGATE" else some
+        elif name in ("ANY", "NOT_LITERAL"):
+            some = ["x"]
+        elif name == "BRANCH":
+            some = [t for b in arg[1] for t in alternatives(b)]
+        elif name == "SUBPATTERN":
+            some = alternatives(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = [t * n for n in (arg[0], max(1, arg[0])) for t in alternatives(arg[2])]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+            continue
+        out = [out[i % len(out)] + some[i % len(some)] for i in range(max(len(out), len(some)))]
+    return list(dict.fromkeys(out))
+
+
+def test_prefilter_keeps_every_alternative():
+    s = scanner()
+    for i, (name, _, _, pattern) in enumerate(all_rules()):
+        texts = [t for t in alternatives(_parser.parse(pattern)) if s.rules[i][3].search(t)]
+        assert texts, (name, pattern)
+        for t in texts:
+            assert i in s.wanted(lowered(t)), (name, t)
+
+
+def test_prefilter_on_notices():
+    s = scanner()
+    for text in ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission", "released under Ms-PL", "BigScience Open RAIL-M", "under the \u017fimplified B\u017fD License", "G\u0130thub: M\u0130T L\u0130CENSE"):
+        found = s.matches(text)
+        assert found and s.scan(text) == resolve(found), text
+
+
 def test_resolution():
     got = resolve([(0, 10, "a", 50, 1), (2, 8, "b", 60, 2), (20, 30, "c", 50, 3), (20, 25, "d", 50, 4), (40, 45, "e", 10, 5), (45, 46, "f", 10, 6)])
     assert [d[2] for d in got] == ["b", "c", "e", "f"]
