@@ -3,8 +3,10 @@
 White space and comment signs between words count as one space, by the patterns, so
 offsets are those of the text. An Aho-Corasick automaton over the
 rules' keywords passes once over the text; only rules with a keyword in it are tried.
-Detections are then resolved greedily by priority, then length, then place, then rule: a
-detection that is contained in, or overlaps, one already kept is suppressed.
+Detections are then resolved by priority and containment: a detection is suppressed where it
+is contained in one of at least its priority (of equal ones the first rule stays), and partial
+overlaps stay beside each other. A notice that names no licence (Unknown-Reference) also goes
+where it overlaps any other detection: that one names the licence it speaks of.
 
 Defined results
 - Offsets count characters of the text; end is exclusive.
@@ -28,6 +30,9 @@ from spanloom.llm.license_rules import all_rules
 #: What may stand for a space of a pattern: white space with comment signs in it.
 GAP = r"(?:[\s*#;/%]*[\s][\s*#;/%]*)"
 
+#: The licence of notices that name none.
+UNNAMED = "Unknown-Reference"
+
 Detection = tuple[int, int, str, int, int]
 
 
@@ -86,13 +91,31 @@ class Scanner:
         if not text:
             return []
         ids = self.wanted(lowered(text))
-        return resolve(self.matches(text, ids)) if ids else []
+        return uncontained(self.matches(text, ids)) if ids else []
 
 
-def resolve(found: list[Detection]) -> list[Detection]:
+def uncontained(found: list[Detection]) -> list[Detection]:
     """The detections that stay, in the order of the text."""
     import bisect
 
+    starts, ends = [], []  # of kept ones that lie in no other kept one: both ascend
+    kept = []
+    for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[4])):
+        k = bisect.bisect_right(starts, d[0])
+        if k and ends[k - 1] >= d[1]:
+            continue
+        if d[2] == UNNAMED and (k and ends[k - 1] > d[0] or k < len(starts) and starts[k] < d[1]):
+            continue
+        kept.append(d)
+        lo, hi = bisect.bisect_left(starts, d[0]), bisect.bisect_right(ends, d[1])
+        starts[lo:hi], ends[lo:hi] = [d[0]], [d[1]]
+    return sorted(kept)
+
+
+def resolve(found: list[Detection]) -> list[Detection]:
+    """The detections that stay if none may overlap another, in the order of the text."""
+    import bisect
+
     kept: list[tuple[int, int, Detection]] = []
     for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[4])):
         k = bisect.bisect_right(kept, (d[0], 1 << 62))
