@@ -13,20 +13,28 @@ from __future__ import annotations
 TEXT, TAG, NAME, LINK, SHORT, VAGUE = 90, 80, 70, 60, 50, 20
 
 _L = r"licen[sc]e"
+_BLANK = r"\n[ *#;/%]*\n"
 _V = r"(?:,? (?:version|v\.?|ver\.?) ?| v?)"
 
+
+
+def _until(*stops: str) -> str:
+    """A gap over lines and comment signs, as short as it can be, that doesn't enter any of the stops."""
+    return rf"(?:(?!{'|'.join(stops)})[\s\S])*?"
+
+
 #: Clauses found in one licence's text or standard header only.
 TEXTS = [
     ("MIT", ("permission is hereby granted",), r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", ("the software is provided",), r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
-    ("MIT-0", ("without restriction",), r"to deal in the software without restriction, including without limitation the rights to use[^.]{0,200}persons to whom the software is furnished to do so\.(?! subject)"),
+    ("MIT-0", ("without restriction",), r"to deal in the software without restriction, including without limitation the rights to use[^.]*?persons to whom the software is furnished to do so\.(?! subject)"),
     ("ISC", ("permission to use",), r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above"),
     ("0BSD", ("permission to use",), r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
-    ("BSD-3-Clause", ("neither the name",), r"neither the names? of .{1,120}? nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("BSD-3-Clause", ("neither the name",), rf"neither the names? of {_until('neither the names? of', 'this software is provided')} nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
     ("BSD-2-Clause", ("redistributions in binary",), r"redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution\."),
     ("BSD-4-Clause", ("all advertising",), r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("Apache-2.0", ("you may not use this file",), r"licensed under the apache license, version 2\.0 \(the \"license\"\); you may not use this file except in compliance with the license"),
-    ("Apache-2.0", ("terms and conditions for use",), r"apache license,? version 2\.0, january 2004.{0,60}?terms and conditions for use, reproduction, and distribution"),
+    ("Apache-2.0", ("terms and conditions for use",), rf"apache license,? version 2\.0, january 2004{_until('january 2004', 'definitions')}terms and conditions for use, reproduction, and distribution"),
     ("Apache-1.1", ("apache software foundation",), r"this product includes software developed by the apache software foundation"),
     ("GPL-2.0-or-later", ("either version 2",), r"under the terms of the gnu general public license as published by the free software foundation[;,] either version 2 of the license,? or \(at your option\) any later version"),
     ("GPL-3.0-or-later", ("either version 3",), r"under the terms of the gnu general public license as published by the free software foundation[;,] either version 3 of the license,? or \(at your option\) any later version"),
@@ -56,7 +64,7 @@ TEXTS = [
     ("curl", ("copyright notice and this permission",), r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("Beerware", ("buy me a beer",), r"you can buy me a beer in return"),
     ("JSON", ("good, not evil",), r"shall be used for good, not evil"),
-    ("Ms-PL", ("microsoft public",), r"this license governs use of the accompanying software.{0,120}?microsoft public license"),
+    ("Ms-PL", ("microsoft public",), rf"microsoft public license{_until('this license governs', 'microsoft [a-z]+ license', 'definitions')}this license governs use of the accompanying software|this license governs use of the accompanying software{_until('this license governs', 'definitions')}microsoft public license"),
     ("Artistic-2.0", ("artistic license",), r"the artistic license 2\.0 copyright"),
     ("CDDL-1.0", ("development and distribution",), r"subject to the terms of the common development and distribution license"),
     ("EUPL-1.2", ("eupl", "european union public"), r"licensed under the eupl,? version 1\.2|european union public licence v\. ?1\.2"),
@@ -64,7 +72,7 @@ TEXTS = [
     ("NCSA", ("documentation files",), r"documentation files \(the \"software\"\), to deal(?:ing)? with the software without restriction"),
     ("HPND", ("documentation for any purpose",), r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and|with) "),
     ("SSPL-1.0", ("server side public",), r"under the terms of the server side public license,? version 1"),
-    ("BUSL-1.1", ("change date",), r"licensed work will be made available.{0,200}?change date"),
+    ("BUSL-1.1", ("change date",), rf"licensed work will be made available{_until('licensed work will be', _BLANK)}change date|effective on the change date, or the fourth anniversary of the first publicly available distribution"),
     ("Elastic-2.0", ("elastic license",), r"licensed under the elastic license 2\.0"),
     ("Vim", ("vim license",), r"this license applies to copies of vim|vim license"),
 ]
@@ -266,7 +274,7 @@ LOOSE = [
     ("CC-BY", SHORT - 10, ("cc by", "cc-by"), r"\bcc[- ]by(?:-nc)?(?:-sa|-nd)?\b(?![- ]?\d)"),
     ("Public-Domain", VAGUE + 5, ("public domain",), r"\bpublic domain\b"),
     ("Proprietary", VAGUE + 15, ("proprietary",), r"\bproprietary and confidential\b"),
-    ("Proprietary", VAGUE + 15, ("strictly prohibited",), r"\bunauthori[sz]ed (?:copying|use|distribution) of this file[^.]{0,80}is strictly prohibited"),
+    ("Proprietary", VAGUE + 15, ("strictly prohibited",), r"\bunauthori[sz]ed (?:copying|use|distribution) of this file[^.]*?is strictly prohibited"),
     ("All-Rights-Reserved", VAGUE + 2, ("all rights reserved",), r"\ball rights reserved\b"),
     ("Unknown-Reference", VAGUE, ("licen",), rf"\bsee (?:the )?(?:accompanying )?{_L}(?: file|\.txt|\.md)?\b"),
     ("Unknown-Reference", VAGUE, ("licen",), r"\b(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |an? |this )?[\w .,-]{0,60}?licen[sc]e\b"),

@@ -1,9 +1,11 @@
+import time
 from re import _parser
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm.license_rules import all_rules
+from spanloom.llm.license_rules import TEXT, all_rules
 from spanloom.llm.license_scan import UNNAMED, lowered, resolve, scan, scanner, uncontained
 from tests.llm.helpers import clashing, docs, odd
 
@@ -112,6 +114,50 @@ def test_containment_by_definition(raw):
     assert uncontained(found) == sorted(kept)
 
 
+APACHE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+BSD = """Neither the name of the University of
+California, Inc. nor the names of its contributors may be used to endorse
+or promote products derived from this software"""
+MS_PL = """Microsoft Public License (Ms-PL)
+
+This license governs use of the accompanying software. If you use the
+software, you accept this license."""
+BUSL = """Effective on the Change Date, or the fourth anniversary of the first publicly
+available distribution of a specific version of the Licensed Work"""
+MIT_0 = """to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so."""
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "# ", "          // "])
+@pytest.mark.parametrize(("name", "text"), [("Apache-2.0", APACHE), ("BSD-3-Clause", BSD), ("Ms-PL", MS_PL), ("BUSL-1.1", BUSL), ("MIT-0", MIT_0)])
+def test_wrapped_texts(name, text, lead):
+    got = scanner().scan("".join(lead + line + "\n" for line in text.split("\n")))
+    assert (name, TEXT) in [(d[2], d[3]) for d in got]
+
+
+def test_gaps_end():
+    apart = BSD.replace(" nor the names", ".\nThis software is provided as is.\nnor the names")
+    assert "BSD-3-Clause" not in [n for n, _ in names(apart)]
+    head, terms = "Apache License, Version 2.0, January 2004. ", "Terms and conditions for use, reproduction, and distribution"
+    assert [d[3] for d in scanner().scan(head + terms)] == [TEXT] and TEXT not in [d[3] for d in scanner().scan(head + "1. Definitions. " + terms)]
+    assert TEXT not in [d[3] for d in scanner().scan("Microsoft Public License.\nMicrosoft Reciprocal License (Ms-RL)\nThis license governs use of the accompanying software")]
+
+
+def test_gaps_are_linear():
+    start = time.time()
+    for text in (BSD[:21], APACHE[:86], "microsoft public license this license governs use of the accompanying software ", "licensed work will be made available change date "):
+        scanner().scan(text.replace("change", "chang") + "x " * 200_000)
+        scanner().scan((text.replace("change", "chang") + " x\n") * 5_000)
+    assert time.time() - start < 60
+
+
 def test_table(spark):
     df = clashing(odd(spark).unionByName(docs(spark, [(50, "é\U0001f600 " + MIT), (None, "MIT License"), (51, "MIT License"), (51, "MIT License")])))
     got = scan(df).collect()
