@@ -1,6 +1,7 @@
 """Media columns: cropped or edited copies of images, by local descriptors.
 
-Corners (Harris, non-maximum suppression) are found at several scales. Each has an
+Corners (Harris, non-maximum suppression) are found at scales down to the smallest usable side,
+against the strongest of their cell. Each has an
 orientation from its patch's intensity centroid and 256 binary tests that are turned by it.
 Descriptors meet in nine Hamming tables, each keyed by its own 28 bits. Two images with one
 meeting whose whole descriptors differ in few bits are a candidate: all their corners are then
@@ -37,6 +38,8 @@ from spanloom.plans.session import materialize, small_or_plain
 
 SCALES = (1.0, 1.4, 2.0)
 RADIUS, SUPPRESS, STRENGTH = 9, 5, 0.05
+#: Side of the cells in which a corner is held against the strongest one.
+CELL = 16
 TABLES, BITS, FAR = 9, 28, 40
 MIN_INLIERS, TOLERANCE = 6, 4.0
 
@@ -151,7 +154,7 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
 
 def _resize(x: np.ndarray, f: float) -> np.ndarray:
     h, w = int(x.shape[0] / f), int(x.shape[1] / f)
-    yy, xx = np.arange(h) * f, np.arange(w) * f
+    yy, xx = (np.arange(h) + 0.5) * f - 0.5, (np.arange(w) + 0.5) * f - 0.5
     y0, x0 = np.minimum(yy.astype(int), x.shape[0] - 2), np.minimum(xx.astype(int), x.shape[1] - 2)
     wy, wx = (yy - y0)[:, None], (xx - x0)[None]
     top = x[y0][:, x0] * (1 - wx) + x[y0][:, x0 + 1] * wx
@@ -159,13 +162,29 @@ def _resize(x: np.ndarray, f: float) -> np.ndarray:
     return top * (1 - wy) + low * wy
 
 
+def pyramid(img: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    """(factor, picture) by half octaves to SCALES' end, then by eighths down to the smallest side that holds a patch."""
+    f, i = 1.0, 0
+    while min(img.shape) / f >= 2 * RADIUS + 6:
+        # what the coarser grid can't hold is smoothed away first
+        x = _box(img, int(f / 2)) if f > 2 else img
+        yield f, _box(x if f == 1 else _resize(x, f), 1).astype(np.float64)
+        i += 1
+        f = SCALES[i] if i < len(SCALES) else SCALES[-1] * 2 ** ((i - len(SCALES) + 1) / 8)
+
+
+def _cells(r: np.ndarray) -> np.ndarray:
+    """The largest value of each place's cell."""
+    h, w = r.shape
+    x = np.pad(r, ((0, -h % CELL), (0, -w % CELL)))
+    top = x.reshape(x.shape[0] // CELL, CELL, -1, CELL).max((1, 3))
+    return np.repeat(np.repeat(top, CELL, 0), CELL, 1)[:h, :w]
+
+
 def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) and four words of bits of each corner."""
     places, codes = [], []
-    for f in SCALES:
-        if min(img.shape) / f < 2 * RADIUS + 6:
-            continue
-        x = _box(img if f == 1 else _resize(img, f), 1).astype(np.float64)
+    for f, x in pyramid(img):
         gy, gx = np.gradient(x)
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = a * b - c * c - 0.05 * (a + b) ** 2
@@ -176,7 +195,7 @@ def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = r
         for axis in (0, 1):
             most = np.max([np.roll(most, s, axis) for s in range(-SUPPRESS, SUPPRESS + 1)], axis=0)
-        py, px = np.nonzero((r == most) & (r > STRENGTH * r.max()))
+        py, px = np.nonzero((r == most) & (r > np.maximum(1, STRENGTH * _cells(r))))
         patch = x[py[:, None] + _DISC_Y, px[:, None] + _DISC_X]
         patch = patch - patch.mean(1, keepdims=True)
         ang = np.arctan2((patch * _DISC_Y).sum(1), (patch * _DISC_X).sum(1))
@@ -188,7 +207,7 @@ def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at.append(x[py[:, None] + oy, px[:, None] + ox])
         bits = at[0] < at[1]
         codes.append(np.packbits(bits, axis=1).view(np.int64).reshape(-1, 4))
-        places.append(np.stack([px * f, py * f, np.full(len(px), f), ang], 1))
+        places.append(np.stack([(px + 0.5) * f - 0.5, (py + 0.5) * f - 0.5, np.full(len(px), f), ang], 1))
     if not places:
         return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
     return np.concatenate(places), np.concatenate(codes)
@@ -239,16 +258,20 @@ def consensus(m: np.ndarray) -> tuple[int, float, float, float, float]:
     s, t = sb / sa, rb - ra
     co, si = s * np.cos(t), s * np.sin(t)
     dx, dy = xb - (co * xa - si * ya), yb - (si * xa + co * ya)
-    ex = co[:, None] * xa - si[:, None] * ya + dx[:, None] - xb
-    ey = si[:, None] * xa + co[:, None] * ya + dy[:, None] - yb
-    turn = np.abs((t[:, None] - t[None] + np.pi) % (2 * np.pi) - np.pi)
-    ok = (ex * ex + ey * ey <= (TOLERANCE * np.maximum(1, s[:, None])) ** 2) & (turn < 0.6)
-    pa_, pb_ = np.rint(xa / 6) * 4096 + np.rint(ya / 6), np.rint(xb / 6) * 4096 + np.rint(yb / 6)
+    sorts = []
+    for x, y in ((xa, ya), (xb, yb)):
+        place = np.rint(x / 6) * 4096 + np.rint(y / 6)
+        order = np.argsort(place, kind="stable")
+        sorts.append((order, np.nonzero(np.diff(place[order], prepend=-np.inf))[0]))
     best = (0, 0)
-    for i in np.argsort(-ok.sum(1), kind="stable"):
-        if ok[i].sum() <= best[0]:
-            break
-        best = max(best, (min(len(set(pa_[ok[i]])), len(set(pb_[ok[i]]))), -int(i)))
+    for lo in range(0, len(m), 512):
+        p = slice(lo, lo + 512)
+        ex = co[p, None] * xa - si[p, None] * ya + dx[p, None] - xb
+        ey = si[p, None] * xa + co[p, None] * ya + dy[p, None] - yb
+        turn = np.abs((t[p, None] - t[None] + np.pi) % (2 * np.pi) - np.pi)
+        ok = (ex * ex + ey * ey <= (TOLERANCE * np.maximum(1, s[p, None])) ** 2) & (turn < 0.6)
+        n = np.min([np.logical_or.reduceat(ok[:, order], starts, axis=1).sum(1) for order, starts in sorts], axis=0)
+        best = max(best, (int(n.max()), -(lo + int(n.argmax()))))
     i = -best[1]
     return best[0], float(s[i]), float((t[i] + np.pi) % (2 * np.pi) - np.pi), float(dx[i]), float(dy[i])
 

@@ -60,6 +60,30 @@ def test_edited_copies(spark):
     assert crop and crop.scale == pytest.approx(1, abs=0.05) and crop.dx == pytest.approx(-10, abs=1.5) and crop.dy == pytest.approx(-8, abs=1.5)
 
 
+def shrunk(img, n):
+    h, w = (z // n * n for z in img.shape)
+    return img[:h, :w].reshape(h // n, n, w // n, n).mean((1, 3))
+
+
+def captioned(img):
+    out = img * 0.12 + 110
+    out[70:92, 10:60], out[74:88, 14:56:4] = 255, 0
+    return out
+
+
+@pytest.mark.parametrize(("side", "edit"), [(384, lambda x: shrunk(x, 4)), (288, lambda x: shrunk(x, 3)), (96, lambda x: media._resize(x, 1 / 3)), (96, captioned)], ids=["x0.25", "x0.33", "x3", "caption"])
+def test_resized_and_captioned(side, edit):
+    """Thumbnails, enlarged copies, and a caption with eight times the picture's contrast."""
+    found = 0
+    for i in range(10):
+        x = picture(100 + i, side)
+        (pa, ca), (pb, cb) = (media.describe(media.decode(media.encode_pgm(z))) for z in (x, edit(x)))
+        i, k = np.nonzero(np.bitwise_count(ca[:, None] ^ cb[None]).sum(2) <= media.FAR)
+        met = (media.band_keys(ca)[i] == media.band_keys(cb)[k]).any()
+        found += bool(met) and media.consensus(np.concatenate([pa[i], pb[k]], 1))[0] >= media.MIN_INLIERS
+    assert found >= 9
+
+
 def test_against_all_pairs(spark):
     """The search against every pair of descriptors, turned copies among them."""
     rows = []
