@@ -7,30 +7,40 @@ its elements' hashes. One element more or less changes one part only, so the num
 differing parts is a lower bound of the symmetric difference, and two sets that differ in
 few elements must agree in some part. Each part becomes a join key per size band, the
 sizes of a band lying within a factor of three; a set near the top of its band is a guest
-in the next one, since partners are at most 1/tau times as large. Bands of large sets work
-on a hash sample of the elements.
-
-With fewer parts than the pigeonhole bound D + 1, a part holds enough elements to be telling.
-P and the number of independent partitionings are then those for which a pair exactly at tau
-agrees in 3.5 telling parts (three elements at least) on average; more similar pairs agree
-in many more. Sets of up to SMALL elements are joined exactly, on all
-combinations of as many elements as a pair must share, three at most.
+in the next one, since partners are at most 1/tau times as large. All elements of a set
+take part, whatever its size.
+
+The pigeonhole bound asks for D + 1 parts, which at tau = 0.6 is one part for two elements:
+most parts would be one frequent n-gram, and all sets that have it would meet. Here a part is
+a key from 3 elements on, or more in bands of large sets. P, that number and the number of
+independent partitionings are those for which a pair exactly at tau agrees in AGREE such parts
+on average, at every size of the band, with the fewest keys and chance meetings of sets that
+are a quarter alike. By the Poisson law a pair at tau meets nowhere with probability
+exp(-AGREE) < 0.001, and one at 0.7 with less than 1e-6. Sets of up to SMALL elements are joined exactly, on
+all combinations of as many elements as a pair must share, three at most.
 
 Candidates are verified in full: pairs are cut into tiles, each set travels once to each
 tile that needs it, a 4096-bit parity sketch rejects a pair when its Hamming distance is
 beyond the symmetric difference that tau allows, and the rest are intersected.
 
-Sets that are equal are one entity: its lowest doc_id stands for it in the join, and each
-other copy is paired with that document. So a thousand copies give a thousand rows.
+Sets that are equal are one entity: its lowest doc_id stands for it in the join. ``classes``
+gives a row per document with its class (the lowest doc_id that near pairs and copies lead
+to), its links (all other sets at tau or more) and its copies, so a thousand copies give a
+thousand rows; ``near_pairs`` gives the pairs of sets, and each copy with its lowest id.
+
+``dedup`` needs the classes alone. A key's sets are first compared with the least of them
+only; then with each other where these comparisons left them in different classes. A group of
+near copies so takes a row each and not all its pairs, and no link between classes is lost.
 
 Defined results
 - Words are those of ``bytesvec`` in the lower-cased text; a text of fewer than n words is
   one gram of all its words. A null, empty or wordless text has no pairs.
 - Rows with a null doc_id take no part. Rows equal in doc_id and set are one document; rows
-  of one doc_id with different sets are compared, but no document is paired with itself.
+  of one doc_id with different sets are compared and have a row each in ``classes``, but no
+  document is paired with itself.
 - An empty table gives no pairs. Other columns are ignored, whatever their names.
-- Recall is that of the formula above against brute force (no cap on partners or
-  candidates); every pair that is given is right, up to 40-bit hash collisions of n-grams.
+- There is no cap on partners or candidates; every pair that is given is right, up to 40-bit
+  hash collisions of n-grams.
 """
 
 from __future__ import annotations
@@ -48,12 +58,12 @@ from pyspark.sql import functions as F
 from spanloom.llm import bytesvec
 from spanloom.llm.common import fresh, named_apart, quoted, ship, slices, text_bytes
 from spanloom.llm.components import components
-from spanloom.plans.session import materialize, small_or_plain
+from spanloom.plans.session import drop_scratch, materialize, small_or_plain
 
 N, TAU = 2, 0.6
 SMALL = 8
-#: Elements that a band's sets are sampled down to, agreeing telling parts at tau, elements of a telling part.
-SAMPLED, AGREE, TELLING = 384, 3.5, 3
+#: Parts in which a pair exactly at tau agrees on average; similarity of the pairs that should not meet.
+AGREE, UNLIKE = 7.0, 0.25
 TILE_PAIRS = 50_000
 SKETCH_BITS = 4096
 _WIDTH = 5  # bytes of an element
@@ -63,23 +73,31 @@ def _poisson_tail(lam: float, m: int) -> float:
     return 1 - sum(math.exp(-lam) * lam**k / math.factorial(k) for k in range(m))
 
 
+def _meetings(parts: int, n: float, j: float, telling: int) -> float:
+    """Telling parts in which two sets of n elements and similarity j agree, on average."""
+    return parts * math.exp(-2 * (1 - j) / (1 + j) * n / parts) * _poisson_tail(2 * j / (1 + j) * n / parts, telling)
+
+
 @cache
-def band_plan(band: int, tau: float) -> tuple[int, int, float]:
-    """(parts, partitionings, sampling rate) of the sets with 9 * 3**band elements and up."""
+def band_plan(band: int, tau: float) -> tuple[int, int, int]:
+    """(parts, partitionings, elements of a telling part) of the sets with 9 * 3**band elements and up.
+
+    A chance meeting costs as much as some keys, as the sets then travel to be verified.
+    """
     low, top = (SMALL + 1) * 3.0**band, (SMALL + 1) * 3.0 ** (band + 1)
-    rate = min(1.0, SAMPLED / top)
-    sizes = [rate * x for x in (low, math.sqrt(low * top), top)]
-    best = None
-    for parts in range(2, 400):
-        f = min(parts * math.exp(-2 * (1 - tau) / (1 + tau) * n / parts) * _poisson_tail(2 * tau / (1 + tau) * n / parts, TELLING) for n in sizes)
-        if f <= 1e-3:
-            continue
-        repeats = math.ceil(AGREE / f)
-        rows = repeats * parts * _poisson_tail(sizes[1] / parts, TELLING)
-        if best is None or rows < best[0]:
-            best = (rows, parts, repeats)
-    assert best
-    return best[1], best[2], rate
+    mid = math.sqrt(low * top)
+    best = (math.inf, 0, 0, 0)
+    for telling in range(3, 8):
+        parts = 2
+        while parts < top:
+            f = min(_meetings(parts, n, tau, telling) for n in (low, mid, top))
+            if f > 1e-4:
+                repeats = math.ceil(AGREE / f)
+                keys = parts * _poisson_tail(mid / parts, telling)
+                chance = max(_meetings(parts, n, UNLIKE * tau / TAU, telling) for n in (low, mid, top))
+                best = min(best, (repeats * (keys + max(50, mid / 20) * chance), parts, repeats, telling))
+            parts = max(parts + 1, parts * 51 // 50)
+    return best[1:]
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -169,16 +187,11 @@ def keys_of(e: np.ndarray, counts: np.ndarray, sig: np.ndarray, tau: float) -> l
             on = counts[docs] >= tau * lower - 1e-9 if guest else np.ones(len(docs), bool)
             for band in np.unique(bands[on]):
                 pick = docs[on & (bands == band)]
-                parts, repeats, rate = band_plan(int(band), tau)
+                parts, repeats, telling = band_plan(int(band), tau)
                 k = counts[pick]
                 at = np.arange(int(k.sum())) + np.repeat(first[pick] - (np.cumsum(k) - k), k)
                 row = np.repeat(np.arange(len(pick)), k)
                 h = hashed[at]
-                if rate < 1:
-                    chosen = (bytesvec.mix(h + np.uint64(77)) >> np.uint64(32)) < np.uint64(rate * 2**32)
-                    h, row = h[chosen], row[chosen]
-                if not len(h):
-                    continue
                 code = np.zeros((len(pick), repeats * parts + 4), np.uint16)
                 found = []
                 for r in range(repeats):
@@ -188,7 +201,7 @@ def keys_of(e: np.ndarray, counts: np.ndarray, sig: np.ndarray, tau: float) -> l
                     begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     size = np.diff(np.append(begin, len(place)))
                     x = np.bitwise_xor.reduceat(h[order], begin)
-                    tell = size >= TELLING
+                    tell = size >= telling
                     p = place[begin[tell]]
                     col = p % parts + r * parts
                     key = bytesvec.mix(x[tell] ^ bytesvec.mix((np.uint64(band) << np.uint64(40)) + col.astype(np.uint64) + np.uint64(1)))
@@ -306,61 +319,107 @@ def _verify(tau: float):
     return run
 
 
-def _near_sets(features: DataFrame, sets: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((a, b, jaccard) over distinct sets, (sig, first, copies), (v, low, first) of the sets in candidates)."""
-    reps = features.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps, "sets")
-    spare = features.select("sig", "doc_id").join(reps.where("copies > 1").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("sig").alias("s_sig"), F.col("doc_id").alias("s_doc")).distinct()
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, (sig, first, copies) of each set, its elements from one document only)."""
+    features = materialize(feature_table(docs, id_col, text_col, n), "features")
+    own = features.select("sig", "doc_id").distinct()
+    reps = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("first"), (F.count(F.lit(1)) - 1).alias("copies")), "sets")
+    spare = features.select("sig", "doc_id").join(reps.where("copies > 0").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("sig").alias("s_sig"), F.col("doc_id").alias("s_doc")).distinct()
     spare = materialize(spare, "spare-copies")
-    once = sets.select("sig", "doc_id", "elements").join(small_or_plain(spare), (F.col("sig") == F.col("s_sig")) & (F.col("doc_id") == F.col("s_doc")), "left_anti")
-    cand = materialize(_candidates(key_table(once, tau), tau), "candidates")
+    full = feature_table(docs, id_col, text_col, n, True).select("sig", "doc_id", "elements")
+    return features, reps, full.join(small_or_plain(spare), (F.col("sig") == F.col("s_sig")) & (F.col("doc_id") == F.col("s_doc")), "left_anti")
+
+
+def _verified(once: DataFrame, cand: DataFrame, tau: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates at tau or more."""
     both = cand.select(F.col("a").alias("v"), F.col("b").alias("u")).union(cand.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    low = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("low"))
-    vertices = materialize(low.join(reps.select(F.col("sig").alias("v"), "first"), "v"), "vertices")
+    vertices = materialize(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("low")), "vertices")
     tiles = materialize(_tiles(cand, vertices), "tiles")
     need = tiles.select("tile", F.col("a").alias("n_sig")).union(tiles.select("tile", F.col("b"))).distinct()
     need = materialize(need, "needed")
     left = once.join(small_or_plain(need), F.col("sig") == F.col("n_sig")).select("tile", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
     rows = left.union(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("elements")))
     rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets"), reps, vertices
+    return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets")
+
+
+def _linked(near: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, jaccard, x, y): near sets with the lowest ids of each, unless one document has both."""
+    ends = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
+    name = materialize(reps.join(ends, "sig", "left_semi").select("sig", "first"), "names")
+    name = small_or_plain(name)
+    x = name.select(F.col("sig").alias("a"), F.col("first").alias("x"))
+    y = name.select(F.col("sig").alias("b"), F.col("first").alias("y"))
+    return near.join(x, "a").join(y, "b").where("x <> y").select("a", "b", "jaccard", "x", "y")
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: near sets by their lowest ids, copies with the lowest id of theirs."""
-    features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps, vertices = _near_sets(features, feature_table(docs, id_col, text_col, n, True), tau)
-    name = small_or_plain(vertices.select("v", "first"))
-    across = (
-        near.join(name.select(F.col("v").alias("a"), F.col("first").alias("x")), "a")
-        .join(name.select(F.col("v").alias("b"), F.col("first").alias("y")), "b")
-        .where("x <> y")
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    )
-    copies = features.select("sig", "doc_id").join(reps.where("copies > 1").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    features, reps, once = _sets(docs, id_col, text_col, n)
+    near = _verified(once, materialize(_candidates(key_table(once, tau), tau), "candidates"), tau)
+    across = _linked(near, reps).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    copies = features.select("sig", "doc_id").join(reps.where("copies > 0").select("sig", "first"), "sig").where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     # only repeated ids with different sets can give a pair twice
     return across.union(copies.distinct())
 
 
+def _members(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, first, copies, class_id) of the sets; class_id is the lowest id that links (a, b) lead to."""
+    roots = components(links.select("a", "b"))
+    named = roots.join(reps.select(F.col("sig").alias("v"), "first"), "v")
+    low = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    linked = materialize(roots.join(low, "root").select(F.col("v").alias("sig"), "class_id"), "classes")
+    return reps.join(linked, "sig", "left").select("sig", "first", "copies", F.coalesce("class_id", "first").alias("class_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
+    """(doc_id, class_id, links, copies): a row for each document with words."""
+    features, reps, once = _sets(docs, id_col, text_col, n)
+    near = _verified(once, materialize(_candidates(key_table(once, tau), tau), "candidates"), tau)
+    links = materialize(_linked(near, reps).select("a", "b"), "links")
+    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+    some = _members(reps, links).join(degree, "sig", "left").where("copies > 0 OR links > 0").select("sig", "class_id", "links", "copies")
+    some = small_or_plain(materialize(some, "linked-sets"))
+    zero = F.lit(0).cast("long")
+    own = features.select("sig", "doc_id").distinct().join(some, "sig", "left")
+    return own.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", zero).alias("links"), F.coalesce("copies", zero).alias("copies"))
+
+
+def _nearest_classes(once: DataFrame, tau: float) -> DataFrame:
+    """(a, b) near sets that lead to the same classes as all near pairs do, without all pairs of a key."""
+    keys = materialize(key_table(once, tau).select("key", "sig", "n"), "keys")
+    hubs = keys.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = keys.join(hubs, "key").select("key", "sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
+    met = materialize(met.where("sig <> hub OR members > 2"), "meetings")
+    drop_scratch(keys.sparkSession, keys)
+
+    def allowed(a: str, b: str) -> str:
+        return f"({a} > 0 OR {b} > 0) AND least(abs({a}), abs({b})) >= {tau}D * greatest(abs({a}), abs({b})) - 1e-9D"
+
+    star = materialize(met.where("sig <> hub AND " + allowed("n", "hub_n")).select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct(), "candidates")
+    near = _verified(once, star, tau).select("a", "b")
+    roots = small_or_plain(materialize(components(near).withColumnRenamed("v", "sig"), "roots"))
+    rest = met.where("members > 2").join(roots, "sig", "left").select("key", "sig", "n", "hub", F.coalesce("root", "sig").alias("root"))
+    mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = materialize(rest.where("sig <> hub").join(mixed, "key", "left_semi").select("key", "sig", "n", "root"), "mixed-keys")
+    on = F.expr("l.key = r.key AND l.sig < r.sig AND l.root <> r.root AND " + allowed("l.n", "r.n"))
+    more = rest.alias("l").join(rest.alias("r"), on).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
+    more = materialize(more.join(star, ["a", "b"], "left_anti"), "candidates")
+    if more.isEmpty():
+        return near
+    return near.union(_verified(once, more, tau).select("a", "b"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, tau: float = TAU) -> DataFrame:
     """The rows of docs that stay: of each group linked by near pairs, the lowest doc_id.
 
     Rows without an id or words stay; rows equal in doc_id and text stay or go together.
     """
     ship(docs.sparkSession)
-    features = materialize(feature_table(docs, id_col, text_col, n), "features")
-    near, reps, _ = _near_sets(features, feature_table(docs, id_col, text_col, n, True), tau)
-    roots = components(near.select("a", "b"))
-    member = reps.join(roots.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "first", "copies", F.coalesce("root", "sig").alias("root"))
-    stays = member.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("size")).where("size > 1")
-    gone = (
-        features.select("sig", "doc_id", "th")
-        .join(member.select("sig", "root"), "sig")
-        .join(stays, "root")
-        .where("doc_id <> stay")
-        .select(F.col("doc_id").alias("g_doc"), F.col("th").alias("g_th"))
-        .distinct()
-    )
+    features, reps, once = _sets(docs, id_col, text_col, n)
+    member = _members(reps, _nearest_classes(once, tau)).where("copies > 0 OR class_id <> first").select("sig", "class_id")
+    member = small_or_plain(materialize(member, "members"))
+    gone = features.select("sig", "doc_id", "th").join(member, "sig").where("doc_id <> class_id").select(F.col("doc_id").alias("g_doc"), F.col("th").alias("g_th")).distinct()
     gone = materialize(gone, "near-copies")
     key, th = fresh(docs, "k_doc"), fresh(docs, "k_th")
     full = docs.withColumns({key: quoted(id_col).cast("long"), th: F.xxhash64(quoted(text_col))})
@@ -369,7 +428,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 _SETS = """
@@ -379,7 +438,7 @@ w AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS s
   FROM w WHERE len(ws) > 0
 ), r AS (
-  SELECT s, min(doc_id) AS first, len(s) AS n FROM g GROUP BY s
+  SELECT s, min(doc_id) AS first, len(s) AS n, count(DISTINCT doc_id) AS copies FROM g GROUP BY s
 ), e AS (
   SELECT first, n, unnest(s) AS x FROM r
 ), p AS (
@@ -388,11 +447,18 @@ w AS (
 )"""
 
 SQL = (
-    "WITH "
+    "WITH RECURSIVE "
     + _SETS.replace("{docs}", "documents")
     + f"""
-SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= {TAU} - 1e-12
-UNION
-SELECT r.first, g.doc_id, 1.0 FROM g JOIN r ON g.s = r.s WHERE g.doc_id <> r.first
+, near AS (SELECT doc_a, doc_b FROM p WHERE jaccard >= {TAU} - 1e-12
+), ends AS (SELECT doc_a AS v, doc_b AS u FROM near UNION ALL SELECT doc_b, doc_a FROM near
+), reach AS (
+  SELECT v, v AS root FROM ends
+  UNION
+  SELECT ends.u, reach.root FROM reach JOIN ends ON reach.v = ends.v WHERE reach.root < ends.u
+), class AS (SELECT v, min(root) AS root FROM reach GROUP BY v
+), degree AS (SELECT v, count(*) AS links FROM ends GROUP BY v)
+SELECT g.doc_id, coalesce(class.root, r.first) AS class_id, coalesce(degree.links, 0) AS links, r.copies - 1 AS copies
+FROM g JOIN r ON g.s = r.s LEFT JOIN class ON class.v = r.first LEFT JOIN degree ON degree.v = r.first
 """
 )
