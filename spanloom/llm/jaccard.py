@@ -66,6 +66,8 @@ SMALL = 8
 AGREE, UNLIKE = 7.0, 0.25
 TILE_PAIRS = 50_000
 SKETCH_BITS = 4096
+#: Bytes of text or elements that one numpy pass works on, at about a hundred bytes of memory each.
+PASS_BYTES = 700_000
 _WIDTH = 5  # bytes of an element
 
 
@@ -159,7 +161,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(2)):
+            for lo, hi in slices(b.column(2), PASS_BYTES):
                 part = b.slice(lo, hi - lo)
                 e, counts = _elements(*text_bytes(part.column(2)), n)
                 cols = [part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(_signature(e, counts))]
@@ -235,7 +237,7 @@ def key_table(sets: DataFrame, tau: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), PASS_BYTES):
                 part = b.slice(lo, hi - lo)
                 data, off = text_bytes(part.column(1))
                 for key, sig, before, n in keys_of(_unpack(data), np.diff(off) // _WIDTH, part.column(0).to_numpy(), tau):
