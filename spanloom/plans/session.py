@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -101,6 +102,16 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files whose plans no one holds any more.
+
+    Spark deletes them when the driver collects its garbage, which on a large heap may be
+    hours after a materialized step has ended; between steps that shuffle much, ask for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for df only when a count shows it small; else leave the join to shuffle.
 
