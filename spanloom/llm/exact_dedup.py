@@ -2,7 +2,8 @@
 
 The index is a bucketed table of (digest, doc_id) in a caller-named folder, sorted by
 digest inside each bucket. A new batch is deduplicated in itself, then against the index
-by a sort-merge anti-join on digest, and the digests that are new are appended.
+by a sort-merge anti-join on digest, and the digests that are new are appended. The number of
+buckets is stored beside the data, as reading with another one would miss digests.
 
 Defined results
 - Two texts are copies when their bytes are equal; the digest is SHA-256 of the UTF-8 text.
@@ -10,12 +11,15 @@ Defined results
   rows that agree in doc_id and text count as one and a single one of them stays.
 - A null text is never a copy; such rows all stay and don't enter the index.
 - The empty text is a text like any other. An empty batch gives an empty result.
+- An index is always read under the number of buckets it was made with, whatever the session's
+  settings; asking for another number raises ValueError.
 - Other columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +36,63 @@ def digest(text) -> F.Column:
 class DigestIndex:
     """The digests seen so far: an external table CLUSTERED BY (digest) SORTED BY (digest).
 
-    The folder outlives the session; a new session registers it again under the same layout.
-    A join on digest reads it bucket by bucket without an exchange, so however large the
-    index is, only the new batch's digests are shuffled. The number of buckets is fixed with
-    the index; by default it is the session's number of shuffle partitions, so that a bucket
-    is as much as one task should join.
+    The folder outlives the session. It holds ``_layout``, with the number of buckets and the
+    version of the data, and that version's folder. A join on digest reads the table bucket by
+    bucket without an exchange, so however large the index is, only the new batch's digests are
+    shuffled. The number of buckets is fixed when the index is made; by default it is the
+    session's number of shuffle partitions then, so that a bucket is as much as one task should
+    join. Each append adds a file to each bucket; ``compact`` writes one sorted file per bucket
+    again, as a new version that takes the old one's place once it is whole.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
-        where = self.path.replace("'", "\\'")
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{where}'"
+        layout = self._layout()
+        if layout is None:
+            if buckets is not None and buckets < 1:
+                raise ValueError("buckets must be positive")
+            layout = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "version": 0}
+            self._store(layout)
+        elif buckets is not None and buckets != layout["buckets"]:
+            raise ValueError(f"the index has {layout['buckets']} buckets, not {buckets}")
+        self.buckets = layout["buckets"]
+        self._register(layout["version"])
+
+    def _fs(self, *parts: str):
+        """(file system, path) of a place in the index's folder."""
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+    def _layout(self) -> dict | None:
+        # a writer that broke off between deleting and renaming leaves the new file alone
+        fs, p = next(((fs, p) for fs, p in (self._fs("_layout"), self._fs("_layout.new")) if fs.exists(p)), (None, None))
+        if fs is None:
+            return None
+        stream = fs.open(p)
+        try:
+            return json.loads(stream.readUTF())
+        finally:
+            stream.close()
+
+    def _store(self, layout: dict) -> None:
+        fs, new = self._fs("_layout.new")
+        out = fs.create(new, True)
+        out.writeUTF(json.dumps(layout))
+        out.close()
+        _, p = self._fs("_layout")
+        fs.delete(p, False)
+        fs.rename(new, p)
+
+    def _register(self, version: int) -> None:
+        """Name the version's folder in the session's catalogue, under the layout it was written with."""
+        self.version = version
+        self.name = "digest_index_" + hashlib.md5(f"{self.path} {version}".encode()).hexdigest()[:16]
+        where = f"{self.path}/v{version}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{where}'"
         )
 
     def read(self) -> DataFrame:
@@ -54,17 +100,31 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
+    def _write(self, rows: DataFrame, mode: str, name: str, **options: str) -> None:
+        # by the bucket's number: of a bucketed table, a repartition by digest itself would be left out
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        rows = rows.select("digest", "doc_id").repartition(self.buckets, bucket)
+        rows.write.format("parquet").mode(mode).options(**options).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+
     def append(self, new: DataFrame) -> None:
         """Add (digest, doc_id) rows: one file per bucket, sorted by digest."""
-        (
-            new.select("digest", "doc_id")
-            .repartition(self.buckets, "digest")
-            .write.format("parquet")
-            .mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
+        self._write(new, "append", self.name)
+
+    def compact(self) -> None:
+        """One sorted file per bucket again; a failure leaves the old version in place."""
+        old, version = self.name, self.version + 1
+        fs, p = self._fs(f"v{version}")
+        fs.delete(p, True)  # what a broken compaction left
+        self._write(self.read(), "overwrite", f"{old}_new", path=f"{self.path}/v{version}")
+        self.spark.sql(f"DROP TABLE {old}_new")
+        self._store({"buckets": self.buckets, "version": version})
+        self._register(version)
+        self.spark.sql(f"DROP TABLE {old}")
+        fs.delete(self._fs(f"v{version - 1}")[1], True)
+
+    def close(self) -> None:
+        """Take the index out of the session's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def _winners(d: DataFrame) -> DataFrame:
@@ -142,10 +202,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     return kept.drop(key, dig)
 
 
+def arrivals(docs: DataFrame, id_col: str = "doc_id") -> list[DataFrame]:
+    """docs as two batches, the lower ids first and null ids last, so that a text's first arrival has its lowest id."""
+    key = quoted(id_col).cast("long")
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return [docs]
+    middle = F.lit((low + high) // 2)
+    return [docs.where(key <= middle), docs.where(key.isNull() | (key > middle))]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, scratch_path(spark, "digest-index"))
-    absorb(docs, index)
+    for batch in arrivals(docs):
+        absorb(batch, index)
     return find_copies(docs, index=index)
 
 
