@@ -9,14 +9,15 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = Path(__file__).resolve().parents[1]
 _SHIPPED = "spanloom.shipped"
 
-#: Rows up to which a narrow side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side's values up to which it is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def get_spark(app: str = "spanloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -112,11 +113,33 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for df only when a count shows it small; else leave the join to shuffle.
+def _value_bytes(c: Column, kind: T.DataType) -> Column | int:
+    """Bytes of a value, a number where they don't depend on it."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(c[f.name], f.dataType) for f in kind.fields), 0)
+    if isinstance(kind, T.ArrayType):
+        one = _value_bytes(F.lit(None), kind.elementType) if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields)
+        if isinstance(one, int):
+            return F.coalesce(F.size(c), F.lit(0)) * one + 8
+        return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda n, x: n + _value_bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(c), T.ArrayType(kind.valueType))
+    return 8
+
+
+def data_bytes(df: DataFrame) -> int:
+    """Bytes of df's values, eight a row included: what a broadcast of it would send, less its index."""
+    per_row = sum((_value_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields), 8)
+    if isinstance(per_row, int):
+        return per_row * df.count()
+    return df.agg(F.sum(per_row.cast("long"))).first()[0] or 0
 
-    df should be cheap to count: a materialized table or a projection of one.
-    """
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
 
+def small_or_plain(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for df only when its bytes were measured to be few; else leave the join to shuffle.
+
+    df should be cheap to read: a materialized table or a projection of one.
+    """
+    return F.broadcast(df) if data_bytes(df) <= limit else df
