@@ -1,13 +1,17 @@
 """Line dedup: repeated runs of lines are found by winnowing and their later copies deleted.
 
-A run counts when its lines hold min_words words together. For each line, the shortest run
-of that size that begins there, and the shortest that ends there, is a window. The least
-line hash of a window is its fingerprint, so any repeated run holds a window whose
-fingerprint and content are met again at the run's other places: a guarantee, not a chance.
-Places are joined by (fingerprint, window content). The windows that begin at a line carry a
-match on to the right, those that end at a line carry it to the left, until the run is
-whole: a line is covered by some repeated window exactly when it lies in a repeated run.
-Every line of a window that occurred earlier, by (doc_id, line), is deleted.
+A run counts when its lines hold min_words words together. The shortest run of that size
+that begins at a line is its window, and the least line hash of a window is selected as a
+fingerprint. A fingerprint is recorded once for each place it is selected at, however many windows
+share it. Equal windows select the same line, so every repeated run holds a fingerprint that is
+selected at each of its places: a guarantee, not a chance. Fingerprints that are selected at one
+place only in all documents end the search there.
+
+Round the fingerprints that are met again, the match is extended both ways: by the windows that
+begin at a line, to the right, and by the shortest runs that end at a line, to the left, each
+joined by the fingerprint and the content of its lines. A line is covered by some repeated one of
+these exactly when it lies in a repeated run. Every line of a window that occurred earlier, by
+(doc_id, text hash, line), is deleted.
 
 Only windows whose content occurs more than once are joined, to their first place and not
 to each other, so a passage of a million copies makes a million rows. Text is shuffled only
@@ -19,7 +23,9 @@ Defined results
 - A repeat within a document counts like one across documents.
 - A document whose lines all go keeps its row with an empty text; null and empty texts are
   returned as they are, as are rows with a null doc_id, which take no part.
-- Rows equal in doc_id and text are one document and get the same result.
+- Rows equal in doc_id and text are one document and get the same result. Rows equal in doc_id
+  alone are several documents, in the order of their texts' hashes.
+- A repeated passage that begins or ends inside a line is found as far as its whole lines go.
 - Other columns, whatever their names, pass through.
 """
 
@@ -73,27 +79,74 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc, h, c[ends] - c[starts]
 
 
-def windows(doc: np.ndarray, h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(first line, last line, fingerprint, content hash) of each window, by line number in the batch."""
-    n = len(h)
+def _first_windows(doc: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each line, first line, last line) of the shortest window that begins at a line."""
+    n = len(words)
     c = np.concatenate([[0], np.cumsum(words)])
-    p = np.arange(n)
     q = np.searchsorted(c[1:], c[:-1] + min_words, side="left")
     ok = q < n
     ok[ok] = doc[q[ok]] == doc[ok]
+    return c, np.flatnonzero(ok), q[ok]
+
+
+def _least(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The least hash of each window."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    return np.minimum.reduceat(np.append(h, np.uint64(2**64 - 1)), np.stack([s, e + 1], 1).ravel())[::2]
+
+
+def winnow(doc: np.ndarray, h: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Line numbers in the batch that some window selects: the last one with its least hash."""
+    _, s, e = _first_windows(doc, words, min_words)
+    if not len(s):
+        return s
+    kinds, code = np.unique(h, return_inverse=True)
+    n = len(h)
+    at = np.sort(code * n + np.arange(n))
+    last = np.searchsorted(at, np.searchsorted(kinds, _least(h, s, e)) * n + e, side="right") - 1
+    return np.unique(at[last] % n)
+
+
+def windows(doc: np.ndarray, h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(first line, last line, fingerprint, content hash) of each window, by line number in the batch.
+
+    The fingerprint is that of the shortest window that begins at the same line.
+    """
+    n = len(h)
+    c, p, q = _first_windows(doc, words, min_words)
     back = np.searchsorted(c, c[1:] - min_words, side="right") - 1
-    ok2 = back >= 0
-    ok2[ok2] = doc[back[ok2]] == doc[ok2]
-    spans = np.unique(np.concatenate([p[ok] * n + q[ok], back[ok2] * n + p[ok2]]))
+    ends = np.flatnonzero(back >= 0)
+    ends = ends[doc[back[ends]] == doc[ends]]
+    spans = np.unique(np.concatenate([p * n + q, back[ends] * n + ends]))
     s, e = spans // n, spans % n
     if not len(s):
         z = np.zeros(0, np.uint64)
         return s, e, z, z
-    pairs = np.stack([s, e + 1], 1).ravel()
-    least = np.minimum.reduceat(np.append(h, np.uint64(2**64 - 1)), pairs)[::2]
+    least = np.zeros(n, np.uint64)
+    least[p] = _least(h, p, q)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n), dtype=np.uint64)])
     content = bytesvec.mix((total[e + 1] - total[s]) * _powers(_INVERSE, n)[s] + (e - s + 1).astype(np.uint64))
-    return s, e, least, content
+    return s, e, least[s], content
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("th"), quoted(text_col).alias("text"))
+    return d.where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(fp): the fingerprints that are selected at more than one place, counted before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(0)):
+                doc, h, words = lines(*text_bytes(b.column(0).slice(lo, hi - lo)))
+                fp, places = np.unique(h[winnow(doc, h, words, min_words)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(places)], names=["fp", "places"])
+
+    found = _named(docs, id_col, text_col).select("text").mapInArrow(run, "fp long, places long")
+    return found.groupBy("fp").agg(F.sum("places").alias("places")).where("places > 1").select("fp")
 
 
 def window_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -113,16 +166,17 @@ def window_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                     names=["doc_id", "th", "s", "e", "fp", "content"],
                 )
 
-    d = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("th"), quoted(text_col).alias("text"))
-    return d.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, th long, s int, e int, fp long, content long")
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, s int, e int, fp long, content long")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs): per document the disjoint (s, e) runs of lines to delete, in order."""
     ship(docs.sparkSession)
-    win = materialize(window_table(docs, id_col, text_col, min_words), "windows")
-    first = win.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "content", "f")
-    later = win.join(first, ["fp", "content"]).where(F.struct("doc_id", "s") > F.col("f")).select("doc_id", "th", "s", "e")
+    again = small_or_plain(materialize(fingerprints(docs, id_col, text_col, min_words), "fingerprints"))
+    win = materialize(window_table(docs, id_col, text_col, min_words).join(again, "fp", "left_semi"), "windows")
+    place = F.struct("doc_id", "th", "s")
+    first = win.groupBy("fp", "content").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "content", "f")
+    later = win.join(first, ["fp", "content"]).where(place > F.col("f")).select("doc_id", "th", "s", "e")
     w = W.partitionBy("doc_id", "th").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     cut = later.withColumn("new", F.coalesce(F.col("s") > reach + 1, F.lit(True)).cast("int"))

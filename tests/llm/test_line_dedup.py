@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm.line_dedup import _without, dedup_lines, lines, windows
+from spanloom.llm.line_dedup import _without, dedup_lines, fingerprints, lines, window_table, windows, winnow
 from tests.llm.helpers import clashing, docs, odd
 
 
@@ -47,6 +47,23 @@ def test_passage_of_fifty_words(spark):
     assert got == {1: rows[0][1], 2: "head two\ntail two", 3: "alone"}
 
 
+def test_winnowing_leaves_few_windows(spark, data):
+    """Only windows with a fingerprint that is met again are joined: fewer than there are lines."""
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    again = fingerprints(df, "doc_id", "text", 50)
+    left = window_table(df, "doc_id", "text", 50).join(again, "fp", "left_semi").count()
+    n_lines = sum(r.text.count("\n") + 1 for r in df.collect() if r.text is not None)
+    assert 0 < left < n_lines / 2
+
+
+def test_one_id_with_several_texts(spark):
+    passage = "\n".join(" ".join(f"q{k}w{i}" for i in range(26)) for k in range(2))
+    rows = [(1, "one\n" + passage), (1, passage + "\ntwo"), (1, passage + "\ntwo"), (2, passage)]
+    got = [(r.doc_id, r.text, r.lines_removed) for r in dedup_lines(docs(spark, rows)).collect()]
+    # one of the two texts of id 1 comes first, the rows of the other are alike
+    assert sorted(n for d, _, n in got if d == 1) in ([0, 2, 2], [0, 0, 2]) and (2, "", 2) in got
+
+
 def test_many_copies(spark):
     text = "\n".join(" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
     got = dedup_lines(docs(spark, [(i, text) for i in range(300)])).collect()
@@ -82,10 +99,18 @@ def test_windows(texts, least):
     flat = [x for t in texts for x in t.split("\n")]
     seen = {}
     for a, b, f, c in zip(s, e, fp, content, strict=True):
-        assert doc[a] == doc[b] and words[a : b + 1].sum() >= least and f == h[a : b + 1].min()
+        shortest = next(k for k in range(a, b + 1) if words[a : k + 1].sum() >= least)
+        assert doc[a] == doc[b] and words[a : b + 1].sum() >= least and f == h[a : shortest + 1].min()
         assert seen.setdefault(int(c), flat[a : b + 1]) == flat[a : b + 1]
         # nothing shorter would do at one of its ends
         assert words[a:b].sum() < least or words[a + 1 : b + 1].sum() < least
+    picked = set()
+    for a in range(len(h)):
+        for b in range(a, len(h)):
+            if doc[a] == doc[b] and words[a : b + 1].sum() >= least:
+                picked.add(max(k for k in range(a, b + 1) if h[k] == h[a : b + 1].min()))
+                break
+    assert winnow(doc, h, words, least).tolist() == sorted(picked)
 
 
 def test_without(spark):
