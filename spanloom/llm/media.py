@@ -1,13 +1,17 @@
 """Media columns: cropped or edited copies of images, by local descriptors.
 
 Corners (Harris, non-maximum suppression) are found at scales down to the smallest usable side,
-against the strongest of their cell. Each has an
+against the strongest of their cell, in batches of pictures of one size. Each has an
 orientation from its patch's intensity centroid and 256 binary tests that are turned by it.
-Descriptors meet in nine Hamming tables, each keyed by its own 28 bits. Two images with one
-meeting whose whole descriptors differ in few bits are a candidate: all their corners are then
-compared with each other, so a candidate's matches are those of brute force. Every match of two
-oriented corners proposes a similarity transform; the images are a pair if one proposal
-carries enough of their other matches to their places (geometric consensus).
+Descriptors meet in nine Hamming tables, each keyed by 28 of the tests. A table's tests are
+chosen from a model of smooth pictures so that they say little about each other; else unlike
+corners meet by the thousand. The tables are joined one after another, a table's shuffle being
+given back before the next begins, and a meeting counts only if the whole descriptors differ in
+FAR bits at most, which the join itself tests. Two images with a meeting within SURE bits, or
+with two meetings, are a candidate: all their corners are then compared with each other, so a
+candidate's matches are those of brute force. Every match of two oriented corners proposes a
+similarity transform; the images are a pair if one proposal carries enough of their other
+matches to their places (geometric consensus).
 
 Images are decoded here from PGM, PPM or PNG (8 bit, not interlaced). Images with equal
 bytes are one entity: the lowest id stands for it, and each other copy is paired with it, so
@@ -15,11 +19,15 @@ a thousand copies make a thousand rows and not a million.
 
 The test tables hold no pictures, so the query renders one from each row of ``embeddings``:
 the vector's values set the waves of a smooth field, and near vectors give near pictures.
+About a twentieth of the pictures, by a hash of their ids, is followed by an edited copy with
+the id -1 - id: cropped, turned, lightened, noisy or captioned. All of them are searched.
 
 Defined results
 - Null, broken and unsupported images, and images without corners, match nothing but equal
   bytes; a null image or a null id takes no part at all.
 - A repeated id with different images is compared, but no id is paired with itself.
+- A large picture is held in memory whole, some forty bytes for each of its pixels; corners are
+  compared and proposals are counted in blocks of bounded size.
 - An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
@@ -27,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +43,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import quoted, ship, table
-from spanloom.plans.session import materialize, small_or_plain
+from spanloom.plans.session import free_shuffles, materialize, small_or_plain
 
 SCALES = (1.0, 1.4, 2.0)
 RADIUS, SUPPRESS, STRENGTH = 9, 5, 0.05
 #: Side of the cells in which a corner is held against the strongest one.
 CELL = 16
 TABLES, BITS, FAR = 9, 28, 40
+#: Differing bits up to which a single meeting makes a candidate.
+SURE = 34
+#: Steps in which the tests are turned, pixels that are described at once, cells of a comparison block.
+TURNS, BATCH_PIXELS, BLOCK = 128, 300_000, 2_000_000
 MIN_INLIERS, TOLERANCE = 6, 4.0
 
 _rng = np.random.default_rng(20240229)
@@ -49,6 +62,80 @@ _g = np.arange(-RADIUS, RADIUS + 1)
 _DISC_Y, _DISC_X = (z.ravel() for z in np.meshgrid(_g, _g, indexing="ij"))
 _in = _DISC_X**2 + _DISC_Y**2 <= RADIUS**2
 _DISC_X, _DISC_Y = _DISC_X[_in], _DISC_Y[_in]
+MARGIN = RADIUS + 2
+
+
+def _turned() -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the tests' first and second places at each of TURNS orientations."""
+    t = np.arange(TURNS) * (2 * np.pi / TURNS)
+    co, si = np.cos(t)[:, None], np.sin(t)[:, None]
+    out = []
+    for u in (0, 2):
+        x = np.rint(co * _PAIRS[:, u] - si * _PAIRS[:, u + 1]).astype(int)
+        y = np.rint(si * _PAIRS[:, u] + co * _PAIRS[:, u + 1]).astype(int)
+        out.append((np.clip(y, -MARGIN, MARGIN), np.clip(x, -MARGIN, MARGIN)))
+    return out
+
+
+_TURNED = _turned()
+
+
+def _table_tests(width: float = 2.5) -> list[np.ndarray]:
+    """The BITS tests of each table.
+
+    Grey levels are taken as a random field whose covariance falls off like a Gaussian of that
+    width; the orientation fixes the patch's centroid. What is left of the tests' correlation and
+    their bias is kept low within a table, test by test, and a test is seldom used twice.
+    """
+    places = np.rint(_PAIRS)
+    first, second, disc = places[:, :2], places[:, 2:], np.stack([_DISC_X, _DISC_Y], 1).astype(float)
+
+    def field(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.exp(-((u[:, None] - v[None]) ** 2).sum(2) / (2 * width**2))
+
+    cov = field(first, first) - field(first, second) - field(second, first) + field(second, second)
+    to_disc, inner = field(first, disc) - field(second, disc), field(disc, disc)
+    along, across = to_disc @ disc[:, 0], to_disc @ disc[:, 1]
+    spread_x, spread_y = disc[:, 0] @ inner @ disc[:, 0], disc[:, 1] @ inner @ disc[:, 1]
+    cov -= np.outer(across, across) / spread_y + np.outer(along, along) / spread_x
+    sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+    bias, corr = np.abs(along) / np.sqrt(spread_x) / sd, np.abs(cov / np.outer(sd, sd))
+    rng, used, out = np.random.default_rng(7), np.zeros(256), []
+    for _ in range(TABLES):
+        cost, worst, picked = 0.5 * bias + 0.15 * used + 0.05 * rng.random(256), np.zeros(256), []
+        for _ in range(BITS):
+            c = worst + cost
+            c[picked] = np.inf
+            picked.append(int(np.argmin(c)))
+            worst = np.maximum(worst, corr[picked[-1]])
+        used[picked] += 1
+        out.append(np.array(picked))
+    return out
+
+
+_TESTS = _table_tests()
+
+
+def _unfiltered(kind: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Undo the row filters, a diagonal at a time: a place needs those left, above and left above it."""
+    h, w, ch = raw.shape
+    if not np.isin(kind, (1, 3, 4)).any():
+        out = raw.astype(np.uint8)
+        for y in np.flatnonzero(kind == 2):
+            out[y] += out[y - 1] if y else 0
+        return out
+    out = np.zeros((h + 1, w + 1, ch), np.int16)
+    for t in range(w + h - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        k = kind[y][:, None]
+        e = a + b - c
+        da, db, dc = np.abs(e - a), np.abs(e - b), np.abs(e - c)
+        paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        p = np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) >> 1, paeth], 0)
+        out[y + 1, x + 1] = (raw[y, x] + p) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def _png(b: bytes) -> np.ndarray | None:
@@ -69,25 +156,7 @@ def _png(b: bytes) -> np.ndarray | None:
         return None
     w, h, ch = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
     raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * ch)
-    out = np.zeros((h, w * ch), np.uint8)
-    for y in range(h):
-        f, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros(w * ch, np.int64)
-        if f == 2:
-            line = line + up
-        elif f == 1:
-            line = np.cumsum(line.reshape(w, ch), 0).ravel()
-        elif f in (3, 4):
-            line = line.copy()
-            for x in range(w * ch):
-                a, c = (line[x - ch], up[x - ch]) if x >= ch else (0, 0)
-                if f == 3:
-                    p = (a + up[x]) // 2
-                else:
-                    e = a + up[x] - c
-                    p = min((abs(e - a), 0, a), (abs(e - up[x]), 1, up[x]), (abs(e - c), 2, c))[2]
-                line[x] = (line[x] + p) & 255
-        out[y] = line & 255
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, ch))
     img = out.reshape(h, w, ch)
     if head[3] == 3:
         if palette is None:
@@ -143,109 +212,184 @@ def render(v: np.ndarray, side: int = 96, waves: int = 14) -> np.ndarray:
     return 127.5 + 120 * np.tanh(img / 2.5)
 
 
-def _box(x: np.ndarray, r: int) -> np.ndarray:
-    for axis in (0, 1):
-        pad = [(r + 1, r) if i == axis else (0, 0) for i in range(2)]
-        c = np.cumsum(np.pad(x, pad, mode="edge"), axis=axis)
-        k = 2 * r + 1
-        x = (c[k:] - c[:-k]) if axis == 0 else (c[:, k:] - c[:, :-k])
-    return x / (2 * r + 1) ** 2
+def _blur(x: np.ndarray, r: int) -> np.ndarray:
+    """Means over squares of 2r + 1 of (n, height, width), edges repeated."""
+    k = 2 * r + 1
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
+        pad[axis] = (r, r)
+        p = np.moveaxis(np.pad(x, pad, mode="edge"), axis, 0)
+        n = x.shape[axis]
+        if k <= 7:
+            y = p[:n] + p[1 : n + 1]
+            for i in range(2, k):
+                y += p[i : n + i]
+        else:
+            c = np.cumsum(np.concatenate([np.zeros_like(p[:1]), p]), axis=0, dtype=np.float64)
+            y = (c[k:] - c[:-k]).astype(np.float32)
+        x = np.moveaxis(y, 0, axis)
+    return np.ascontiguousarray(x / np.float32(k * k))
 
 
 def _resize(x: np.ndarray, f: float) -> np.ndarray:
-    h, w = int(x.shape[0] / f), int(x.shape[1] / f)
+    """(n, height / f, width / f), bilinear."""
+    h, w = int(x.shape[1] / f), int(x.shape[2] / f)
     yy, xx = (np.arange(h) + 0.5) * f - 0.5, (np.arange(w) + 0.5) * f - 0.5
-    y0, x0 = np.minimum(yy.astype(int), x.shape[0] - 2), np.minimum(xx.astype(int), x.shape[1] - 2)
-    wy, wx = (yy - y0)[:, None], (xx - x0)[None]
-    top = x[y0][:, x0] * (1 - wx) + x[y0][:, x0 + 1] * wx
-    low = x[y0 + 1][:, x0] * (1 - wx) + x[y0 + 1][:, x0 + 1] * wx
-    return top * (1 - wy) + low * wy
+    y0, x0 = np.minimum(yy.astype(int), x.shape[1] - 2), np.minimum(xx.astype(int), x.shape[2] - 2)
+    wy, wx = (yy - y0).astype(np.float32)[:, None], (xx - x0).astype(np.float32)
+    rows = x[:, y0] * (1 - wy) + x[:, y0 + 1] * wy
+    return rows[:, :, x0] * (1 - wx) + rows[:, :, x0 + 1] * wx
 
 
-def pyramid(img: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-    """(factor, picture) by half octaves to SCALES' end, then by eighths down to the smallest side that holds a patch."""
+def pyramid(imgs: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    """(factor, pictures) by half octaves to SCALES' end, then by eighths down to the smallest side that holds a patch."""
     f, i = 1.0, 0
-    while min(img.shape) / f >= 2 * RADIUS + 6:
+    while min(imgs.shape[1:]) / f >= 2 * RADIUS + 6:
         # what the coarser grid can't hold is smoothed away first
-        x = _box(img, int(f / 2)) if f > 2 else img
-        yield f, _box(x if f == 1 else _resize(x, f), 1).astype(np.float64)
+        x = _blur(imgs, int(f / 2)) if f > 2 else imgs
+        yield f, _blur(x if f == 1 else _resize(x, f), 1)
         i += 1
         f = SCALES[i] if i < len(SCALES) else SCALES[-1] * 2 ** ((i - len(SCALES) + 1) / 8)
 
 
-def _cells(r: np.ndarray) -> np.ndarray:
-    """The largest value of each place's cell."""
-    h, w = r.shape
-    x = np.pad(r, ((0, -h % CELL), (0, -w % CELL)))
-    top = x.reshape(x.shape[0] // CELL, CELL, -1, CELL).max((1, 3))
-    return np.repeat(np.repeat(top, CELL, 0), CELL, 1)[:h, :w]
+def _highest(r: np.ndarray) -> np.ndarray:
+    """The largest value within SUPPRESS places, by doubling."""
+    span = 2 * SUPPRESS + 1
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
+        pad[axis] = (SUPPRESS, SUPPRESS)
+        a, k = np.moveaxis(np.pad(r, pad), axis, 0), 1
+        while k < span:
+            step = min(k, span - k)
+            a, k = np.maximum(a[:-step], a[step:]), k + step
+        r = np.moveaxis(a, 0, axis)
+    return r
+
+
+@cache
+def _offsets(width: int) -> tuple[np.ndarray, ...]:
+    return tuple(y * width + x for y, x in _TURNED)
+
+
+def describe_many(imgs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(picture, (x, y, scale, angle), four words of bits) of each corner of equally large pictures, by picture."""
+    n = len(imgs)
+    found: list[tuple[np.ndarray, ...]] = []
+    for f, x in pyramid(imgs.astype(np.float32)):
+        h, w = x.shape[1:]
+        gy, gx = np.gradient(x, axis=(1, 2))
+        a, b, c = _blur(gx * gx, 2), _blur(gy * gy, 2), _blur(gx * gy, 2)
+        edge = a + b
+        harris = a * b - c * c - np.float32(0.05) * edge * edge
+        m = MARGIN
+        r = np.zeros_like(harris)
+        np.maximum(harris[:, m:-m, m:-m], 0, out=r[:, m:-m, m:-m])
+        cells = np.pad(r, ((0, 0), (0, -h % CELL), (0, -w % CELL)))
+        cells = cells.reshape(n, cells.shape[1] // CELL, CELL, -1, CELL).max((2, 4))
+        i, py, px = np.nonzero((r == _highest(r)) & (r > 1))
+        on = r[i, py, px] > STRENGTH * cells[i, py // CELL, px // CELL]
+        i, py, px = i[on], py[on], px[on]
+        if not len(i):
+            continue
+        flat, at = x.ravel(), ((i * h + py) * w + px)[:, None]
+        patch = flat.take(at + (_DISC_Y * w + _DISC_X)).astype(np.float64)
+        patch -= patch.mean(1, keepdims=True)
+        ang = np.arctan2((patch * _DISC_Y).sum(1), (patch * _DISC_X).sum(1))
+        turn = np.rint(ang * (TURNS / (2 * np.pi))).astype(np.int64) % TURNS
+        one, two = _offsets(w)
+        bits = flat.take(at + one[turn]) < flat.take(at + two[turn])
+        found.append((i, np.stack([(px + 0.5) * f - 0.5, (py + 0.5) * f - 0.5, np.full(len(px), f), ang], 1), np.packbits(bits, axis=1).view(np.int64).reshape(-1, 4)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros((0, 4), np.int64)
+    i, p, code = (np.concatenate(z) for z in zip(*found, strict=True))
+    order = np.argsort(i, kind="stable")
+    return i[order], p[order], code[order]
 
 
 def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) and four words of bits of each corner."""
-    places, codes = [], []
-    for f, x in pyramid(img):
-        gy, gx = np.gradient(x)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = a * b - c * c - 0.05 * (a + b) ** 2
-        m = RADIUS + 2
-        r[:m], r[-m:], r[:, :m], r[:, -m:] = 0, 0, 0, 0
-        if r.max() <= 1:
-            continue
-        most = r
-        for axis in (0, 1):
-            most = np.max([np.roll(most, s, axis) for s in range(-SUPPRESS, SUPPRESS + 1)], axis=0)
-        py, px = np.nonzero((r == most) & (r > np.maximum(1, STRENGTH * _cells(r))))
-        patch = x[py[:, None] + _DISC_Y, px[:, None] + _DISC_X]
-        patch = patch - patch.mean(1, keepdims=True)
-        ang = np.arctan2((patch * _DISC_Y).sum(1), (patch * _DISC_X).sum(1))
-        co, si = np.cos(ang)[:, None], np.sin(ang)[:, None]
-        at = []
-        for u in (0, 2):
-            ox = np.clip(np.rint(co * _PAIRS[:, u] - si * _PAIRS[:, u + 1]).astype(int), -m, m)
-            oy = np.clip(np.rint(si * _PAIRS[:, u] + co * _PAIRS[:, u + 1]).astype(int), -m, m)
-            at.append(x[py[:, None] + oy, px[:, None] + ox])
-        bits = at[0] < at[1]
-        codes.append(np.packbits(bits, axis=1).view(np.int64).reshape(-1, 4))
-        places.append(np.stack([(px + 0.5) * f - 0.5, (py + 0.5) * f - 0.5, np.full(len(px), f), ang], 1))
-    if not places:
-        return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
-    return np.concatenate(places), np.concatenate(codes)
+    return describe_many(img[None])[1:]
+
+
+def table_keys(codes: np.ndarray, t: int) -> np.ndarray:
+    """The key of each descriptor in table t."""
+    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 32), axis=1)[:, _TESTS[t]]
+    packed = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 8 - packed.shape[1])))).view(np.int64).ravel()
 
 
 def band_keys(codes: np.ndarray) -> np.ndarray:
-    """(corners, TABLES) keys: the table's number over its BITS bits of the descriptor."""
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 32), axis=1)[:, : TABLES * BITS].reshape(-1, TABLES, BITS)
-    return (bits.astype(np.int64) << np.arange(BITS)).sum(2) + (np.arange(TABLES, dtype=np.int64) << 40)
+    """(corners, TABLES) keys."""
+    return np.stack([table_keys(codes, t) for t in range(TABLES)], 1) if len(codes) else np.zeros((0, TABLES), np.int64)
+
+
+_CORNERS = "sig long, places array<float>, codes array<long>"
+
+
+def _described(imgs: list[np.ndarray | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places and codes of each picture; pictures of one size are described together."""
+    places: list[np.ndarray] = [np.zeros((0, 4))] * len(imgs)
+    codes: list[np.ndarray] = [np.zeros((0, 4), np.int64)] * len(imgs)
+    for shape in {x.shape for x in imgs if x is not None}:
+        on = [i for i, x in enumerate(imgs) if x is not None and x.shape == shape]
+        step = max(1, BATCH_PIXELS // (shape[0] * shape[1]))
+        for lo in range(0, len(on), step):
+            part = on[lo : lo + step]
+            i, p, c = describe_many(np.stack([imgs[k] for k in part]))
+            cut = np.searchsorted(i, np.arange(len(part) + 1))
+            for j, k in enumerate(part):
+                places[k], codes[k] = p[cut[j] : cut[j + 1]], c[cut[j] : cut[j + 1]]
+    return places, codes
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate([r.ravel() for r in rows]) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32)), pa.array(flat).cast(kind))
 
 
 def corner_table(images: DataFrame) -> DataFrame:
-    """(sig, k, x, y, s, angle, d0..d3) of the corners of (sig, image)."""
+    """(sig, places, codes): a row for each picture of (sig, image), four numbers and four words for each corner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                sig = part.column(0).to_numpy()
-                got = [describe(img) if (img := decode(x)) is not None else (np.zeros((0, 4)), np.zeros((0, 4), np.int64)) for x in part.column(1).to_pylist()]
-                n = [len(p) for p, _ in got]
-                p, c = np.concatenate([p for p, _ in got]), np.concatenate([c for _, c in got])
-                k = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(sig, n), pa.int64()), pa.array(k, pa.int32()), *(pa.array(p[:, i].astype(np.float32)) for i in range(4)), *(pa.array(c[:, i]) for i in range(4))],
-                    names=["sig", "k", "x", "y", "s", "angle", "d0", "d1", "d2", "d3"],
-                )
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                places, codes = _described([decode(x) for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(places, pa.float32()), _lists(codes, pa.int64())], names=["sig", "places", "codes"])
+
+    return images.select("sig", "image").mapInArrow(run, _CORNERS)
+
+
+def _list_values(col: pa.Array, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets in corners, (corners, width)) of a list column."""
+    lists = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) // width, lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    return images.select("sig", "image").mapInArrow(run, "sig long, k int, x float, y float, s float, angle float, d0 long, d1 long, d2 long, d3 long")
 
+def _table_rows(corners: DataFrame, t: int) -> DataFrame:
+    """(key, sig, k, d0, .. d3) of all corners in table t."""
 
-def _keys(corners: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = band_keys(np.stack([b.column(i).to_numpy() for i in range(2, 6)], 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), TABLES)), pa.array(np.repeat(b.column(1).to_numpy(), TABLES), pa.int32()), pa.array(keys.ravel())], names=["sig", "k", "key"])
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                off, codes = _list_values(part.column(1))
+                n = np.diff(off)
+                k = np.arange(off[-1]) - np.repeat(off[:-1], n)
+                words = [pa.array(np.ascontiguousarray(codes[:, i])) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(table_keys(codes, t) if len(codes) else np.zeros(0, np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(k, pa.int32()), *words], names=["key", "sig", "k", "d0", "d1", "d2", "d3"])
+
+    return corners.select("sig", "codes").mapInArrow(run, "key long, sig long, k int, d0 long, d1 long, d2 long, d3 long")
 
-    return corners.select("sig", "k", "d0", "d1", "d2", "d3").mapInArrow(run, "sig long, k int, key long")
+
+def _meetings(corners: DataFrame, t: int, far: int) -> DataFrame:
+    """(a, ka, b, kb, dist) of the corners of two pictures that meet in table t and differ in few bits."""
+    rows = _table_rows(corners, t)
+    dist = " + ".join(f"bit_count(l.d{i} ^ r.d{i})" for i in range(4))
+    on = F.expr(f"l.key = r.key AND l.sig < r.sig AND {dist} <= {far}")
+    met = rows.alias("l").join(rows.alias("r"), on).selectExpr("l.sig AS a", "l.k AS ka", "r.sig AS b", "r.k AS kb", f"CAST({dist} AS INT) AS dist")
+    return materialize(met, f"meetings-{t}")
 
 
 def consensus(m: np.ndarray) -> tuple[int, float, float, float, float]:
@@ -264,8 +408,9 @@ def consensus(m: np.ndarray) -> tuple[int, float, float, float, float]:
         order = np.argsort(place, kind="stable")
         sorts.append((order, np.nonzero(np.diff(place[order], prepend=-np.inf))[0]))
     best = (0, 0)
-    for lo in range(0, len(m), 512):
-        p = slice(lo, lo + 512)
+    step = max(1, BLOCK // len(m))
+    for lo in range(0, len(m), step):
+        p = slice(lo, lo + step)
         ex = co[p, None] * xa - si[p, None] * ya + dx[p, None] - xb
         ey = si[p, None] * xa + co[p, None] * ya + dy[p, None] - yb
         turn = np.abs((t[p, None] - t[None] + np.pi) % (2 * np.pi) - np.pi)
@@ -276,31 +421,28 @@ def consensus(m: np.ndarray) -> tuple[int, float, float, float, float]:
     return best[0], float(s[i]), float((t[i] + np.pi) % (2 * np.pi) - np.pi), float(dx[i]), float(dy[i])
 
 
-_CORNER = ("x", "y", "s", "angle", "d0", "d1", "d2", "d3")
-
-
-def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, places, codes) of a column of corner lists."""
-    lists = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    flat = lists.flatten()
-    f = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
-    off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    return off, np.stack([f[c] for c in _CORNER[:4]], 1).astype(np.float64), np.stack([f[c] for c in _CORNER[4:]], 1)
+def matches(ca: np.ndarray, cb: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ca and cb of the descriptors that differ in far bits at most."""
+    step = max(1, BLOCK // max(1, len(cb)))
+    found = [np.nonzero(np.bitwise_count(ca[lo : lo + step, None] ^ cb[None]).sum(2, dtype=np.int16) <= far) for lo in range(0, len(ca), step)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i + lo for (i, _), lo in zip(found, range(0, len(ca), step), strict=True)]), np.concatenate([k for _, k in found])
 
 
 def _agree(min_inliers: int, far: int):
-    """Compare all corners of each (a, b, corners of a, corners of b)."""
+    """Compare all corners of each (a, b, places and codes of a, places and codes of b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (oa, pa_, ca), (ob, pb, cb) = _unpacked(batch.column(2)), _unpacked(batch.column(3))
+            (oa, pa_), (_, ca), (ob, pb), (_, cb) = (_list_values(batch.column(i)) for i in range(2, 6))
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             rows = []
             for n, (a, b) in enumerate(ids):
                 x, y = slice(oa[n], oa[n + 1]), slice(ob[n], ob[n + 1])
-                i, k = np.nonzero(np.bitwise_count(ca[x][:, None] ^ cb[y][None]).sum(2) <= far)
+                i, k = matches(ca[x], cb[y], far)
                 if len(i) >= min_inliers:
-                    got = consensus(np.concatenate([pa_[x][i], pb[y][k]], 1))
+                    got = consensus(np.concatenate([pa_[x][i], pb[y][k]], 1).astype(np.float64))
                     if got[0] >= min_inliers:
                         rows.append((a, b, len(i), *got))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
@@ -310,6 +452,17 @@ def _agree(min_inliers: int, far: int):
     return run
 
 
+def candidates(corners: DataFrame, far: int = FAR) -> DataFrame:
+    """(a, b): pictures with a meeting within SURE bits or with two meetings, table after table."""
+    met = None
+    for t in range(TABLES):
+        one = _meetings(corners, t, far)
+        met = one if met is None else met.union(one)
+        free_shuffles(corners.sparkSession)
+    pairs = met.groupBy("a", "b").agg(F.min("dist").alias("least"), F.min(F.struct("ka", "kb")).alias("first"), F.max(F.struct("ka", "kb")).alias("last"))
+    return materialize(pairs.where((F.col("least") <= SURE) | (F.col("first") != F.col("last"))).select("a", "b"), "media-pairs")
+
+
 def find_copies(media: DataFrame, id_col: str = "id", image_col: str = "image", min_inliers: int = MIN_INLIERS, far: int = FAR) -> DataFrame:
     """(id_a, id_b, kind, matches, inliers, scale, angle, dx, dy), id_a < id_b; kind is equal or edited."""
     ship(media.sparkSession)
@@ -318,18 +471,16 @@ def find_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     first = materialize(ids.groupBy("sig").agg(F.min("id").alias("first")), "media-first")
     spare = materialize(ids.join(first, "sig").where("id <> first").select(F.col("sig").alias("p_sig"), F.col("id").alias("p_id")).distinct(), "media-spare")
     once = named.withColumn("sig", F.xxhash64("image")).join(small_or_plain(spare), (F.col("sig") == F.col("p_sig")) & (F.col("id") == F.col("p_id")), "left_anti")
-    corners = materialize(corner_table(once).dropDuplicates(["sig", "k"]), "corners")
-    keys = _keys(corners)
-    met = keys.alias("l").join(keys.alias("r"), F.expr("l.key = r.key AND l.sig < r.sig")).select(F.col("l.sig").alias("a"), F.col("l.k").alias("ka"), F.col("r.sig").alias("b"), F.col("r.k").alias("kb")).distinct()
-    one = corners.select(F.col("sig").alias("a"), F.col("k").alias("ka"), *(F.col(c).alias(f"{c}a") for c in _CORNER[4:]))
-    two = corners.select(F.col("sig").alias("b"), F.col("k").alias("kb"), *(F.col(c).alias(f"{c}b") for c in _CORNER[4:]))
-    bits = sum((F.bit_count(F.col(f"d{i}a").bitwiseXOR(F.col(f"d{i}b"))) for i in range(1, 4)), F.bit_count(F.col("d0a").bitwiseXOR(F.col("d0b"))))
-    cand = materialize(met.join(one, ["a", "ka"]).join(two, ["b", "kb"]).where(bits <= far).select("a", "b").distinct(), "media-pairs")
-    seen = cand.select(F.col("a").alias("sig")).union(cand.select("b")).distinct()
-    sets = corners.join(seen, "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("k", *_CORNER))).alias("corners"))
-    sets = materialize(sets, "media-corners")
-    rows = cand.join(sets.select(F.col("sig").alias("a"), F.col("corners").alias("xs")), "a").join(sets.select(F.col("sig").alias("b"), F.col("corners").alias("ys")), "b")
-    found = rows.select("a", "b", "xs", "ys").mapInArrow(_agree(min_inliers, far), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
+    corners = materialize(corner_table(once), "corners")
+    free_shuffles(media.sparkSession)
+    cand = candidates(corners, far)
+    one = corners.select(F.col("sig").alias("a"), F.col("places").alias("xp"), F.col("codes").alias("xc"))
+    two = corners.select(F.col("sig").alias("b"), F.col("places").alias("yp"), F.col("codes").alias("yc"))
+    rows = cand.join(one, "a").join(two, "b").select("a", "b", "xp", "xc", "yp", "yc")
+    found = rows.mapInArrow(_agree(min_inliers, far), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
+    # repeated rows describe a picture twice
+    found = materialize(found.dropDuplicates(["a", "b"]), "media-found")
+    free_shuffles(media.sparkSession)
     edited = (
         found.join(first.select(F.col("sig").alias("a"), F.col("first").alias("ia")), "a")
         .join(first.select(F.col("sig").alias("b"), F.col("first").alias("ib")), "b")
@@ -368,5 +519,42 @@ def rendered(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return embeddings.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, image binary")
 
 
+EDITS = ("crop", "turn", "light", "noise", "caption")
+
+
+def edited(img: np.ndarray, how: str, seed: int) -> np.ndarray:
+    """A copy of a picture that was cropped, turned by a quarter, lightened, made noisy or captioned."""
+    h, w = img.shape
+    if how == "crop":
+        return img[h // 12 : h - h // 10, w // 10 : w - w // 14]
+    if how == "turn":
+        return np.rot90(img)
+    if how == "light":
+        return img * 0.75 + 35
+    if how == "noise":
+        return img + np.random.default_rng(seed).normal(0, 3, img.shape)
+    out = img.copy()
+    out[h * 3 // 4 : h * 7 // 8, w // 8 : w * 7 // 8] = 235
+    out[h * 25 // 32 : h * 27 // 32, w // 6 : w * 5 // 6 : 3] = 20
+    return out
+
+
+def with_copies(pictures: DataFrame, one_in: int = 20) -> DataFrame:
+    """pictures and, for about one in so many by a hash of the id, an edited copy under -1 - id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            ids, images = [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32 if i is not None else 1
+                if h % one_in == 0 and (img := decode(x)) is not None:
+                    ids.append(-1 - i)
+                    images.append(encode_pgm(edited(img, EDITS[h // one_in % len(EDITS)], i & 0xFFFF)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["id", "image"])
+
+    return pictures.select("id", "image").mapInArrow(run, "id long, image binary")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_copies(rendered(table(spark, sf_dir, "embeddings")))
+    return find_copies(with_copies(rendered(table(spark, sf_dir, "embeddings"))))
