@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -463,24 +464,37 @@ def candidates(corners: DataFrame, far: int = FAR) -> DataFrame:
     return materialize(pairs.where((F.col("least") <= SURE) | (F.col("first") != F.col("last"))).select("a", "b"), "media-pairs")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
+    """Few rows in a batch between Spark and Python, as a row may be a picture or its corners."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def find_copies(media: DataFrame, id_col: str = "id", image_col: str = "image", min_inliers: int = MIN_INLIERS, far: int = FAR) -> DataFrame:
     """(id_a, id_b, kind, matches, inliers, scale, angle, dx, dy), id_a < id_b; kind is equal or edited."""
     ship(media.sparkSession)
-    named = media.select(quoted(id_col).cast("long").alias("id"), quoted(image_col).alias("image")).where("id IS NOT NULL AND image IS NOT NULL")
-    ids = materialize(named.select("id", F.xxhash64("image").alias("sig")), "media-ids")
-    first = materialize(ids.groupBy("sig").agg(F.min("id").alias("first")), "media-first")
-    spare = materialize(ids.join(first, "sig").where("id <> first").select(F.col("sig").alias("p_sig"), F.col("id").alias("p_id")).distinct(), "media-spare")
-    once = named.withColumn("sig", F.xxhash64("image")).join(small_or_plain(spare), (F.col("sig") == F.col("p_sig")) & (F.col("id") == F.col("p_id")), "left_anti")
-    corners = materialize(corner_table(once), "corners")
-    free_shuffles(media.sparkSession)
-    cand = candidates(corners, far)
-    one = corners.select(F.col("sig").alias("a"), F.col("places").alias("xp"), F.col("codes").alias("xc"))
-    two = corners.select(F.col("sig").alias("b"), F.col("places").alias("yp"), F.col("codes").alias("yc"))
-    rows = cand.join(one, "a").join(two, "b").select("a", "b", "xp", "xc", "yp", "yc")
-    found = rows.mapInArrow(_agree(min_inliers, far), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
-    # repeated rows describe a picture twice
-    found = materialize(found.dropDuplicates(["a", "b"]), "media-found")
-    free_shuffles(media.sparkSession)
+    with _small_batches(media.sparkSession):
+        named = media.select(quoted(id_col).cast("long").alias("id"), quoted(image_col).alias("image")).where("id IS NOT NULL AND image IS NOT NULL")
+        ids = materialize(named.select("id", F.xxhash64("image").alias("sig")), "media-ids")
+        first = materialize(ids.groupBy("sig").agg(F.min("id").alias("first")), "media-first")
+        spare = materialize(ids.join(first, "sig").where("id <> first").select(F.col("sig").alias("p_sig"), F.col("id").alias("p_id")).distinct(), "media-spare")
+        once = named.withColumn("sig", F.xxhash64("image")).join(small_or_plain(spare), (F.col("sig") == F.col("p_sig")) & (F.col("id") == F.col("p_id")), "left_anti")
+        corners = materialize(corner_table(once), "corners")
+        free_shuffles(media.sparkSession)
+        cand = candidates(corners, far)
+        one = corners.select(F.col("sig").alias("a"), F.col("places").alias("xp"), F.col("codes").alias("xc"))
+        two = corners.select(F.col("sig").alias("b"), F.col("places").alias("yp"), F.col("codes").alias("yc"))
+        rows = cand.join(one, "a").join(two, "b").select("a", "b", "xp", "xc", "yp", "yc")
+        found = rows.mapInArrow(_agree(min_inliers, far), "a long, b long, matches long, inliers long, scale double, angle double, dx double, dy double")
+        # repeated rows describe a picture twice
+        found = materialize(found.dropDuplicates(["a", "b"]), "media-found")
+        free_shuffles(media.sparkSession)
     edited = (
         found.join(first.select(F.col("sig").alias("a"), F.col("first").alias("ia")), "a")
         .join(first.select(F.col("sig").alias("b"), F.col("first").alias("ib")), "b")
