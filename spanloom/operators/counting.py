@@ -18,27 +18,51 @@ def _counted(pairs: DataFrame) -> CrossTab:
     return CrossTab.of(pairs.groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("value")))
 
 
-def ngrams(units: Segmentation, n: int, key: str | None = None, delimiter: str = "#", cross_strings: bool = True) -> DataFrame:
-    """(ord, gram) of the n-grams of consecutive units, by the ordinal of their first unit.
+def items_of(units: Segmentation, key: str | None = None) -> DataFrame:
+    """(ord, str_index, real_str_index, item) of all units, in the JVM alone where the text gives them."""
+    runs = units.runs() if key is None and not units.recipe_pointers else None
+    if runs is None:
+        return units.ordered.select("ord", "str_index", "real_str_index", units.item_or_none(key).alias("item"))
+    each = runs.select("str_index", "offset", F.posexplode("items").alias("pos", "item"))
+    return each.select((F.col("offset") + F.col("pos")).alias("ord"), "str_index", F.col("str_index").alias("real_str_index"), "item")
+
 
-    Inside a string an n-gram is a window over the string's units. Across strings, the last
-    and first n - 1 units of each string meet by their ordinals: only those rows are shuffled
-    a second time, and no window spans the corpus.
+def sequences(units: Segmentation, n: int, key: str | None = None, cross_strings: bool = True, by: str = "str_index") -> DataFrame:
+    """(ord, xs): the n consecutive units from each unit on, as an array, where there are so many.
+
+    Inside a string they are slices of the string's array of tokens, without a shuffle, or a
+    window over the string's units. Across strings, the last and first n - 1 units of each
+    string meet by their ordinals: only those rows are shuffled, and no window spans the corpus.
     """
-    u = units.ordered.select("ord", "str_index", units.item_or_none(key).alias("item"))
-    if n == 1:
-        return u.select("ord", F.col("item").alias("gram"))
-    w = W.partitionBy("str_index").orderBy("ord")
-    items = [F.col("item")] + [F.lead("item", k).over(w) for k in range(1, n)]
-    inner = u.select("ord", F.concat(*[x for k, i in enumerate(items) for x in ((F.lit(delimiter), i) if k else (i,))]).alias("gram")).where("gram IS NOT NULL")
-    if not cross_strings:
+    runs = units.runs() if key is None and not units.recipe_pointers else None
+    if runs is not None:
+        size = F.size("items")
+        places = F.sequence(F.lit(1), size - (n - 1))
+        inner = runs.where(size >= n).select("offset", F.posexplode(F.transform(places, lambda i: F.slice("items", i, n))).alias("pos", "xs"))
+        inner = inner.select((F.col("offset") + F.col("pos")).alias("ord"), "xs")
+        near = F.filter(F.transform("items", lambda x, i: F.struct((F.col("offset") + i).alias("ord"), i.alias("i"), x.alias("item"))), lambda x: (x["i"] < n - 1) | (x["i"] >= size - (n - 1)))
+        edge = runs.select("str_index", F.explode(near).alias("e")).select("str_index", F.col("e.ord").alias("ord"), F.col("e.item").alias("item"))
+    else:
+        u = items_of(units, key)
+        w = W.partitionBy(by).orderBy("ord")
+        if n == 1:
+            return u.select("ord", F.array("item").alias("xs"))
+        last = F.lead("item", n - 1).over(w)
+        inner = u.select("ord", F.array(F.col("item"), *(F.lead("item", k).over(w) for k in range(1, n))).alias("xs"), last.isNotNull().alias("ok")).where("ok").drop("ok")
+        edge = u.withColumn("from_end", F.row_number().over(W.partitionBy("str_index").orderBy(F.desc("ord")))).withColumn("from_start", F.row_number().over(W.partitionBy("str_index").orderBy("ord")))
+        edge = edge.where((F.col("from_end") < n) | (F.col("from_start") < n)).select("str_index", "ord", "item")
+    if not cross_strings or n == 1:
         return inner
-    edge = u.withColumn("from_end", F.row_number().over(W.partitionBy("str_index").orderBy(F.desc("ord")))).withColumn("from_start", F.row_number().over(w))
-    edge = edge.where((F.col("from_end") < n) | (F.col("from_start") < n))
     parts = edge.select(F.explode(F.sequence(F.col("ord") - (n - 1), F.col("ord"))).alias("at"), "ord", "item", "str_index")
-    grams = parts.groupBy("at").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("str_index").alias("s"), F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("xs")).where((F.col("k") == n) & (F.col("s") > 1))
-    crossing = grams.select(F.col("at").alias("ord"), F.array_join(F.transform("xs", lambda x: x["item"]), delimiter).alias("gram"))
-    return inner.unionByName(crossing)
+    met = parts.groupBy("at").agg(F.count(F.lit(1)).alias("k"), F.min("str_index").alias("lo"), F.max("str_index").alias("hi"), F.collect_list(F.struct("ord", "item")).alias("xs")).where((F.col("k") == n) & (F.col("lo") < F.col("hi")))
+    return inner.unionByName(met.select(F.col("at").alias("ord"), F.transform(F.array_sort("xs"), lambda x: x["item"]).alias("xs")))
+
+
+def ngrams(units: Segmentation, n: int, key: str | None = None, delimiter: str = "#", cross_strings: bool = True) -> DataFrame:
+    """(ord, gram) of the n-grams of consecutive units, by the ordinal of their first unit."""
+    if n == 1:
+        return items_of(units, key).select("ord", F.col("item").alias("gram"))
+    return sequences(units, n, key, cross_strings).select("ord", F.array_join("xs", delimiter).alias("gram"))
 
 
 def count_in_context(
@@ -87,18 +111,31 @@ def windows_of(ord_: Column, n: Column, size: int, length: int = 1) -> Column:
 
 
 def in_windows(units: Segmentation, window_size: int, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> DataFrame:
-    """(window from 0, unit) of every unit or n-gram in every window of consecutive units."""
+    """(window from 0, units): the units or n-grams of every window of consecutive units, in order."""
     if window_size < seq_length:
         raise ValueError("a window must hold an n-gram")
-    n = units.ordered.agg(F.count(F.lit(1)).alias("total"))
-    g = ngrams(units, seq_length, unit_key, delimiter).crossJoin(F.broadcast(n))  # one row
-    return g.select(F.explode(windows_of(F.col("ord"), F.col("total"), window_size, seq_length)).alias("window"), F.col("gram").alias("unit"))
+    xs = F.col("xs")
+    if seq_length > 1:
+        xs = F.transform(F.sequence(F.lit(1), F.lit(window_size - seq_length + 1)), lambda i: F.array_join(F.slice("xs", i, seq_length), delimiter))
+    return sequences(units, window_size, unit_key).select(F.col("ord").alias("window"), xs.alias("units"))
+
+
+def window_counts(units: Segmentation, window_size: int, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> DataFrame:
+    """(window from 0, unit, value): how often each unit occurs in each window.
+
+    A window's units are one row, so they are counted there and nothing is shuffled by window.
+    """
+    w = in_windows(units, window_size, unit_key, seq_length, delimiter)
+    if window_size == seq_length:
+        return w.select("window", F.col("units")[0].alias("unit"), F.lit(1).cast("long").alias("value"))
+    each = F.transform(F.array_distinct("units"), lambda u: F.struct(u.alias("unit"), F.size(F.filter("units", lambda x: x == u)).cast("long").alias("value")))
+    return w.select("window", F.inline(each))
 
 
 def count_in_window(units: Segmentation, window_size: int = 1, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> CrossTab:
     """How often each unit occurs in each window of consecutive units; windows are named 1, 2, ... and cross strings."""
-    w = in_windows(units, window_size, unit_key, seq_length, delimiter)
-    return _counted(w.select((F.col("window") + 1).cast("string").alias("row_id"), F.col("unit").alias("col_id")))
+    w = window_counts(units, window_size, unit_key, seq_length, delimiter)
+    return CrossTab.of(w.select((F.col("window") + 1).cast("string").alias("row_id"), F.col("unit").alias("col_id"), "value"))
 
 
 def count_in_chain(
@@ -111,16 +148,8 @@ def count_in_chain(
     string, pointers followed, unless merge_strings.
     """
     total = left_size + seq_length + right_size
-    if merge_strings:
-        sep = chr(31)
-        g = ngrams(units, total, unit_key, sep)
-        parts = F.split("gram", sep)
-    else:
-        w = W.partitionBy("real_str_index").orderBy("ord")
-        u = units.ordered.select("ord", "real_str_index", units.item_or_none(unit_key).alias("item"))
-        items = F.array(F.col("item"), *(F.lead("item", k).over(w) for k in range(1, total)))
-        g = u.select(items.alias("xs"), (F.lit(True) if total == 1 else F.lead("item", total - 1).over(w).isNotNull()).alias("ok")).where("ok")
-        parts = F.col("xs")
+    g = sequences(units, total, unit_key, merge_strings, "str_index" if merge_strings else "real_str_index")
+    parts = F.col("xs")
 
     def joined(a: int, b: int) -> Column:
         return F.array_join(F.slice(parts, a + 1, b - a), delimiter) if b > a else F.lit("")
@@ -129,4 +158,4 @@ def count_in_chain(
     return _counted(g.select(row.alias("row_id"), joined(left_size, left_size + seq_length).alias("col_id")))
 
 
-__all__ = ["GLOBAL", "NONE", "count_in_chain", "count_in_context", "count_in_window", "in_windows", "ngrams", "windows_of"]
+__all__ = ["GLOBAL", "NONE", "count_in_chain", "count_in_context", "count_in_window", "in_windows", "items_of", "ngrams", "sequences", "window_counts", "windows_of"]

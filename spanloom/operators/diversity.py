@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.contain import contained
-from spanloom.operators.counting import GLOBAL, count_in_context, in_windows, windows_of
+from spanloom.operators.counting import GLOBAL, count_in_context, window_counts, windows_of
 from spanloom.operators.segmentation import Segmentation
 from spanloom.plans.session import ship
 
@@ -33,9 +33,9 @@ def _in_window(units: Segmentation, window_size: int, unit_key, category_key, se
         n = units.ordered.agg(F.count(F.lit(1)).alias("total"))
         u = units.ordered.select("ord", units.item_or_none(category_key).alias("cat"), units.item_or_none(unit_key).alias("unit")).crossJoin(F.broadcast(n))  # one row
         rows = u.select(F.explode(windows_of(F.col("ord"), F.col("total"), window_size)).alias("window"), "cat", "unit")
-    else:
-        rows = in_windows(units, window_size, unit_key, seq_length, delimiter).withColumn("cat", F.lit(None).cast("string"))
-    return rows.groupBy((F.col("window") + 1).cast("string").alias("context"), "cat", "unit").agg(F.count(F.lit(1)).alias("f"))
+        return rows.groupBy((F.col("window") + 1).cast("string").alias("context"), "cat", "unit").agg(F.count(F.lit(1)).alias("f"))
+    w = window_counts(units, window_size, unit_key, seq_length, delimiter)
+    return w.select((F.col("window") + 1).cast("string").alias("context"), F.lit(None).cast("string").alias("cat"), "unit", F.col("value").alias("f"))
 
 
 def _perplexity(f: str = "f") -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.plans.ordinals import with_ordinals
+from spanloom.functions.patterns import portable
+from spanloom.plans.ordinals import prefix_sums, with_ordinals
+from spanloom.plans.session import materialize, small_or_plain
 
 NONE = "__none__"
 ADDRESS = ("str_index", "start", "end")
@@ -27,12 +29,17 @@ class Segmentation:
     Columns of df: str_index, real_str_index (the string a pointer leads to), start, end
     (half-open, in characters), annotations and content, and ord where it has been needed.
     Without ord the order is that of the address, (str_index, start, end, tie).
-    whole says that each segment covers its string; recipe remembers (parent, pattern) of a
-    plain tokenization, so that counting can stay inside the JVM.
+    whole says that each segment covers its string, one to a string, and pointers that some
+    strings lead to others. recipe remembers (parent, pattern) of a plain tokenization, so that
+    counting can stay inside the JVM; ordering makes df with ord where that takes no sort.
     """
 
-    def __init__(self, df: DataFrame, label: str = "segmented_data", whole: bool = False, recipe: tuple[Segmentation, str] | None = None, sorted_by_address: bool = False):
-        self._df, self.label, self.whole, self.recipe, self._by_address = df, label, whole, recipe, sorted_by_address
+    def __init__(
+        self, df: DataFrame, label: str = "segmented_data", whole: bool = False, recipe: tuple[Segmentation, str] | None = None,
+        ordering: Callable[[], DataFrame] | None = None, pointers: bool = False,
+    ):
+        self._df, self.label, self.whole, self.recipe, self._ordering, self.pointers = df, label, whole, recipe, ordering, pointers
+        self._offsets: DataFrame | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -47,10 +54,38 @@ class Segmentation:
     def ordered(self) -> DataFrame:
         """df with ord, 0 .. N-1."""
         if "ord" not in self._df.columns:
-            tie = [c for c in ("tie",) if c in self._df.columns]
-            self._df = with_ordinals(self._df, "start", "end", *tie)
+            if self._ordering is not None:
+                self._df = self._ordering()
+            else:
+                tie = [c for c in ("tie",) if c in self._df.columns]
+                self._df = with_ordinals(self._df, "start", "end", *tie)
         return self._df
 
+    def token_offsets(self) -> DataFrame | None:
+        """(str_index, n, offset) of plain tokens of whole strings: their number and the first one's ordinal.
+
+        The strings' own text is counted inside the JVM, once; the rows are written.
+        """
+        if self._offsets is None and self.recipe and self.recipe[0].whole and portable(self.recipe[1]):
+            parent, pattern = self.recipe
+            counts = parent.df.select("str_index", F.regexp_count("content", F.lit(pattern)).cast("long").alias("n"))
+            self._offsets = materialize(prefix_sums(counts, "str_index"), "token-offsets")
+        return self._offsets
+
+    @property
+    def recipe_pointers(self) -> bool:
+        """Whether the strings that the tokens were cut from may be pointers to others."""
+        return self.recipe is not None and self.recipe[0].pointers
+
+    def runs(self) -> DataFrame | None:
+        """(str_index, offset, items): each string's tokens as one array, for plain tokens of whole strings."""
+        offsets = self.token_offsets()
+        if offsets is None:
+            return None
+        parent, pattern = self.recipe
+        items = parent.df.select("str_index", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("items"))
+        return items.join(small_or_plain(offsets.where("n > 0").select("str_index", "offset")), "str_index")
+
     def item(self, key: str | None = None) -> Column:
         """A segment's content, or its annotation of that key, null where it has none."""
         return F.col("annotations")[key] if key else F.col("content")

@@ -6,13 +6,14 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.functions.patterns import compiled, expand, has_refs, substitute
+from spanloom.functions.patterns import compiled, expand, has_refs, portable, substitute
 from spanloom.operators.segmentation import ADDRESS, Segmentation, merge_maps, no_annotations
-from spanloom.plans.ordinals import with_ordinals
+from spanloom.plans.ordinals import blocked, prefix_sums, ranks, with_ordinals
 from spanloom.plans.session import materialize, ship, small_or_plain
 
 SEGMENT = ["str_index", "real_str_index", "start", "end", "annotations", "content"]
@@ -68,16 +69,27 @@ def concatenate(
     if sort:
         return _finish(Segmentation(parts.withColumn("tie", tie).drop("input_no", "input_ord"), label), merge, False, auto_number_as)
     # strings by the first input that shows them, and there by their first segment
-    rank = parts.groupBy("str_index").agg(F.min(tie).alias("seen"))
-    rank = rank.withColumn("rank", F.concat(F.lpad(F.col("seen.input_no").cast("string"), 6, "0"), F.lpad(F.col("seen.input_ord").cast("string"), 20, "0")))
-    total = rank.groupBy("rank").count().withColumn("block", F.substring("rank", 1, 16))
-    base = total.groupBy("block").agg(F.sum("count").alias("n")).select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = W.partitionBy("block").orderBy("rank")
-    numbered = rank.withColumn("block", F.substring("rank", 1, 16)).join(base, "block").select("str_index", (F.col("base") + F.row_number().over(inner) - 1).alias("str_rank"))
-    placed = with_ordinals(parts.join(numbered, "str_index"), "start", "end", "input_no", "input_ord", key="str_rank").drop("str_rank", "input_no", "input_ord")
+    seen = parts.groupBy("str_index").agg(F.min(tie).alias("seen")).select("str_index", "seen.*")
+    numbered = ranks(seen, "input_no", "input_ord", name="str_rank").select("str_index", "str_rank")
+    placed = with_ordinals(parts.join(small_or_plain(materialize(numbered, "string-ranks")), "str_index"), "start", "end", "input_no", "input_ord", key="str_rank").drop("str_rank", "input_no", "input_ord")
     return _finish(Segmentation(placed, label), merge, False, auto_number_as)
 
 
+#: Characters that are cut between two results of a Python worker.
+SLICE_CHARS = 1_000_000
+
+
+def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges with about limit bytes of text each, one row at least."""
+    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(texts).cast(pa.int64()), 0)).to_numpy(zero_copy_only=False)
+    at, n = 0, len(texts)
+    while at < n:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(ends.searchsorted(done + limit, side="right")))
+        yield at, min(to, n)
+        at = to
+
+
 def tokenize(
     seg: Segmentation, regexes: Sequence[tuple], label: str = "segmented_data", import_annotations: bool = True, merge: bool = False, auto_number_as: str | None = None,
 ) -> Segmentation:
@@ -98,57 +110,76 @@ def tokenize(
         plan.append((compiled(pattern), mode == "split", pairs, any(has_refs(k) or has_refs(v) for k, v in pairs)))
     annotated = any(p[2] for p in plan)
 
+    single = len(plan) == 1
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())] + ([] if single else [("tie", pa.int32())]) + ([("added", pa.map_(pa.string(), pa.string()))] if annotated else []))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(5).to_pylist()
-            offsets = b.column(2).to_pylist()
-            row, starts, ends, content, ties, anns = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                base = offsets[i]
-                for k, (rx, split, pairs, refs) in enumerate(plan):
-                    before = len(row)
-                    if split:
-                        at = 0
-                        for m in rx.finditer(text):
-                            if m.start() > at:
-                                starts.append(base + at)
-                                ends.append(base + m.start())
-                                content.append(text[at : m.start()])
-                                row.append(i)
-                            at = m.end()
-                        if at < len(text):
-                            starts.append(base + at)
-                            ends.append(base + len(text))
-                            content.append(text[at:])
-                            row.append(i)
-                        if annotated:
-                            anns += [pairs] * (len(row) - before)
-                    else:
-                        for m in rx.finditer(text):
-                            a, e = m.span()
-                            starts.append(base + a)
-                            ends.append(base + e)
-                            content.append(text[a:e])
-                            row.append(i)
-                            if annotated:
-                                anns.append([(expand(x, m), expand(v, m)) for x, v in pairs] if refs else pairs)
-                    ties += [k] * (len(row) - before)
-            at = pa.array(row, pa.int32())
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), b.column(4).take(at), pa.array(content, pa.string()), pa.array(ties, pa.int32())]
-            names = [*SEGMENT, "tie"]
-            if annotated:
-                cols.append(pa.array(anns, pa.map_(pa.string(), pa.string())))
-                names.append("added")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    src = seg.df.select(*SEGMENT[:4], (F.col("annotations") if import_annotations else no_annotations()).alias("annotations"), "content")
-    df = src.mapInArrow(run, _SCHEMA + ", tie int" + (", added map<string,string>" if annotated else ""))
-    if annotated:
-        df = df.withColumn("annotations", merge_maps(F.col("annotations"), F.coalesce("added", no_annotations()))).drop("added")
-    if len(plan) == 1:
-        df = df.drop("tie")
-    one = len(plan) == 1 and not plan[0][1] and not annotated and isinstance(regexes[0][0], str)
+        for batch in batches:
+            for lo, hi in text_slices(batch.column(4)):
+                b = batch.slice(lo, hi - lo)
+                texts, offsets = b.column(4).to_pylist(), b.column(3).to_pylist()
+                starts, ends, content, ties, anns, sizes = [], [], [], [], [], [0]
+                for base, text in zip(offsets, texts, strict=True):
+                    for k, (rx, split, pairs, refs) in enumerate(plan):
+                        before = len(starts)
+                        if split:
+                            gaps = [0, *(x for m in rx.finditer(text) for x in m.span()), len(text)]
+                            spans = [(p, q) for p, q in zip(gaps[::2], gaps[1::2], strict=True) if q > p]
+                        elif refs:
+                            found = list(rx.finditer(text))
+                            spans = [m.span() for m in found]
+                            anns += [[(expand(x, m), expand(v, m)) for x, v in pairs] for m in found]
+                        else:
+                            spans = [m.span() for m in rx.finditer(text)]
+                        starts += [base + p for p, _ in spans]
+                        ends += [base + q for _, q in spans]
+                        content += [text[p:q] for p, q in spans]
+                        n = len(starts) - before
+                        if annotated and (split or not refs):
+                            anns += [pairs] * n
+                        if not single:
+                            ties += [k] * n
+                    sizes.append(len(starts))
+                cols = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(content, pa.string())]
+                if not single:
+                    cols.append(pa.array(ties, pa.int32()))
+                if annotated:
+                    cols.append(pa.array(anns, kind.field("added").type))
+                tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(kind)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), tokens, b.column(5)], names=["str_index", "real_str_index", "annotations", "tokens", "place"])
+
+    fields = "start int, end int, content string" + ("" if single else ", tie int") + (", added map<string,string>" if annotated else "")
+
+    def cut(parent: DataFrame, place: Column) -> DataFrame:
+        """A row per parent segment with its tokens; they are exploded in the JVM, which copies only what is used."""
+        ann = F.col("annotations") if import_annotations else no_annotations()
+        src = parent.select("str_index", "real_str_index", ann.alias("annotations"), "start", "content", place.cast("long").alias("place"))
+        typed = fields.replace(" int", ": int").replace(" string", ": string").replace(" map", ": map")
+        return src.mapInArrow(run, f"str_index long, real_str_index long, annotations map<string,string>, tokens array<struct<{typed}>>, place long")
+
+    def columns(ord_: Column | None = None) -> list[Column]:
+        ann = merge_maps(F.col("annotations"), F.coalesce("t.added", no_annotations())) if annotated else F.col("annotations")
+        more = [] if single else [F.col("t.tie").alias("tie")]
+        return [F.col("str_index"), F.col("real_str_index"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), ann.alias("annotations"), F.col("t.content").alias("content"), *more] + ([ord_.alias("ord")] if ord_ is not None else [])
+
+    df = cut(seg.df, F.lit(0)).select("*", F.explode("tokens").alias("t")).select(columns())
+    one = single and not plan[0][1] and not annotated and isinstance(regexes[0][0], str)
     out = Segmentation(df, label, recipe=(seg, regexes[0][0]) if one and import_annotations else None)
+    if single and seg.disjoint:
+        # disjoint segments in order, and one pattern: a token's place follows from the counts before its segment
+
+        def ordering() -> DataFrame:
+            place = "str_index" if seg.whole else "ord"
+            parent = seg.df if seg.whole else seg.ordered
+            offsets = out.token_offsets() if seg.whole else None
+            if offsets is None:
+                counted = cut(parent, F.col(place)).select("place", F.size("tokens").cast("long").alias("n"))
+                offsets = materialize(prefix_sums(counted, "place"), "token-offsets")
+            offsets = small_or_plain(offsets.select(F.col(offsets.columns[0]).alias("o_place"), "offset"))
+            rows = cut(parent, F.col(place)).join(offsets, F.col("place") == F.col("o_place"))
+            return rows.select("*", F.posexplode("tokens").alias("pos", "t")).select(columns(F.col("offset") + F.col("pos")))
+
+        out._ordering = ordering
     return _finish(out, merge, False, auto_number_as)
 
 
@@ -191,15 +222,28 @@ def threshold(
 ) -> tuple[Segmentation, Segmentation]:
     """(segments whose item occurs min_count to max_count times, the others); a missing key counts 0 times."""
     item = seg.item(annotation_key)
-    ok = F.lit(True)
-    if min_count is not None:
-        ok = ok & (F.col("freq") >= min_count)
-    if max_count is not None:
-        ok = ok & (F.col("freq") <= max_count)
-    freq = seg.df.groupBy(item.alias("f_item")).agg(F.count(F.lit(1)).alias("freq")).where("f_item IS NOT NULL")
-    # a count per type and a join: partial aggregation takes the load off frequent types
-    joined = seg.df.join(freq, item == F.col("f_item"), "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    return _pair(seg, ok, label, copy_annotations, auto_number_as, joined)
+
+    def within(freq: Column) -> Column:
+        ok = F.lit(True)
+        if min_count is not None:
+            ok = ok & (freq >= min_count)
+        return ok & (freq <= max_count) if max_count is not None else ok
+
+    # partial aggregation takes the load off frequent types; plain tokens are counted in the JVM
+    plain = count_types(seg) if annotation_key is None else None
+    freq = plain if plain is not None else seg.df.groupBy(item.alias("f_item")).agg(F.count(F.lit(1)).alias("freq")).where("f_item IS NOT NULL")
+    kept = materialize(freq.where(within(F.col("freq"))).select("f_item"), "kept-types")
+    found = F.col("f_item").isNotNull()
+    keep = F.when(item.isNull(), within(F.lit(0))).otherwise(found)
+    return _pair(seg, keep, label, copy_annotations, auto_number_as, seg.df.join(small_or_plain(kept), item == F.col("f_item"), "left"))
+
+
+def count_types(seg: Segmentation) -> DataFrame | None:
+    """(f_item, freq) of plain tokens straight from their parents' text, where Java surely finds the same ones."""
+    if seg.recipe is None or not portable(seg.recipe[1]):
+        return None
+    parent, pattern = seg.recipe
+    return parent.df.select(F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("f_item")).groupBy("f_item").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def sample(
@@ -208,20 +252,35 @@ def sample(
 ) -> tuple[Segmentation, Segmentation]:
     """(a sample, the others): exactly sample_size segments at random, or every k-th one.
 
-    Random order is that of a seeded hash of the ordinal, so it doesn't depend on partitions;
+    Random order is that of a seeded hash of the ordinal, so it doesn't depend on partitions, and
+    the sample is what lies below the sample_size-th hash: a filter, no join and no sort;
     systematic sampling takes k = the total over sample_size, rounded half to even, at least 1.
     """
     _mode(mode, "random", "systematic")
-    df = seg.ordered
+    df, n = seg.ordered, seg.count()
     if mode == "systematic":
-        n = seg.count()
         step = max(1, round(n / max(1, sample_size)))
         return _pair(seg, F.col("ord") % step == 0, label, copy_annotations, auto_number_as, df)
-    key = F.xxhash64("ord", F.lit(seed))
-    # the cut is the sample_size-th hash: a distributed top-k, then a filter
-    chosen = df.select("ord").orderBy(key, "ord").limit(sample_size).withColumnRenamed("ord", "c_ord").withColumn("chosen", F.lit(True))
-    marked = df.join(chosen, df["ord"] == F.col("c_ord"), "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).drop("c_ord")
-    return _pair(seg, F.col("chosen"), label, copy_annotations, auto_number_as, marked)
+    if sample_size >= n or sample_size < 1:
+        return _pair(seg, F.lit(sample_size >= n and n > 0), label, copy_annotations, auto_number_as, df)
+    hashed = F.xxhash64("ord", F.lit(seed))
+    cut, at = _nth_hash(seg.df.sparkSession.range(n).select(F.col("id").alias("ord")).select("ord", hashed.alias("h")), sample_size)
+    return _pair(seg, (hashed < cut) | ((hashed == cut) & (F.col("ord") <= at)), label, copy_annotations, auto_number_as, df)
+
+
+def _nth_hash(hashes: DataFrame, n: int) -> tuple[int, int]:
+    """(h, ord) of the n-th row by (h, ord), n from 1: found by two counts of 2**16 ranges each, then in what is left of one."""
+    rows = hashes
+    for shift in (48, 32):
+        bucket = F.shiftright("h", shift)
+        counts = sorted((r[0], r[1]) for r in rows.groupBy(bucket.alias("b")).count().collect())
+        for b, k in counts:
+            if n <= k:
+                break
+            n -= k
+        rows = rows.where(bucket == b)
+    last = rows.orderBy("h", "ord").limit(n).collect()[-1]
+    return last["h"], last["ord"]
 
 
 def intersect(
@@ -230,6 +289,7 @@ def intersect(
 ) -> tuple[Segmentation, Segmentation]:
     """(source segments whose item is one of the filtering ones, the others); or the reverse for exclude."""
     items = filtering.df.select(filtering.item(filtering_key).alias("f_item")).where("f_item IS NOT NULL").distinct().withColumn("in_filter", F.lit(True))
+    items = small_or_plain(materialize(items, "filter-items"))
     marked = source.df.join(items, source.item(source_key) == F.col("f_item"), "left").withColumn("in_filter", F.coalesce("in_filter", F.lit(False)))
     keep = F.col("in_filter") if _mode(mode, "include", "exclude") == "include" else ~F.col("in_filter")
     return _pair(source, keep, label, copy_annotations, auto_number_as, marked)
@@ -285,17 +345,21 @@ def import_xml(
     if odd.isEmpty():
         grouped = rows.withColumn("run", F.col("ord"))
     else:
-        w = W.orderBy("ord")
-        run = odd.withColumn("after", F.sum("net").over(w)).withColumn("before", F.col("after") - F.col("net"))
-        bad = run.where("before + low < 0").limit(1).count()
-        if bad:
+        run = odd.join(prefix_sums(odd, "ord", "net", "before").select("ord", "before"), "ord")
+        if not run.where("before + low < 0").isEmpty():
             raise ValueError(f"orphan closing tag of {element}")
-        if run.agg(F.sum("net")).first()[0] != 0:
+        if odd.agg(F.sum("net")).first()[0] != 0:
             raise ValueError(f"missing closing tag of {element}")
         # a run begins where nothing was open and ends where nothing is open any more
-        begin = run.withColumn("first", F.when(F.col("before") == 0, F.col("ord"))).withColumn("first", F.last("first", True).over(w))
-        spans = begin.groupBy("first").agg(F.max("ord").alias("last"))
-        grouped = rows.join(small_or_plain(materialize(spans, "open-runs")), (F.col("ord") >= F.col("first")) & (F.col("ord") <= F.col("last")), "left").withColumn("run", F.coalesce("first", "ord")).drop("first", "last")
+        placed = blocked(run.select("ord", F.when(F.col("before") == 0, F.col("ord")).alias("first")), "ord")
+        earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        carried = placed.groupBy("part").agg(F.max("first").alias("last")).select("part", F.max("last").over(earlier).alias("carried"))  # a row per partition
+        own = F.max("first").over(W.partitionBy("part").orderBy("ord"))
+        begin = placed.join(F.broadcast(carried), "part").select("ord", F.coalesce(own, "carried").alias("run_first"))
+        spans = begin.groupBy("run_first").agg(F.max("ord").alias("last"))
+        members = spans.select("run_first", F.explode(F.sequence("run_first", "last")).alias("m_ord"))
+        members = small_or_plain(materialize(members, "open-runs"))
+        grouped = rows.join(members, F.col("ord") == F.col("m_ord"), "left").withColumn("run", F.coalesce("run_first", "ord")).drop("run_first", "m_ord")
         grouped = grouped.repartition("run").sortWithinPartitions("run", "ord")
 
     def scan(segments: list[tuple]) -> Iterator[tuple]:

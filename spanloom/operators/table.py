@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.plans.ordinals import ranks
+
 TYPES = ("string", "continuous", "discrete")
 
 
@@ -108,9 +110,8 @@ class Table:
             if key is not None and self.missing is not None:
                 ids = ids.withColumn("v", F.coalesce("v", F.lit(self.missing)))
             keys = [F.col("v").desc_nulls_last(), F.col(f"{which}_id").desc()] if reverse else [F.col("v").asc_nulls_first(), F.col(f"{which}_id").asc()]
-            return ids.select(f"{which}_id", (F.row_number().over(W.orderBy(*keys)) - 1).cast("long").alias(f"{which}_order"))
+            return ranks(ids, *keys, name=f"{which}_order").select(f"{which}_id", f"{which}_order")
 
-        # one row per id meets in one task here: a sorted table is one to be read
         df = df.join(ranked("row", "col", key_col, reverse_rows), "row_id")
         return self.with_df(df.join(ranked("col", "row", key_row, reverse_cols), "col_id"))
 

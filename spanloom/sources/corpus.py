@@ -31,7 +31,7 @@ def from_dataframe(df: DataFrame, id_col: str, text_col: str, annotations: Seque
         ann.alias("annotations"),
         F.col(text_col).alias("content"),
     )
-    return Segmentation(rows, label, whole=True, sorted_by_address=True)
+    return Segmentation(rows, label, whole=True)
 
 
 def from_texts(spark: SparkSession, texts: Sequence[str], label: str = "input_string", first_index: int = 0) -> Segmentation:
@@ -73,7 +73,7 @@ def with_pointers(strings: Segmentation, pointers: DataFrame) -> Segmentation:
     if not bad.isEmpty() or not taken.isEmpty():
         raise ValueError("a pointer refers to itself, to no string, or takes a string's number")
     new = p.join(s, p.t == F.col("str_index")).select(F.col("p").alias("str_index"), F.col("real").alias("real_str_index"), F.lit(0).alias("start"), "end", "annotations", "content")
-    return Segmentation(strings.df.drop("ord").unionByName(new), strings.label, whole=True)
+    return Segmentation(strings.df.drop("ord").unionByName(new), strings.label, whole=True, pointers=True)
 
 
 def update(strings: Segmentation, str_index: int, text: str | None, label: str | None = None) -> Segmentation:
@@ -81,6 +81,6 @@ def update(strings: Segmentation, str_index: int, text: str | None, label: str |
     here = F.col("str_index") == str_index
     df = strings.df
     if text is None:
-        return Segmentation(df.where(~here), label or strings.label, whole=strings.whole)
+        return Segmentation(df.where(~here), label or strings.label, whole=strings.whole, pointers=strings.pointers)
     new = F.when(here, F.lit(text)).otherwise(F.col("content"))
-    return Segmentation(df.withColumn("content", new).withColumn("end", F.when(here, F.lit(len(text))).otherwise(F.col("end"))), label or strings.label, whole=strings.whole)
+    return Segmentation(df.withColumn("content", new).withColumn("end", F.when(here, F.lit(len(text))).otherwise(F.col("end"))), label or strings.label, whole=strings.whole, pointers=strings.pointers)
