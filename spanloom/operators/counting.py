@@ -67,10 +67,12 @@ def ngrams(units: Segmentation, n: int, key: str | None = None, delimiter: str =
 
 def count_in_context(
     units: Segmentation, contexts: Segmentation | None = None, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#",
-    context_key: str | None = None, merge_contexts: bool = False,
+    context_key: str | None = None, merge_contexts: bool = False, digest_contexts: bool = False,
 ) -> CrossTab:
     """How often each unit type (or n-gram) occurs in each context type.
 
+    With digest_contexts, contexts go by the MD5 of their names, for what needs no names.
+
     Without contexts, or with merged ones, there is a single context __global__. A unit that
     lies in several contexts counts once in each. N-grams inside contexts are of units whose
     ordinals follow each other.
@@ -82,6 +84,8 @@ def count_in_context(
             return _counted(fast)
         return _counted(units.df.select(F.lit(GLOBAL).alias("row_id"), units.item_or_none(unit_key).alias("col_id")))
     ctx = F.lit(GLOBAL) if merge_contexts else contexts.item_or_none(context_key)
+    if digest_contexts and not merge_contexts:
+        ctx = F.unhex(F.md5(ctx))
     if seq_length == 1:
         if units.recipe and units.recipe[0] is contexts and contexts.disjoint and (fast := _in_place(units, ctx, unit_key, False)) is not None:
             return _counted(fast)

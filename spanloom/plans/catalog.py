@@ -1,11 +1,13 @@
 """The queries of the span operators over the test tables, each with its SQL beside it.
 
-Every query reads its whole tables. Large results are given by their statistics: the
-spectrum of a table of counts says how many cells hold each value, so every cell counts.
+Every query reads its whole tables. Large results are given by checksums of their rows, labels
+included: 256 parts by the first byte of a row's MD5, with the number of rows and the sum of the
+next four bytes. A row that is missing, doubled or labelled wrongly changes its part.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from spanloom.operators import annotate, concordance, counting, diversity, lengths, rendering, segmenters
 from spanloom.operators.segmentation import Segmentation
 from spanloom.operators.table import CrossTab
+from spanloom.plans.jobs import run_cancellable
 from spanloom.plans.session import scratch_path
+from spanloom.sources import corpus
 from spanloom.sources.corpus import from_dataframe, from_texts
 from spanloom.streaming.counts import stream_counts
 
@@ -22,8 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 WORD, LINE, SENTENCE, NUMBER = r"[\p{L}\p{N}_]+", r"[^\n]+", r"[.!?]+", r"^[0-9]+$"
 PAIR = r"(\p{L}+), (\p{L}+)"
-#: Frequency from which a word is frequent enough for a dense table of words by words.
-FREQUENT = 300
 TEMPLATE = "%(__num__)s|%(lang)s|%(nokey)s|%(__start__)s-%(__end__)s"
 
 QUERIES: dict[str, Query] = {}
@@ -71,13 +73,16 @@ TOK, LIN = _tokens("tok", WORD), _tokens("lin", LINE)
 _UNNEST = "(SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '" + WORD + "')) AS item FROM documents)"
 
 
-def spectrum(df: DataFrame, value: str = "value") -> DataFrame:
-    """(value, cells)."""
-    return df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
+def checksum(df: DataFrame, *cols: str) -> DataFrame:
+    """(part, n, digest) of rows of whole numbers, strings and booleans."""
+    h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in cols)))
+    rows = df.select(h.alias("h"))
+    return rows.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("h", 3, 8), 16, 10).cast("long")).alias("digest"))
 
 
-def _spectrum_sql(ctes: str, rows: str, value: str = "value") -> str:
-    return f"WITH {ctes}, cells_ AS ({rows}) SELECT {value} AS value, count(*) AS cells FROM cells_ GROUP BY 1"
+def _checksum_sql(ctes: str, rows: str, *cols: str) -> str:
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols)
+    return f"WITH {ctes}, rows_ AS ({rows}), h_ AS (SELECT md5(concat_ws('|', {parts})) AS h FROM rows_) SELECT substr(h, 1, 2) AS part, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 3, 8) AS BIGINT)) AS BIGINT) AS digest FROM h_ GROUP BY 1"
 
 
 def _r(c: str | Column) -> Column:
@@ -93,18 +98,21 @@ def count_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_in_context(segmenters.tokenize(x, [(WORD, "tokenize")]), x, context_key="lang").df
 
 
-_PLACES = "CAST(count(*) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends, min(item) AS first, max(item) AS last"
+_SPAN = ("doc_id", "start", "end", "content")
 
 
-def _places(seg: Segmentation) -> DataFrame:
-    return seg.df.groupBy(F.col("str_index").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.min("content").alias("first"), F.max("content").alias("last")
-    )
+def _spans(seg: Segmentation, *extra: Column) -> DataFrame:
+    return seg.df.select(F.col("str_index").alias("doc_id"), "start", "end", "content", *extra)
 
 
-@query(f"WITH {TOK} SELECT doc_id, {_PLACES} FROM tok GROUP BY 1")
+@query(_checksum_sql(TOK, "SELECT * FROM tok", "doc_id", "s", "e", "item"))
 def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
-    return _places(words(spark, d))
+    return checksum(_spans(words(spark, d)), *_SPAN)
+
+
+@query(_checksum_sql(TOK, "SELECT * FROM tok", "ord", "doc_id", "s", "item"))
+def tokenize_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return checksum(words(spark, d).ordered.select("ord", F.col("str_index").alias("doc_id"), "start", "content"), "ord", "doc_id", "start", "content")
 
 
 @query(f"WITH {LIN} SELECT doc_id, s AS \"start\", e AS \"end\", md5(item) AS content FROM lin")
@@ -112,13 +120,14 @@ def tokenize_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).df.select(F.col("str_index").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("content").alias("content"))
 
 
-@query(f"""WITH s0 AS (SELECT doc_id, string_split_regex(text, '{SENTENCE}') AS ps, list_concat(regexp_extract_all(text, '{SENTENCE}'), ['']) AS seps FROM documents WHERE text IS NOT NULL),
+@query(_checksum_sql(
+    f"""s0 AS (SELECT doc_id, string_split_regex(text, '{SENTENCE}') AS ps, list_concat(regexp_extract_all(text, '{SENTENCE}'), ['']) AS seps FROM documents WHERE text IS NOT NULL),
 s1 AS (SELECT doc_id, unnest(ps) AS item, unnest(seps) AS sep, unnest(range(len(ps))) AS i FROM s0),
-s2 AS (SELECT doc_id, item, sum(len(item) + len(sep)) OVER (PARTITION BY doc_id ORDER BY i) - len(item) - len(sep) AS s FROM s1),
-s3 AS (SELECT doc_id, item, s, s + len(item) AS e FROM s2 WHERE item <> '')
-SELECT doc_id, {_PLACES} FROM s3 GROUP BY 1""")
+s2 AS (SELECT doc_id, item, CAST(sum(len(item) + len(sep)) OVER (PARTITION BY doc_id ORDER BY i) - len(item) - len(sep) AS BIGINT) AS s FROM s1)""",
+    "SELECT doc_id, s, s + len(item) AS e, item FROM s2 WHERE item <> ''", "doc_id", "s", "e", "item",
+))
 def tokenize_split(spark: SparkSession, d: str) -> DataFrame:
-    return _places(segmenters.tokenize(docs(spark, d), [(SENTENCE, "split")]))
+    return checksum(_spans(segmenters.tokenize(docs(spark, d), [(SENTENCE, "split")])), *_SPAN)
 
 
 @query(f"""SELECT l AS "left", r AS "right", count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{PAIR}', 1)) AS l, unnest(regexp_extract_all(text, '{PAIR}', 2)) AS r FROM documents) GROUP BY 1, 2""")
@@ -130,25 +139,33 @@ def tokenize_backref(spark: SparkSession, d: str) -> DataFrame:
 _NUM = _tokens("num", "[0-9]+")
 
 
-@query(f"""WITH {TOK}, {_NUM}, u AS (SELECT doc_id, s, e, 'word' AS kind, NULL AS digits FROM tok UNION ALL SELECT doc_id, s, e, 'number', 'yes' FROM num),
-m AS (SELECT doc_id, s, e, CASE WHEN bool_or(kind = 'number') THEN 'number' ELSE 'word' END AS kind, max(digits) AS digits FROM u GROUP BY 1, 2, 3)
-SELECT kind, digits, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM m GROUP BY 1, 2""")
+@query(_checksum_sql(
+    f"""{TOK}, {_NUM}, u AS (SELECT doc_id, s, e, 'word' AS kind, NULL AS digits FROM tok UNION ALL SELECT doc_id, s, e, 'number', 'yes' FROM num)""",
+    "SELECT doc_id, s, e, CASE WHEN bool_or(kind = 'number') THEN 'number' ELSE 'word' END AS kind, max(digits) AS digits FROM u GROUP BY 1, 2, 3", "doc_id", "s", "e", "kind", "digits",
+))
 def tokenize_multi_regex_merge(spark: SparkSession, d: str) -> DataFrame:
     seg = segmenters.tokenize(docs(spark, d), [(WORD, "tokenize", {"kind": "word"}), ("[0-9]+", "tokenize", {"kind": "number", "digits": "yes"})], import_annotations=False, merge=True)
     a = F.col("annotations")
-    return seg.df.groupBy(a["kind"].alias("kind"), a["digits"].alias("digits")).agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
+    return checksum(_spans(seg, a["kind"].alias("kind"), a["digits"].alias("digits")), "doc_id", "start", "end", "kind", "digits")
+
+
+@query(_checksum_sql(f"{TOK}, {_NUM}, u AS (SELECT doc_id, s, e, 0 AS k FROM tok UNION ALL SELECT doc_id, s, e, 1 FROM num)", "SELECT *, row_number() OVER (ORDER BY doc_id, s, e, k) - 1 AS ord FROM u", "ord", "doc_id", "s", "e"))
+def tokenize_multi_regex(spark: SparkSession, d: str) -> DataFrame:
+    seg = segmenters.tokenize(docs(spark, d), [(WORD, "tokenize"), ("[0-9]+", "tokenize")])
+    return checksum(seg.ordered.select("ord", F.col("str_index").alias("doc_id"), "start", "end"), "ord", "doc_id", "start", "end")
 
 
 # --- filters ----------------------------------------------------------------------------
 
 
 def _two(kept: Segmentation, rest: Segmentation) -> DataFrame:
-    both = kept.df.select("annotations", "content", F.lit("kept").alias("part")).unionByName(rest.df.select("annotations", "content", F.lit("rest").alias("part")))
-    return both.groupBy("part", F.col("annotations")["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content").alias("types"))
+    """Every span with the half it is in."""
+    both = _spans(kept, F.lit("kept").alias("half")).unionByName(_spans(rest, F.lit("rest").alias("half")))
+    return checksum(both, "half", *_SPAN)
 
 
 def _two_sql(cond: str, ctes: str = "") -> str:
-    return f"{ctes} SELECT CASE WHEN {cond} THEN 'kept' ELSE 'rest' END AS part, lang, count(*) AS n, count(DISTINCT item) AS types FROM {_UNNEST} GROUP BY 1, 2"
+    return _checksum_sql(TOK + ctes, f"SELECT CASE WHEN {cond} THEN 'kept' ELSE 'rest' END AS half, * FROM tok", "half", "doc_id", "s", "e", "item")
 
 
 @query(_two_sql("regexp_matches(item, 'ing$')"))
@@ -166,7 +183,7 @@ def select_by_annotation(spark: SparkSession, d: str) -> DataFrame:
     return _two(*segmenters.select(words(spark, d), "^(en|de)$", annotation_key="lang"))
 
 
-_FREQ = f"WITH f AS (SELECT item AS k, count(*) AS n FROM {_UNNEST} GROUP BY 1)"
+_FREQ = ", f AS (SELECT item AS k, count(*) AS n FROM tok GROUP BY 1)"
 
 
 @query(_two_sql("item IN (SELECT k FROM f WHERE n >= 100)", _FREQ))
@@ -179,17 +196,14 @@ def threshold_range(spark: SparkSession, d: str) -> DataFrame:
     return _two(*segmenters.threshold(words(spark, d), 5, 50))
 
 
-@query(_two_sql("source IN (SELECT source FROM g WHERE n >= 20000)", f"WITH g AS (SELECT source, count(*) AS n FROM {_UNNEST} GROUP BY 1)"))
+@query(_two_sql("source IN (SELECT source FROM g WHERE n >= 20000)", ", g AS (SELECT source, count(*) AS n FROM tok GROUP BY 1)"))
 def threshold_annotation(spark: SparkSession, d: str) -> DataFrame:
     return _two(*segmenters.threshold(words(spark, d), 20000, annotation_key="source"))
 
 
-@query(f"""WITH {TOK}, k AS (SELECT greatest(1, CAST(round_even(count(*) / 5000.0, 0) AS BIGINT)) AS step FROM tok)
-SELECT ord % step = 0 AS kept, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM tok, k GROUP BY 1""")
+@query(_checksum_sql(f"{TOK}, k AS (SELECT greatest(1, CAST(round_even(count(*) / 5000.0, 0) AS BIGINT)) AS step FROM tok)", "SELECT CASE WHEN ord % step = 0 THEN 'kept' ELSE 'rest' END AS half, tok.* FROM tok, k", "half", "doc_id", "s", "e", "item"))
 def sample_systematic(spark: SparkSession, d: str) -> DataFrame:
-    kept, rest = segmenters.sample(words(spark, d), 5000, "systematic")
-    both = kept.df.select("start", F.lit(True).alias("kept")).unionByName(rest.df.select("start", F.lit(False).alias("kept")))
-    return both.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
+    return _two(*segmenters.sample(words(spark, d), 5000, "systematic"))
 
 
 @query(f"SELECT least(count(*), 5000) AS kept, greatest(count(*) - 5000, 0) AS rest FROM {_UNNEST}")
@@ -198,7 +212,7 @@ def sample_random(spark: SparkSession, d: str) -> DataFrame:
     return kept.df.agg(F.count(F.lit(1)).alias("kept")).crossJoin(rest.df.agg(F.count(F.lit(1)).alias("rest")))
 
 
-_BENCH = f"WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS k FROM benchmark)"
+_BENCH = f", b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS k FROM benchmark)"
 
 
 def _benchmark_words(spark: SparkSession, d: str) -> Segmentation:
@@ -230,16 +244,32 @@ def bypass(spark: SparkSession, d: str) -> DataFrame:
 _UNION = "u AS (SELECT doc_id, s, e, 1 AS no, 'words' AS label FROM tok UNION ALL SELECT doc_id, s, e, 0, 'lines' FROM lin)"
 
 
-@query(f"WITH {TOK}, {LIN}, {_UNION}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id, s, e, no) - 1 AS ord FROM u) SELECT label, count(*) AS n, CAST(sum(ord) AS BIGINT) AS ords FROM o GROUP BY 1")
+def _labelled(seg: Segmentation) -> DataFrame:
+    return seg.ordered.select("ord", F.col("annotations")["component_label"].alias("label"), F.col("str_index").alias("doc_id"), "start", "end")
+
+
+_LABELLED = ("ord", "label", "doc_id", "start", "end")
+
+
+@query(_checksum_sql(f"{TOK}, {LIN}, {_UNION}", "SELECT *, row_number() OVER (ORDER BY doc_id, s, e, no) - 1 AS ord FROM u", "ord", "label", "doc_id", "s", "e"))
 def concatenate_labels(spark: SparkSession, d: str) -> DataFrame:
-    both = segmenters.concatenate([lines(spark, d), words(spark, d)], sort=True)
-    return both.ordered.groupBy(F.col("annotations")["component_label"].alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ords"))
+    return checksum(_labelled(segmenters.concatenate([lines(spark, d), words(spark, d)], sort=True)), *_LABELLED)
+
+
+@query(_checksum_sql(
+    f"""{TOK}, {LIN}, c AS (SELECT doc_id, s, e, 0 AS no, 'selected_data' AS label, row_number() OVER (ORDER BY ord) AS place FROM tok WHERE regexp_matches(item, '{NUMBER}')
+UNION ALL SELECT doc_id, s, e, 1, 'lines', ord FROM lin), r AS (SELECT doc_id, min(row(no, place)) AS seen FROM c GROUP BY 1)""",
+    "SELECT label, doc_id, s, e, row_number() OVER (ORDER BY seen, s, e, no) - 1 AS ord FROM c JOIN r USING (doc_id)", "ord", "label", "doc_id", "s", "e",
+))
+def concatenate_default_order(spark: SparkSession, d: str) -> DataFrame:
+    """Strings in the order in which the inputs show them: first those that hold a number."""
+    return checksum(_labelled(segmenters.concatenate([_numbers(spark, d), lines(spark, d)])), *_LABELLED)
 
 
-@query(f"WITH {TOK}, {LIN}, {_UNION}, m AS (SELECT doc_id, s, e, max(label) AS label FROM u GROUP BY 1, 2, 3) SELECT label, count(*) AS n FROM m GROUP BY 1")
+@query(_checksum_sql(f"{TOK}, {LIN}, {_UNION}", "SELECT doc_id, s, e, max(label) AS label FROM u GROUP BY 1, 2, 3", "label", "doc_id", "s", "e"))
 def concatenate_merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
     both = segmenters.concatenate([lines(spark, d), words(spark, d)], merge=True)
-    return both.df.groupBy(F.col("annotations")["component_label"].alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return checksum(_labelled(both), *_LABELLED[1:])
 
 
 @query(f"WITH {LIN} SELECT doc_id, s AS \"start\", ord + 1 AS number FROM lin")
@@ -342,22 +372,29 @@ def count_merged(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_in_context(words(spark, d), lines(spark, d), unit_key="lang", merge_contexts=True).df
 
 
+_CELL = ("row_id", "col_id", "value")
+
+
+def _cells(t: CrossTab) -> DataFrame:
+    return checksum(t.df, *_CELL)
+
+
 def _grams(n: int, delim: str = "#", over: str = "ORDER BY ord") -> str:
     parts = f" || '{delim}' || ".join(["item"] + [f"lead(item, {k}) OVER w" for k in range(1, n)])
     return f"(SELECT *, {parts} AS gram FROM tok WINDOW w AS ({over}))"
 
 
-@query(_spectrum_sql(TOK, f"SELECT gram, count(*) AS value FROM {_grams(2)} WHERE gram IS NOT NULL GROUP BY 1"))
+@query(_checksum_sql(TOK, f"SELECT '__global__' AS row_id, gram AS col_id, count(*) AS value FROM {_grams(2)} WHERE gram IS NOT NULL GROUP BY 2", *_CELL))
 def count_bigram_global(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_context(words(spark, d), seq_length=2).df)
+    return _cells(counting.count_in_context(words(spark, d), seq_length=2))
 
 
-@query(_spectrum_sql(
+@query(_checksum_sql(
     f"{TOK}, {LIN}, {_INSIDE}, g AS (SELECT lang, item || '#' || lead(item) OVER w || '#' || lead(item, 2) OVER w AS gram, lead(ord, 2) OVER w - ord AS gap FROM i_ WINDOW w AS (PARTITION BY line ORDER BY ord))",
-    "SELECT lang, gram, count(*) AS value FROM g WHERE gap = 2 GROUP BY 1, 2",
+    "SELECT lang AS row_id, gram AS col_id, count(*) AS value FROM g WHERE gap = 2 GROUP BY 1, 2", *_CELL,
 ))
 def count_trigram_in_line(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_context(words(spark, d), lines(spark, d), seq_length=3, context_key="lang").df)
+    return _cells(counting.count_in_context(words(spark, d), lines(spark, d), seq_length=3, context_key="lang"))
 
 
 def _windows_sql(w: int, n: int = 1) -> str:
@@ -366,14 +403,14 @@ def _windows_sql(w: int, n: int = 1) -> str:
     return f"SELECT win, {item} AS unit, count(*) AS value FROM (SELECT {item}, unnest(range(greatest(0, ord + {n} - {w}), least(ord, (SELECT count(*) FROM tok) - {w}) + 1)) AS win FROM {src}) GROUP BY 1, 2"
 
 
-@query(_spectrum_sql(TOK, _windows_sql(4)))
+@query(_checksum_sql(TOK, _windows_sql(4), "win + 1", "unit", "value"))
 def count_window(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_window(words(spark, d), 4).df)
+    return _cells(counting.count_in_window(words(spark, d), 4))
 
 
-@query(_spectrum_sql(TOK, _windows_sql(4, 2)))
+@query(_checksum_sql(TOK, _windows_sql(4, 2), "win + 1", "unit", "value"))
 def count_window_bigram(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_window(words(spark, d), 4, seq_length=2).df)
+    return _cells(counting.count_in_window(words(spark, d), 4, seq_length=2))
 
 
 def _chain_sql(left: int, right: int, n: int = 1, merge: bool = False) -> str:
@@ -381,27 +418,27 @@ def _chain_sql(left: int, right: int, n: int = 1, merge: bool = False) -> str:
     joined = lambda xs: " || '#' || ".join(xs) if xs else "''"
     over = "ORDER BY ord" if merge else "PARTITION BY doc_id ORDER BY i"
     rows = f"SELECT {joined(items[:left])} || '_' || {joined(items[left + n:])} AS row_id, {joined(items[left:left + n])} AS col_id FROM tok WINDOW w AS ({over})"
-    return _spectrum_sql(TOK, f"SELECT row_id, col_id, count(*) AS value FROM ({rows}) WHERE row_id IS NOT NULL AND col_id IS NOT NULL GROUP BY 1, 2")
+    return _checksum_sql(TOK, f"SELECT row_id, col_id, count(*) AS value FROM ({rows}) WHERE row_id IS NOT NULL AND col_id IS NOT NULL GROUP BY 1, 2", *_CELL)
 
 
 @query(_chain_sql(1, 0))
 def chain_left1(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_chain(words(spark, d)).df)
+    return _cells(counting.count_in_chain(words(spark, d)))
 
 
 @query(_chain_sql(1, 1))
 def chain_left1_right1(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_chain(words(spark, d), 1, 1).df)
+    return _cells(counting.count_in_chain(words(spark, d), 1, 1))
 
 
 @query(_chain_sql(1, 1, 1, True))
 def chain_merge_strings(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_chain(words(spark, d), 1, 1, merge_strings=True).df)
+    return _cells(counting.count_in_chain(words(spark, d), 1, 1, merge_strings=True))
 
 
 @query(_chain_sql(2, 0, 2))
 def chain_bigram(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(counting.count_in_chain(words(spark, d), 2, 0, seq_length=2).df)
+    return _cells(counting.count_in_chain(words(spark, d), 2, 0, seq_length=2))
 
 
 # --- lengths ----------------------------------------------------------------------------
@@ -479,9 +516,47 @@ def expected_variety(spark: SparkSession, d: str) -> DataFrame:
     return _variety(spark, d, resample=True, subsample_size=1000).withColumn("expected_variety", F.round("expected_variety", 4))
 
 
-@query(_spectrum_sql(TOK, f"SELECT win, CAST(count(*) AS DOUBLE) AS value FROM ({_windows_sql(8)}) GROUP BY 1"))
+def _per_window(t: DataFrame, measure: str) -> DataFrame:
+    return checksum(t.select("context", F.round(F.col(measure) * 1000).cast("long").alias("v")), "context", "v")
+
+
+def _window_variety_sql(size: int, measure: str, ctes: str = "") -> str:
+    rows = f"SELECT win + 1 AS context, CAST(round({measure} * 1000) AS BIGINT) AS v FROM w_ GROUP BY 1"
+    return _checksum_sql(f"{TOK}, w_ AS ({_windows_sql(size)}){ctes}", rows, "context", "v")
+
+
+@query(_window_variety_sql(8, "count(*)"))
 def variety_window(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(diversity.variety_in_window(words(spark, d), 8), "variety")
+    return _per_window(diversity.variety_in_window(words(spark, d), 8), "variety")
+
+
+@query(_window_variety_sql(6, "exp(ln(sum(value)) - sum(value * ln(value)) / sum(value))"))
+def variety_window_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _per_window(diversity.variety_in_window(words(spark, d), 6, weighting=True), "variety")
+
+
+@query(_checksum_sql(
+    f"""{TOK}, c_ AS (SELECT win, lang, count(*) AS n, count(DISTINCT item) AS v FROM (SELECT lang, item, unnest(range(greatest(0, ord + 1 - 5), least(ord, (SELECT count(*) FROM tok) - 5) + 1)) AS win FROM tok) GROUP BY 1, 2)""",
+    "SELECT win + 1 AS context, CAST(round(sum(v * n) / sum(n) * 1000) AS BIGINT) AS v FROM c_ GROUP BY 1", "context", "v",
+))
+def variety_window_category(spark: SparkSession, d: str) -> DataFrame:
+    t = diversity.variety_in_window(words(spark, d), 5, per_category=True, category_key="lang", category_weighting=True)
+    return _per_window(t, "variety")
+
+
+@query(_window_variety_sql(4, "sum(CASE value WHEN 1 THEN 0.5 WHEN 2 THEN 5 / 6.0 ELSE 1 END)"))
+def variety_window_expected(spark: SparkSession, d: str) -> DataFrame:
+    """Types to expect in two of a window's four words: 1 - C(4 - f, 2) / C(4, 2) for each."""
+    return _per_window(diversity.variety_in_window(words(spark, d), 4, resample=True, subsample_size=2), "expected_variety")
+
+
+@query("SELECT 'ValueError' AS raised")
+def variety_category_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Diversity per category has no sequences."""
+    try:
+        return diversity.variety_in_context(words(spark, d), seq_length=2, per_category=True, category_key="lang")
+    except ValueError as e:
+        return spark.createDataFrame([(type(e).__name__,)], "raised string")
 
 
 @query()
@@ -588,31 +663,13 @@ def collocations_min_frequency(spark: SparkSession, d: str) -> DataFrame:
 # --- co-occurrence ----------------------------------------------------------------------
 
 
-def _frequent(spark: SparkSession, d: str) -> Segmentation:
-    return segmenters.threshold(words(spark, d), FREQUENT)[0]
-
-
-_OFTEN = f"o_ AS (SELECT * FROM tok WHERE item IN (SELECT item FROM tok GROUP BY 1 HAVING count(*) >= {FREQUENT}))"
-
-
-@query(_spectrum_sql(f"{TOK}, w_ AS (SELECT DISTINCT win, unit FROM ({_windows_sql(3)}))", "SELECT a.unit AS x, b.unit AS y, count(*) AS value FROM w_ a JOIN w_ b USING (win) GROUP BY 1, 2"))
+@query(_checksum_sql(f"{TOK}, w_ AS (SELECT DISTINCT win, unit FROM ({_windows_sql(3)}))", "SELECT a.unit AS row_id, b.unit AS col_id, count(*) AS value FROM w_ a JOIN w_ b USING (win) GROUP BY 1, 2", *_CELL))
 def cooc_window(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum(concordance.cooc_in_window(words(spark, d), 3).df)
-
-
-@query(f"WITH {TOK}, {_OFTEN}, p_ AS (SELECT DISTINCT source, item FROM o_) SELECT a.item AS row_id, b.item AS col_id, count(*) AS value FROM p_ a JOIN p_ b USING (source) GROUP BY 1, 2")
-def cooc_context(spark: SparkSession, d: str) -> DataFrame:
-    return concordance.cooc_in_context(_frequent(spark, d), docs(spark, d), context_key="source").df
-
-
-@query(f"WITH {TOK}, {_OFTEN}, p_ AS (SELECT DISTINCT source, item FROM o_), q_ AS (SELECT DISTINCT source, lang FROM documents) SELECT b.lang AS row_id, a.item AS col_id, count(*) AS value FROM p_ a JOIN q_ b USING (source) GROUP BY 1, 2")
-def cooc_two_units(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    return concordance.cooc_in_context(_frequent(spark, d), x, context_key="source", units2=x, unit2_key="lang").df
+    return _cells(concordance.cooc_in_window(words(spark, d), 3))
 
 
 def _by_line(spark: SparkSession, d: str) -> tuple[Segmentation, Segmentation]:
-    """All words, and lines as their contexts: sparse, so words by words need no bound on frequency."""
+    """All words, and lines as their contexts: a sparse table of words by words."""
     x = lines(spark, d)
     return segmenters.tokenize(x, [(WORD, "tokenize")]), x
 
@@ -620,18 +677,26 @@ def _by_line(spark: SparkSession, d: str) -> tuple[Segmentation, Segmentation]:
 _LINES = f"p_ AS (SELECT DISTINCT line, item FROM (SELECT line, unnest(regexp_extract_all(line, '{WORD}')) AS item FROM (SELECT unnest(regexp_extract_all(text, '{LINE}')) AS line FROM documents)))"
 
 
-@query(_spectrum_sql(_LINES, "SELECT a.item AS x, b.item AS y, count(*) AS value FROM p_ a JOIN p_ b USING (line) GROUP BY 1, 2"))
-def cooc_context_whole(spark: SparkSession, d: str) -> DataFrame:
-    w, x = _by_line(spark, d)
-    return spectrum(concordance.cooc_in_context(w, x).df)
+@query(_checksum_sql(_LINES, "SELECT a.item AS row_id, b.item AS col_id, count(*) AS value FROM p_ a JOIN p_ b USING (line) GROUP BY 1, 2", *_CELL))
+def cooc_context(spark: SparkSession, d: str) -> DataFrame:
+    """All words by all words, by the lines that hold both."""
+    return _cells(concordance.cooc_in_context(*_by_line(spark, d)))
 
 
 @query(f"WITH {TOK}, p_ AS (SELECT DISTINCT source, item FROM tok), q_ AS (SELECT DISTINCT source, lang FROM documents) SELECT b.lang AS row_id, a.item AS col_id, count(*) AS value FROM p_ a JOIN q_ b USING (source) GROUP BY 1, 2")
-def cooc_two_units_whole(spark: SparkSession, d: str) -> DataFrame:
+def cooc_two_units(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
     return concordance.cooc_in_context(words(spark, d), x, context_key="source", units2=x, unit2_key="lang").df
 
 
+@query("""WITH p_ AS (SELECT DISTINCT n_chars, source FROM documents WHERE text IS NOT NULL), t_ AS (SELECT DISTINCT source FROM p_)
+SELECT x.source AS row_id, y.source AS col_id, (SELECT count(*) FROM p_ a JOIN p_ b USING (n_chars) WHERE a.source = x.source AND b.source = y.source) AS value FROM t_ x, t_ y""")
+def cooc_zeros(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by sources, by the lengths at which both have a document; cells without one are written as well."""
+    x = from_dataframe(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", ["source", "n_chars"])
+    return concordance.cooc_in_context(x, x, unit_key="source", context_key="n_chars", zeros=True).df
+
+
 # --- tables -----------------------------------------------------------------------------
 
 
@@ -675,12 +740,12 @@ def document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 def _association(bias: str, scale: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = counting.count_in_context(_frequent(spark, d), docs(spark, d), context_key="source")
+        t = counting.count_in_context(words(spark, d), docs(spark, d), unit_key="source", context_key="lang")
         return _rounded(t.to_association_matrix(bias))
 
     run.__name__ = f"association_{bias}"
-    query(f"""WITH {TOK}, {_OFTEN}, c AS (SELECT source, item, CAST(count(*) AS DOUBLE) AS f FROM o_ GROUP BY 1, 2), r AS (SELECT source, sum(f) AS rs FROM c GROUP BY 1), w AS (SELECT item, sum(f) / (SELECT sum(f) FROM c) AS w FROM c GROUP BY 1),
-e AS (SELECT a.item AS x, b.item AS y, sum(a.f * b.f / rs) / (SELECT sum(f) FROM c) AS e FROM c a JOIN c b USING (source) JOIN r USING (source) GROUP BY 1, 2)
+    query(f"""WITH {TOK}, c AS (SELECT lang, source AS item, CAST(count(*) AS DOUBLE) AS f FROM tok GROUP BY 1, 2), r AS (SELECT lang, sum(f) AS rs FROM c GROUP BY 1), w AS (SELECT item, sum(f) / (SELECT sum(f) FROM c) AS w FROM c GROUP BY 1),
+e AS (SELECT a.item AS x, b.item AS y, sum(a.f * b.f / rs) / (SELECT sum(f) FROM c) AS e FROM c a JOIN c b USING (lang) JOIN r USING (lang) GROUP BY 1, 2)
 SELECT x AS row_id, y AS col_id, round(e / {scale}, 9) AS value FROM e JOIN w wx ON wx.item = x JOIN w wy ON wy.item = y""")(run)
 
 
@@ -688,17 +753,12 @@ for _bias, _scale in (("frequent", "1"), ("none", "sqrt(wx.w * wy.w)"), ("rare",
     _association(_bias, _scale)
 
 
-def _association_whole(bias: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        w, x = _by_line(spark, d)
-        return spectrum(_rounded(counting.count_in_context(w, x).to_association_matrix(bias)))
-
-    run.__name__ = f"association_{bias}_whole"
-    query()(run)
-
-
-for _bias in ("frequent", "none", "rare"):
-    _association_whole(_bias)
+@query()
+def association_words(spark: SparkSession, d: str) -> DataFrame:
+    """All words by all words over lines, summed up by row: (row_id, cells, value)."""
+    w, x = _by_line(spark, d)
+    t = counting.count_in_context(w, x, digest_contexts=True).to_association_matrix()
+    return t.df.groupBy("row_id").agg(F.count(F.lit(1)).alias("cells"), _r(F.sum("value")).alias("value"))
 
 
 @query(f"WITH {_T} SELECT col_id AS row_id, row_id AS col_id, CAST(v AS BIGINT) AS value FROM t")
@@ -711,9 +771,9 @@ def weighted_flat(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d).to_weighted_flat()
 
 
-@query(f"SELECT lang AS context, count(*) AS n, count(DISTINCT item) AS types FROM {_UNNEST} GROUP BY 1")
+@query(_checksum_sql(TOK, "SELECT * FROM tok", "lang", "item"))
 def flat(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d).to_flat().groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("types"))
+    return checksum(_table(spark, d).to_flat(), "context", "unit")
 
 
 @query(f"WITH {_T} SELECT row_id, col_id, CAST(v AS BIGINT) AS value FROM t")
@@ -732,6 +792,206 @@ def sorted_table(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_in_context(x, x, unit_key="source", context_key="lang").to_sorted("src0", reverse_rows=True).df
 
 
+@query(f"SELECT item AS unit, count(*) AS value FROM {_UNNEST} GROUP BY 1")
+def top_units(spark: SparkSession, d: str) -> DataFrame:
+    return counting.count_in_context(words(spark, d)).top_units()
+
+
+@query("SELECT DISTINCT source AS col_id FROM documents WHERE text IS NOT NULL")
+def unique_items(spark: SparkSession, d: str) -> DataFrame:
+    x = docs(spark, d)
+    return counting.count_in_context(x, x, unit_key="source", context_key="lang").copy().unique("col").select("col_id")
+
+
+def _small(spark: SparkSession, d: str) -> CrossTab:
+    x = docs(spark, d)
+    return counting.count_in_context(x, x, unit_key="source", context_key="lang")
+
+
+_DENSE = f"WITH {_SMALL}, d AS (SELECT r.row_id, c.col_id, coalesce(t.value, 0) AS value FROM (SELECT DISTINCT row_id FROM t) r CROSS JOIN (SELECT DISTINCT col_id FROM t) c LEFT JOIN t USING (row_id, col_id))"
+
+
+@query(f"""{_DENSE}, l AS (SELECT row_id, string_agg(CAST(value AS VARCHAR), chr(9) ORDER BY col_id) AS vs, string_agg(col_id, chr(9) ORDER BY col_id) AS ids FROM d GROUP BY 1)
+SELECT 0 AS at, '__context__' || chr(9) || min(ids) AS line FROM l UNION ALL SELECT row_number() OVER (ORDER BY row_id), row_id || chr(9) || vs FROM l""")
+def render_tsv(spark: SparkSession, d: str) -> DataFrame:
+    text = _small(spark, d).to_string()
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "at long, line string")
+
+
+@query(f"{_DENSE} SELECT dense_rank() OVER (ORDER BY row_id) - 1 AS i, dense_rank() OVER (ORDER BY col_id) - 1 AS j, value FROM d")
+def table_to_numpy(spark: SparkSession, d: str) -> DataFrame:
+    m = _small(spark, d).to_numpy()
+    return spark.createDataFrame([(i, j, int(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i long, j long, value long")
+
+
+@query(f"WITH {_SMALL} SELECT row_id, col_id, value FROM t")
+def table_from_numpy(spark: SparkSession, d: str) -> DataFrame:
+    t = _small(spark, d)
+    return CrossTab.from_numpy(spark, t.row_ids(), t.col_ids(), t.to_numpy().astype("int64")).df.select("row_id", "col_id", "value")
+
+
+@query(f"{_DENSE} SELECT row_id, col_id, value, 'continuous' AS role FROM d")
+def table_to_ml(spark: SparkSession, d: str) -> DataFrame:
+    frame, roles = _small(spark, d).to_ml()
+    rows = [(r["row_id"], c, int(r[c]), roles[c]) for r in frame.to_dict("records") for c in frame.columns if c != "row_id"]
+    return spark.createDataFrame(rows, "row_id string, col_id string, value long, role string")
+
+
+# --- the segmentation as a container ----------------------------------------------------
+
+
+def _numbered_spans(seg: Segmentation) -> DataFrame:
+    return seg.ordered.select("ord", F.col("str_index").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("content").alias("content"))
+
+
+_LINE_ROW = 'doc_id, s AS "start", e AS "end", md5(item) AS content'
+
+
+@query(f"WITH {LIN} SELECT (ord - 7) // 5 AS ord, {_LINE_ROW} FROM lin WHERE ord >= 7 AND (ord - 7) % 5 = 0")
+def get_slice(spark: SparkSession, d: str) -> DataFrame:
+    x = lines(spark, d)[7::5]
+    return _numbered_spans(Segmentation(x.df.withColumnRenamed("ord", "tie"), x.label))
+
+
+@query(f"WITH {LIN}, n_ AS (SELECT count(*) AS n FROM lin) SELECT ord, {_LINE_ROW} FROM lin, n_ WHERE ord IN (0, 41, n - 1)")
+def get_item(spark: SparkSession, d: str) -> DataFrame:
+    x = lines(spark, d)
+    rows = [x[k] for k in (0, 41, -1)]
+    t = spark.createDataFrame([(r.ord, r.str_index, r.start, r.end, r.content) for r in rows], "ord long, doc_id long, start long, end long, content string")
+    return t.withColumn("content", F.md5("content"))
+
+
+@query(f"WITH {LIN} SELECT ord, doc_id, s AS \"start\", CASE WHEN ord = 3 THEN s + 4 ELSE e END AS \"end\", md5(CASE WHEN ord = 3 THEN item[:4] ELSE item END) AS content, CASE WHEN ord = 3 THEN 'short' END AS note FROM lin")
+def set_item(spark: SparkSession, d: str) -> DataFrame:
+    x = lines(spark, d)
+    at = x[3].start
+    y = x.set_segment(3, at, at + 4, {"note": "short"})
+    return _numbered_spans(y).join(y.ordered.select("ord", F.col("annotations")["note"].alias("note")), "ord")
+
+
+@query(f"WITH {LIN} SELECT ord, doc_id, item[:3] AS head FROM lin")
+def iterate(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(r.ord, r.str_index, r.content[:3]) for r in lines(spark, d)], "ord long, doc_id long, head string")
+
+
+@query(f"WITH {LIN}, n_ AS (SELECT count(*) AS n FROM lin) SELECT ord, {_LINE_ROW} FROM lin UNION ALL SELECT n + row_number() OVER (ORDER BY doc_id) - 1, doc_id, 0, len(text), md5(text) FROM documents, n_ WHERE text IS NOT NULL")
+def append(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered_spans(lines(spark, d).append(docs(spark, d)))
+
+
+@query(f"""WITH {LIN}, u AS (SELECT 0 AS no, ord, doc_id, s, e, item FROM lin UNION ALL SELECT 1, doc_id, doc_id, 0, len(text), text FROM documents WHERE text IS NOT NULL)
+SELECT row_number() OVER (ORDER BY doc_id, no, ord) - 1 AS ord, {_LINE_ROW} FROM u""")
+def sort_by_string(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of an appended segmentation brought together by their strings."""
+    return _numbered_spans(lines(spark, d).append(docs(spark, d)).sorted_by_string())
+
+
+@query(f"WITH {LIN} SELECT doc_id, min(ord) AS first_ord FROM lin GROUP BY 1")
+def string_starts(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).string_starts().select(F.col("str_index").alias("doc_id"), "first_ord")
+
+
+@query("SELECT doc_id, 'xx' AS lang, source, 'yes' AS copied FROM documents WHERE text IS NOT NULL")
+def deep_copy(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("annotations")
+    x = docs(spark, d).copy({"lang": "xx", "copied": "yes"})
+    return x.df.select(F.col("str_index").alias("doc_id"), a["lang"].alias("lang"), a["source"].alias("source"), a["copied"].alias("copied"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id = 5 THEN 'new text' ELSE text END) AS content FROM documents WHERE text IS NOT NULL AND doc_id <> 6")
+def update_string(spark: SparkSession, d: str) -> DataFrame:
+    x = corpus.update(corpus.update(docs(spark, d), 5, "new text"), 6, None)
+    return x.df.select(F.col("str_index").alias("doc_id"), F.md5("content").alias("content"))
+
+
+_AGAIN = 1_000_000_000
+
+
+def _doubled(spark: SparkSession, d: str) -> Segmentation:
+    """The documents, and a pointer to each of them."""
+    x = docs(spark, d)
+    return corpus.with_pointers(x, x.df.select((F.col("str_index") + _AGAIN).alias("str_index"), F.col("str_index").alias("target")))
+
+
+@query(f"SELECT doc_id + k * {_AGAIN} AS str_index, doc_id AS real_str_index, len(text) AS \"end\" FROM documents, (SELECT unnest([0, 1]) AS k) WHERE text IS NOT NULL")
+def pointers(spark: SparkSession, d: str) -> DataFrame:
+    return _doubled(spark, d).df.select("str_index", "real_str_index", F.col("end").cast("long").alias("end"))
+
+
+@query(_checksum_sql(
+    f"{TOK}, t2_ AS (SELECT doc_id, i, item, k FROM tok, (SELECT unnest([0, 1]) AS k)), c_ AS (SELECT lag(item) OVER (PARTITION BY doc_id ORDER BY k, i) AS l, item FROM t2_)",
+    "SELECT l || '_' AS row_id, item AS col_id, count(*) AS value FROM c_ WHERE l IS NOT NULL GROUP BY 1, 2", *_CELL,
+))
+def chain_pointers(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions go on from a string into the pointers to it."""
+    return _cells(counting.count_in_chain(segmenters.tokenize(_doubled(spark, d), [(WORD, "tokenize")])))
+
+
+@query(_checksum_sql(
+    f"{TOK}, c_ AS (SELECT lag(item) OVER (PARTITION BY doc_id ORDER BY i) AS l, item FROM tok WHERE NOT contains(item, 'th'))",
+    "SELECT l || '_' AS row_id, item AS col_id, count(*) AS value FROM c_ WHERE l IS NOT NULL GROUP BY 1, 2", *_CELL,
+))
+def chain_recoded(spark: SparkSession, d: str) -> DataFrame:
+    """Recoded words are strings of their own; the others still follow each other, by pointers where need be."""
+    return _cells(counting.count_in_chain(segmenters.recode(words(spark, d), [("th", "TH")])[0]))
+
+
+@query(_checksum_sql(f"{TOK}, {LIN}, {_UNION}, o AS (SELECT u.*, lower(substring(text, s + 1, e - s)) AS item FROM u JOIN documents USING (doc_id))", "SELECT row_number() OVER (ORDER BY doc_id, s, e, no) - 1 AS ord, item FROM o", "ord", "item"))
+def recode_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    both = segmenters.concatenate([lines(spark, d), words(spark, d)], sort=True)
+    return checksum(segmenters.recode(both, case="lower", check_overlap=False)[0].df, "ord", "content")
+
+
+# --- markup over several strings, nested and merged -------------------------------------
+
+_NESTED = '<a attr="1"><a attr="2/3/">c<a/>d</a></a>'
+
+
+def _marked(seg: Segmentation, *ann: str) -> DataFrame:
+    a = F.col("annotations")
+    return seg.ordered.select("ord", "str_index", F.col("start").cast("long").alias("start"), "content", *(a[k].alias(k) for k in ann))
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 12, '<a attr="2/3/">c<a/>d</a>', '1', 'a'), (1, 0, 27, 'c<a/>d', '2/3/', 'a')) t(ord, str_index, "start", content, attr, el)""")
+def xml_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(segmenters.import_xml(from_texts(spark, [_NESTED]), "a", import_element_as="el"), "attr", "el")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 3, '1<a>2<a>3</a>4', 'x'), (1, 0, 7, '2<a>3</a>4', 'x'), (2, 0, 11, '3', 'x'), (3, 1, 0, '</a>5', 'y')) t(ord, str_index, "start", content, part)""")
+def xml_cross_string(spark: SparkSession, d: str) -> DataFrame:
+    """Elements that open in one string and close in the next; the one that ends as the second begins has no more there."""
+    rows = spark.createDataFrame([(0, "<a>1<a>2<a>3</a>4", "x"), (1, "</a>5</a>", "y")], "id long, text string, part string")
+    return _marked(segmenters.import_xml(from_dataframe(rows, "id", "text", ["part"]), "a"), "part")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 27, 'c', '1'), (1, 0, 32, 'd', '1')) t(ord, str_index, "start", content, attr)""")
+def xml_merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(segmenters.import_xml(from_texts(spark, [_NESTED]), "a", remove_markup=True, merge=True), "attr")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 27, 'c', '2/3/'), (1, 0, 32, 'd', '2/3/')) t(ord, str_index, "start", content, attr)""")
+def xml_preserve_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(segmenters.import_xml(from_texts(spark, [_NESTED]), "a", remove_markup=True, merge=True, preserve_leaves=True), "attr")
+
+
+# --- running and watching ---------------------------------------------------------------
+
+
+@query("SELECT true AS cancelled, false AS finished UNION ALL SELECT false, true")
+def cancellation(spark: SparkSession, d: str) -> DataFrame:
+    """A count that would never end is cancelled; another one ends."""
+    endless = lambda: spark.range(1 << 44).selectExpr("sum(hash(id))").collect()
+    j, thread, out = run_cancellable(spark, endless)
+    while not j.progress().total:
+        time.sleep(0.05)
+    j.cancel()
+    thread.join()
+    k, other, ended = run_cancellable(spark, lambda: lines(spark, d).count())
+    other.join()
+    rows = [(j.cancelled.is_set(), out != [None]), (k.cancelled.is_set(), bool(ended[0]) and k.progress().done > 0)]
+    return spark.createDataFrame(rows, "cancelled boolean, finished boolean")
+
+
 # --- rendering, streaming ---------------------------------------------------------------
 
 
@@ -746,6 +1006,26 @@ def render_default(spark: SparkSession, d: str) -> DataFrame:
     return rendering.lines(lines(spark, d)).withColumn("line", F.md5("line"))
 
 
+@query(f"""WITH {LIN} SELECT ord, md5('<a name="' || (ord + 1) || '"/>' || chr(10) || '<table width="100%">' || chr(10) || '<tr><td class="h" colspan="2">Segment #' || (ord + 1) || '&nbsp;&nbsp;[' || (doc_id + 1) || ':' || (s + 1) || '-' || e || ']</td></tr>'
+|| '<tr><td class="k">lang</td><td class="v" width="100%">' || lang || '</td></tr>' || chr(10) || '<tr><td class="k">source</td><td class="v" width="100%">' || source || '</td></tr>' || chr(10)
+|| '<tr><td colspan="2">' || replace(replace(item, '<', '&lt;'), '>', '&gt;') || '</td></tr></table>') AS line FROM lin""")
+def render_html(spark: SparkSession, d: str) -> DataFrame:
+    return rendering.lines(lines(spark, d), humanize_addresses=True, html=True).withColumn("line", F.md5("line"))
+
+
+@query(f"""WITH {LIN}, n_ AS (SELECT count(*) AS n FROM lin), x AS (SELECT ord, n, (ord + 1) || ':' || doc_id AS t FROM lin, n_ WHERE n <= 1000 OR ord < 5 OR ord >= n - 5)
+SELECT 'head;' || CASE WHEN min(n) <= 1000 THEN string_agg(t, ';' ORDER BY ord) ELSE string_agg(t, ';' ORDER BY ord) FILTER (ord < 5) || chr(10) || chr(10) || '[' || (min(n) - 10) || ' segments not displayed...]' || chr(10) || chr(10) || string_agg(t, ';' ORDER BY ord) FILTER (ord >= n - 5) END || ';foot' AS text FROM x""")
+def render_summary(spark: SparkSession, d: str) -> DataFrame:
+    text = rendering.to_string(lines(spark, d), "%(__num__)s:%(__str_index__)s", ";", "head;", ";foot")
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@query(f"WITH {LIN} SELECT count(*) > 1000 AS shortened, least(count(*), CASE WHEN count(*) > 1000 THEN 10 ELSE count(*) END) AS shown FROM lin")
+def render_html_page(spark: SparkSession, d: str) -> DataFrame:
+    page, shortened = rendering.to_html(lines(spark, d))
+    return spark.createDataFrame([(shortened, page.count("Segment #"))], "shortened boolean, shown long")
+
+
 @query(f"SELECT lang AS context, item AS unit, count(*) AS value FROM {_UNNEST} GROUP BY 1, 2")
 def stream_word_counts(spark: SparkSession, d: str) -> DataFrame:
     """The documents as a stream of files, counted to the end."""

@@ -1,11 +1,13 @@
 """Co-occurrence and association over all words, rare ones too, by brute force."""
 
+import hashlib
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from spanloom.operators.counting import count_in_context
 from spanloom.plans import catalog
 
 TEXTS = ["a b b c", "b c d", "e", "a e, a\nb a c\na\n", None, ""]
@@ -26,18 +28,26 @@ def counts():
     return f, types
 
 
-def spread(df):
-    return np.sort(np.repeat(*zip(*[(r.value, r.cells) for r in df.collect()], strict=True)))
+def digest(rows):
+    """The catalogue's checksum, by definition."""
+    out = {}
+    for row in rows:
+        h = hashlib.md5("|".join(map(str, row)).encode()).hexdigest()
+        n, total = out.get(h[:2], (0, 0))
+        out[h[:2]] = (n + 1, total + int(h[2:10], 16))
+    return out
 
 
 def test_cooc_context(spark, folder):
-    p = (counts()[0] > 0).astype(int)
-    got = {r.value: r.cells for r in catalog.QUERIES["cooc_context_whole"](spark, folder).collect()}
-    assert got == Counter(v for v in (p.T @ p).ravel().tolist() if v)
+    f, types = counts()
+    t = (f > 0).astype(int).T @ (f > 0).astype(int)
+    want = [(x, y, t[i, j]) for i, x in enumerate(types) for j, y in enumerate(types) if t[i, j]]
+    got = {r.part: (r.n, r.digest) for r in catalog.QUERIES["cooc_context"](spark, folder).collect()}
+    assert got == digest(want)
 
 
 def test_cooc_two_units(spark, folder):
-    got = {(r.row_id, r.col_id): r.value for r in catalog.QUERIES["cooc_two_units_whole"](spark, folder).collect()}
+    got = {(r.row_id, r.col_id): r.value for r in catalog.QUERIES["cooc_two_units"](spark, folder).collect()}
     held, spoken = {}, {}
     for i, t in enumerate(TEXTS):
         if t is not None:
@@ -48,8 +58,14 @@ def test_cooc_two_units(spark, folder):
 
 @pytest.mark.parametrize("bias", ["frequent", "none", "rare"])
 def test_association(spark, folder, bias):
-    f = counts()[0]
+    f, types = counts()
     w = f.sum(0) / f.sum()
     e = f.T @ (f / f.sum(1, keepdims=True)) / f.sum()
     e = e / {"frequent": 1, "none": np.sqrt(np.outer(w, w)), "rare": np.outer(w, w)}[bias]
-    assert np.allclose(spread(catalog.QUERIES[f"association_{bias}_whole"](spark, folder)), np.sort(e[e > 0]), atol=2e-9)
+    units, contexts = catalog._by_line(spark, folder)
+    got = {(r.row_id, r.col_id): r.value for r in count_in_context(units, contexts).to_association_matrix(bias).df.collect()}
+    want = {(x, y): e[i, j] for i, x in enumerate(types) for j, y in enumerate(types) if e[i, j] > 0}
+    assert got == pytest.approx(want)
+    if bias == "none":
+        rows = {r.row_id: (r.cells, r.value) for r in catalog.QUERIES["association_words"](spark, folder).collect()}
+        assert rows == {x: (int((e[i] > 0).sum()), pytest.approx(e[i].sum(), abs=1e-6)) for i, x in enumerate(types)}
