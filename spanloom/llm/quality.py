@@ -12,6 +12,8 @@ Defined results
 - Tokens are runs of bytes other than space, tab, newline, carriage return.
 - A null, empty or blank text has no passage: its score is null and it is kept.
 - Without labelled rows of both classes there is no model: no score, everything is kept.
+- Of labelled rows with one doc_id one is fitted. A text whose features don't fit into what is left
+  of TRAIN_BYTES is passed over in fitting; every text is scored whole.
 - Equal rows are scored alike. Other columns are ignored, whatever their names; ``filter_docs``
   passes them through.
 """
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import bytesvec
 from spanloom.llm.common import map_rows, quoted, ship, slices, text_bytes
-from spanloom.llm.labelled import best_threshold, sample
+from spanloom.llm.labelled import best_threshold, collected, one_row_each, sample
 
-#: Labelled documents used for fitting and calibration; the only bound on what is read.
-TRAIN_DOCS = 3000
+#: Labelled documents used for fitting and calibration, and bytes of their features on the driver (half precision).
+TRAIN_DOCS, TRAIN_BYTES = 3000, 96_000_000
 PASSAGE_WORDS, HIDDEN, GATE, EPOCHS, WORD_DIMS = 64, 24, 12, 12, 128
 #: Text bytes described in one pass, which takes about a hundred bytes of memory for each.
 PASS_BYTES = 400_000
@@ -138,6 +140,20 @@ def score(m: Mil, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
     return p
 
 
+def gradients(m: Mil, x: np.ndarray, bags: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss, and of the encoder's penalty, at the parameters."""
+    doc, h, t, s, att, z, p = _forward(m, x, bags)
+    dl = ((p - y) * weight).astype(x.dtype)
+    dz = dl[:, None] * m.c[:-1]
+    dh = att[:, None] * dz[doc]
+    da = (h * dz[doc]).sum(1)
+    mean = np.add.reduceat(da * att, np.cumsum(bags) - bags)[doc]
+    de = (att * (da - mean)).astype(x.dtype)
+    dt, ds = de[:, None] * m.a * s * (1 - t * t), de[:, None] * m.a * t * s * (1 - s)
+    dh = (dh + dt @ m.v.T + ds @ m.u.T) * (h > 0)
+    return {"w1": x.T @ dh + 1e-4 * m.w1, "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": np.append(z.T @ dl, dl.sum())}
+
+
 def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, seed: int = 11, epochs: int = EPOCHS, batch: int = 32) -> Mil:
     rng = np.random.default_rng(seed)
     f = np.float32
@@ -155,16 +171,7 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, seed: int = 11, epochs
             k = bags[ids]
             at = np.arange(int(k.sum())) + np.repeat(first[ids] - (np.cumsum(k) - k), k)
             xb = x[at].astype(f)
-            doc, h, t, s, att, z, p = _forward(m, xb, k)
-            dl = ((p - y[ids]) * weight[ids] / len(ids)).astype(f)
-            dz = dl[:, None] * m.c[:-1]
-            dh = att[:, None] * dz[doc]
-            da = (h * dz[doc]).sum(1)
-            mean = np.add.reduceat(da * att, np.cumsum(k) - k)[doc]
-            de = (att * (da - mean)).astype(f)
-            dt, ds = de[:, None] * m.a * s * (1 - t * t), de[:, None] * m.a * t * s * (1 - s)
-            dh = (dh + dt @ m.v.T + ds @ m.u.T) * (h > 0)
-            grads = {"w1": xb.T @ dh + 1e-4 * m.w1, "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": np.append(z.T @ dl, dl.sum())}
+            grads = gradients(m, xb, k, y[ids], weight[ids] / len(ids))
             step += 1
             for name in names:
                 g = grads[name]
@@ -185,13 +192,14 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, held_out: float = 0.25, seed: int = 11) -> Mil | None:
-    """Train on at most train_docs labelled documents and set the threshold on a part of them."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, held_out: float = 0.25, seed: int = 11) -> Mil | None:
+    """Train on at most train_docs labelled documents of train_bytes together, and set the threshold on a part of them."""
     ship(docs.sparkSession)
     chosen = sample(labels, "quality", train_docs)
     d = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     got = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    t = got.mapInArrow(_described, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = one_row_each(got.where("text IS NOT NULL"))
+    t = collected(got.mapInArrow(_described, "doc_id long, y int, x binary"), "x", train_bytes)
     raw = t.column("x").to_pylist()
     keep = [i for i, r in enumerate(raw) if r]
     if not keep:

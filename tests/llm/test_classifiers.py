@@ -1,8 +1,12 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import quality, toxicity
-from spanloom.llm.labelled import best_threshold, sample
+from spanloom.llm.common import text_bytes
+from spanloom.llm.labelled import best_threshold, collected, one_row_each, sample, shrunk
 from tests.llm.helpers import clashing, docs, odd, prose
 
 
@@ -29,7 +33,7 @@ def test_toxicity_held_out(spark, larger):
     docs_ = spark.read.parquet(f"{larger}/documents.parquet")
     train, want = held_out(spark, larger, "toxic", 1)
     got = {r.doc_id: r.toxic for r in toxicity.classify(docs_, toxicity.fit(docs_, train)).collect() if r.doc_id in want}
-    assert np.mean([got[d] for d, y in want.items() if y]) >= 0.75
+    assert np.mean([got[d] for d, y in want.items() if y]) >= 0.8
     assert np.mean([got[d] for d, y in want.items() if not y]) <= 0.02
 
 
@@ -120,6 +124,123 @@ def test_batches_dont_change_scores(models):
     assert np.allclose(together, alone, equal_nan=True, atol=1e-5)
 
 
+def loop_quality(m, text):
+    """The forward pass by plain loops over the passages of one text."""
+    words, passages = text.split(), []
+    for lo in range(0, len(words), quality.PASSAGE_WORDS):
+        x = quality.passages(*text_bytes(pa.array([text])))[0][lo // quality.PASSAGE_WORDS]
+        h = [max(0.0, sum(float(x[i]) * float(m.w1[i, j]) for i in range(len(x)) if x[i])) for j in range(m.w1.shape[1])]
+        gate = 0.0
+        for g in range(m.v.shape[1]):
+            t = math.tanh(sum(h[j] * float(m.v[j, g]) for j in range(len(h))))
+            u = 1 / (1 + math.exp(-sum(h[j] * float(m.u[j, g]) for j in range(len(h)))))
+            gate += t * u * float(m.a[g])
+        passages.append((gate, h))
+    top = sum(math.exp(g) for g, _ in passages)
+    z = [sum(math.exp(g) / top * h[j] for g, h in passages) for j in range(m.w1.shape[1])]
+    return 1 / (1 + math.exp(-(sum(z[j] * float(m.c[j]) for j in range(len(z))) + float(m.c[-1]))))
+
+
+def loop_toxicity(m, text):
+    """The forward pass by plain loops over the places of every filter in one text."""
+    idx, _ = toxicity.subwords(*text_bytes(pa.array([text.lower()])))
+    x = [[sum(float(m.tables[k, row[k], d]) for k in range(toxicity.KINDS)) for d in range(toxicity.DIM)] for row in idx]
+    logit = m.out_bias
+    for c, (w, f) in enumerate(m.filters.items()):
+        for n in range(toxicity.FILTERS):
+            at = c * toxicity.FILTERS + n
+            best = 0.0
+            for i in range(len(x) - w + 1):
+                best = max(best, sum(x[i + j][d] * float(f[j, d, n]) for j in range(w) for d in range(toxicity.DIM)) + float(m.bias[at]))
+            logit += best * float(m.out[at])
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_forward_by_brute_force(models):
+    """The registered queries' scores are those of plain loops."""
+    d, q, t = models
+    few = d.where("doc_id < 12")
+    for r in few.join(quality.classify(few, q), "doc_id").collect():
+        assert r.score == pytest.approx(loop_quality(q, r.text), abs=2e-4) and r.keep == (r.score > q.threshold)
+    for r in few.drop("lang").join(toxicity.classify(few, t), "doc_id").collect():
+        assert r.score == pytest.approx(loop_toxicity(t, r.text), abs=2e-4) and r.toxic == (r.score >= t.thresholds.get(r.lang, t.threshold))
+
+
+def slope(f, x, at, step=1e-5):
+    was = x[at]
+    x[at] = was + step
+    up = f()
+    x[at] = was - step
+    down = f()
+    x[at] = was
+    return (up - down) / (2 * step)
+
+
+def test_quality_gradients():
+    r = np.random.default_rng(0)
+    m = quality.Mil(*(r.normal(0, 0.4, s) for s in ((quality.DIMS, 5), (5, 3), (5, 3), 3, 6)))
+    x, bags, y, w = r.normal(0, 0.5, (9, quality.DIMS)), np.array([2, 1, 4, 2]), np.array([1.0, 0, 1, 0]), np.array([0.3, 0.2, 0.1, 0.4])
+
+    def loss():
+        p = quality.score(m, x, bags)
+        return float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 5e-5 * (m.w1**2).sum())
+
+    got = quality.gradients(m, x, bags, y, w)
+    for name, g in got.items():
+        par = getattr(m, name)
+        for at in [tuple(r.integers(0, n) for n in par.shape) for _ in range(12)]:
+            assert g[at] == pytest.approx(slope(loss, par, at), rel=1e-3, abs=1e-7), (name, at)
+
+
+def test_toxicity_gradients(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 4)
+    r = np.random.default_rng(1)
+    nf = toxicity.FILTERS * len(toxicity.WIDTHS)
+    m = toxicity.Cnn(r.normal(0, 1, (toxicity.KINDS, 16, toxicity.DIM)), {w: r.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}, r.normal(0, 0.2, nf), r.normal(0, 0.5, nf), 0.1)
+    rows = [r.integers(0, 16, (n, toxicity.KINDS)).astype(np.uint16) for n in (7, 1, 4, 2)]
+    y, w = np.array([1.0, 0, 1, 0]), np.array([0.3, 0.2, 0.1, 0.4])
+
+    def loss():
+        x = [sum(m.tables[k][z[:, k]] for k in range(toxicity.KINDS)) for z in rows]
+        total = 5e-5 * (m.out**2).sum()
+        for z, yi, wi in zip(x, y, w, strict=True):
+            pooled = np.concatenate([np.maximum(np.max([sum(z[i + j] @ f[j] for j in range(n)) + m.bias[c * toxicity.FILTERS : (c + 1) * toxicity.FILTERS] for i in range(len(z) - n + 1)] or [np.zeros(toxicity.FILTERS)], axis=0), 0) for c, (n, f) in enumerate(m.filters.items())])
+            p = 1 / (1 + np.exp(-(pooled @ m.out + m.out_bias)))
+            total += -wi * (yi * np.log(p) + (1 - yi) * np.log(1 - p))
+        return float(total)
+
+    g_out, g_ob, g_bias, g_filters, (at, words) = toxicity.gradients(m, rows, y, w)
+    for g, par in ((g_out, m.out), (g_bias, m.bias), *((g_filters[n], m.filters[n]) for n in toxicity.WIDTHS)):
+        for place in [tuple(r.integers(0, n) for n in par.shape) for _ in range(10)]:
+            assert g[place] == pytest.approx(slope(loss, par, place), rel=1e-3, abs=1e-7)
+    tables = np.zeros_like(m.tables)
+    for k in range(toxicity.KINDS):
+        np.add.at(tables[k], at[:, k], words)
+    for place in [tuple(r.integers(0, n) for n in tables.shape) for _ in range(25)]:
+        assert tables[place] == pytest.approx(slope(loss, m.tables, place), rel=1e-3, abs=1e-7)
+
+
+def test_bytes_on_the_driver_are_bounded(spark):
+    """A very long labelled text is passed over, the others are fitted; one row of each id is."""
+    rows = [(i, "xx" * (1 + i)) for i in range(20)] + [(50, "y" * 5000), (3, "again")]
+    df = one_row_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert df.count() == 21
+    t = collected(df, "text", 1000)
+    assert 50 not in t.column("doc_id").to_pylist() and sum(len(x) for x in t.column("text").to_pylist()) <= 1000 and t.num_rows >= 19
+    assert collected(df, "text", 10**6).num_rows == 21 and collected(df.limit(0), "text", 10).num_rows == 0
+    d, labels = planted(spark)
+    long = d.union(docs(spark, [(1000, prose(3, 200_000))]))
+    more = labels.union(spark.createDataFrame([(1000, 1, 0)], labels.schema))
+    assert quality.fit(long, more, train_bytes=2_000_000) and toxicity.fit(long, more, train_bytes=1_000_000)
+
+
+def test_thresholds_by_language(models):
+    """Every language with toxic and other rows has one, drawn towards the pooled one."""
+    _, _, t = models
+    assert set(t.thresholds) == {"en", "fr"}
+    assert shrunk(0.9, 0.1, 0, 10) == pytest.approx(0.1) and 0.1 < shrunk(0.9, 0.1, 5, 10) < 0.5 and shrunk(0.9, 0.1, 1000, 10) > 0.88
+
+
 def test_sample_and_threshold(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     assert {tuple(r) for r in sample(labels, "toxic", 10).collect()} == {(1, 1), (3, 0)}
