@@ -282,10 +282,17 @@ LOOSE = [
 ]
 
 
+_GRANTS = ("licensed under", "licenced under", "released under", "distributed under", "available under")
+_UNDER = r"(?:licen[sc]ed|released|distributed|available) under(?: the)?(?: terms of)?(?: the)?"
+
+
 def all_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
     """(licence, priority, keywords, pattern) in the rules' order."""
     rules = [(a, TEXT, k, p) for a, k, p in TEXTS]
     rules += [(a, TAG, ("spdx-license-identifier",), rf"spdx-license-identifier: ?\(?{p}(?![-\w])") for a, p in TAGS]
+    # the further names of an expression, and identifiers in a list of licences: each a detection of its own
+    rules += [(a, TAG, ("spdx-license-identifier",), rf"(?<=spdx-license-identifier: ?(?:\(*[\w.+-]+\)* (?:or|and|with) )+\(*){p}(?![-\w])") for a, p in TAGS]
+    rules += [(a, NAME, _GRANTS, rf"(?<=\b{_UNDER} (?:(?:either )?[\w.+-]+(?: {_L})?(?:/|, ?| or | and | and/or )(?:the )?)*){p}(?![-\w])") for a, p in TAGS]
     rules += [(a, NAME, k, p) for a, k, p in NAMES]
     rules += [(a, LINK, k, p) for a, k, p in LINKS]
     rules += [tuple(r) for r in LOOSE]

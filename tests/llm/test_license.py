@@ -55,6 +55,8 @@ def alternatives(tree):
             some = alternatives(arg[3])
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             some = [t * n for n in (arg[0], max(1, arg[0])) for t in alternatives(arg[2])]
+        elif name == "ASSERT" and arg[0] < 0:
+            some = alternatives(arg[1])  # what a lookbehind asks for stands before the rest
         else:
             assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
             continue
@@ -165,3 +167,22 @@ def test_table(spark):
     one = next(r for r in got if r.doc_id == 50)
     assert one.start == 3 and ("é\U0001f600 " + MIT)[one.start : one.end] == one.matched
     assert scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", ["MIT", "Apache-2.0", "BSD-3-Clause"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath OR MIT", ["GPL-2.0-only", "MIT"]),
+        ("Dual licensed under MIT and GPL-2.0", ["MIT", "GPL-2.0-only"]),
+        ("licensed under MIT/Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("Released under the ISC, Zlib or BSL-1.0", ["ISC", "Zlib", "BSL-1.0"]),
+        ("licensed under mitigation plans, or curling", []),
+    ],
+)
+def test_expressions_and_lists(text, want):
+    """Every licence of an SPDX expression or of a list is found, each at its own place."""
+    got = scanner().scan(text)
+    assert [d[2] for d in got if d[2] != UNNAMED] == want
+    assert scanner().matches(text) and {d[:3] for d in got} == {d[:3] for d in uncontained(scanner().matches(text))} if want else True
