@@ -4,12 +4,13 @@ A text is split by the tokenizer's pattern; each distinct piece is merged once p
 The merge keeps the symbols in a doubly linked list and the adjacent pairs in a priority
 queue of (rank, position); a popped entry whose symbols have changed since is stale and
 skipped. That is O(n log n) in the piece's length, so a piece of a million characters
-needs no limit. Decoding concatenates the vocabulary's byte strings, gathered by numpy.
+needs no limit. The rank file is read by the driver and broadcast, about a megabyte
+whatever the corpus, so no executor needs a copy of it. Decoding concatenates the vocabulary's byte strings, gathered by numpy.
 
 Defined results
 - A null text gives null ids and a null text back; the empty text gives no ids and ''.
 - Strings of special tokens in a text are ordinary text.
-- Ids that aren't in the vocabulary make decode raise ValueError; bytes that are no UTF-8
+- Ids that aren't in the vocabulary, and nulls in a list, make decode raise ValueError; bytes that are no UTF-8
   are decoded with U+FFFD in their place. A null id list decodes to null.
 - Equal rows give equal rows. Other columns are ignored, whatever their names.
 """
@@ -38,9 +39,9 @@ MEMO_PIECES = 400_000
 class Bpe:
     """A vocabulary of byte strings with their ranks; a token's id is its rank."""
 
-    def __init__(self, path: str = RANKS, pattern: str = PATTERN):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, path: str = RANKS, pattern: str = PATTERN, data: bytes | None = None):
+        lines = (read(path) if data is None else data).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern)
         self.memo: dict[str, np.ndarray] = {}
         top = max(self.ranks.values()) + 1
@@ -124,10 +125,16 @@ class Bpe:
 _loaded: dict[tuple[str, str], Bpe] = {}
 
 
-def load(path: str = RANKS, pattern: str = PATTERN) -> Bpe:
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load(path: str = RANKS, pattern: str = PATTERN, data: bytes | None = None) -> Bpe:
+    """The vocabulary of a rank file, read once in a process; data is the file's content where it isn't at hand."""
     key = (path, pattern)
     if key not in _loaded:
-        _loaded[key] = Bpe(path, pattern)
+        _loaded[key] = Bpe(path, pattern, data)
     return _loaded[key]
 
 
@@ -141,8 +148,10 @@ def _ids_column(ids: np.ndarray, offsets: np.ndarray, nulls: np.ndarray) -> pa.A
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, pattern: str = PATTERN, check: bool = False) -> DataFrame:
     """(doc_id, ids, n_tokens); with check also round_trip: the ids decode to the text's bytes."""
 
+    ranks = docs.sparkSession.sparkContext.broadcast(read(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, ranks.value)
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 part = b.slice(lo, hi - lo)
@@ -171,8 +180,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, text) from lists of ids."""
 
+    ranks = encoded.sparkSession.sparkContext.broadcast(read(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, ranks.value)
         for b in batches:
             col = b.column(1)
             nulls = col.is_null().to_numpy(zero_copy_only=False)
