@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.contain import contained
+from spanloom.operators.contain import contained, contained_sequences
 from spanloom.operators.counting import GLOBAL, ngrams
 from spanloom.operators.segmentation import Segmentation
 
@@ -29,13 +29,8 @@ def annotate_contexts(
         if seq_length == 1:
             inside = contained(units, contexts, {"u_ord": F.col("ord"), "unit": units.item_or_none(unit_key)}, {"ctx_ord": F.col("ord"), "context": ctx})
         else:
-            from pyspark.sql import Window as W
-
-            x = contained(units, contexts, {"u_ord": F.col("ord"), "item": units.item_or_none(unit_key)}, {"ctx_ord": F.col("ord"), "context": ctx})
-            w = W.partitionBy("ctx_ord").orderBy("u_ord")
-            last = F.lead("u_ord", seq_length - 1).over(w)
-            parts = [F.col("item")] + [y for k in range(1, seq_length) for y in (F.lit(delimiter), F.lead("item", k).over(w))]
-            inside = x.select("context", "ctx_ord", "u_ord", F.concat(*parts).alias("unit"), (last - F.col("u_ord")).alias("gap")).where(f"gap = {seq_length - 1}")
+            x = contained_sequences(units, contexts, seq_length, units.item_or_none(unit_key), {"context": ctx})
+            inside = x.select("context", "ctx_ord", "u_ord", F.array_join("items", delimiter).alias("unit"))
         seen = inside.select("context", "unit", F.struct(F.col("ctx_ord").alias("c"), F.col("u_ord").alias("u")).alias("at"))
     types = seen.groupBy("context", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     if sort_order == "Frequency":

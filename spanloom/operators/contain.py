@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanloom.operators.segmentation import Segmentation
 
@@ -33,5 +34,21 @@ def contained(units: Segmentation, contexts: Segmentation, unit_cols: dict[str,
     return j.select(*unit_cols, *ctx_cols)
 
 
+def contains(outer: str = "", inner: str = "i_") -> Column:
+    """Whether one segment holds another: the same string, and no end outside. The arguments prefix the address columns."""
+    o, i = ({c: F.col(f"{p}{c}") for c in ("str_index", "start", "end")} for p in (outer, inner))
+    return (o["str_index"] == i["str_index"]) & (o["start"] <= i["start"]) & (i["end"] <= o["end"])
+
+
+def contained_sequences(units: Segmentation, contexts: Segmentation, n: int, item: Column, ctx_cols: dict[str, Column]) -> DataFrame:
+    """(ctx_ord, u_ord, items, ..): the n units of consecutive ordinals from each unit on that lie inside a context."""
+    rows = contained(units, contexts, {"u_ord": F.col("ord"), "item": item}, {"ctx_ord": F.col("ord"), **ctx_cols})
+    w = W.partitionBy("ctx_ord").orderBy("u_ord")
+    items = F.array(F.col("item"), *(F.lead("item", k).over(w) for k in range(1, n)))
+    last = F.lead("u_ord", n - 1).over(w) if n > 1 else F.col("u_ord")
+    rows = rows.select("ctx_ord", "u_ord", items.alias("items"), *ctx_cols, (last - F.col("u_ord")).alias("gap"))
+    return rows.where(F.col("gap") == n - 1).drop("gap")
+
+
 def _uses_ord(cols: dict[str, Column]) -> bool:
     return any("ord" in str(e) for e in cols.values())

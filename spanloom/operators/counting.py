@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.functions.patterns import portable
-from spanloom.operators.contain import contained
+from spanloom.operators.contain import contained, contained_sequences
 from spanloom.operators.segmentation import NONE, Segmentation
 from spanloom.operators.table import CrossTab
 
@@ -90,12 +90,8 @@ def count_in_context(
         if units.recipe and units.recipe[0] is contexts and contexts.disjoint and (fast := _in_place(units, ctx, unit_key, False)) is not None:
             return _counted(fast)
         return _counted(contained(units, contexts, {"col_id": units.item_or_none(unit_key)}, {"row_id": ctx}))
-    inside = contained(units, contexts, {"ord": F.col("ord"), "item": units.item_or_none(unit_key)}, {"ctx_ord": F.col("ord"), "row_id": ctx})
-    w = W.partitionBy("ctx_ord").orderBy("ord")
-    nexts = [F.lead("item", k).over(w) for k in range(1, seq_length)]
-    last = F.lead("ord", seq_length - 1).over(w)
-    gram = inside.select("row_id", F.concat(F.col("item"), *(x for i in nexts for x in (F.lit(delimiter), i))).alias("col_id"), (last - F.col("ord") == seq_length - 1).alias("ok"))
-    return _counted(gram.where("ok AND col_id IS NOT NULL").select("row_id", "col_id"))
+    inside = contained_sequences(units, contexts, seq_length, units.item_or_none(unit_key), {"row_id": ctx})
+    return _counted(inside.select("row_id", F.array_join("items", delimiter).alias("col_id")))
 
 
 def _in_place(units: Segmentation, ctx: Column | None, unit_key: str | None, anywhere: bool) -> DataFrame | None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import annotate, concordance, counting, diversity, lengths, rendering, segmenters
+from spanloom.operators.contain import contained_sequences, contains
 from spanloom.operators.segmentation import Segmentation
 from spanloom.operators.table import CrossTab
 from spanloom.plans.jobs import run_cancellable
@@ -367,6 +368,25 @@ def count_word_in_line(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_in_context(words(spark, d), lines(spark, d), context_key="source").df
 
 
+@query(_checksum_sql(
+    f"{TOK}, {LIN}, {_INSIDE}, g AS (SELECT line, ord, item || ' ' || lead(item) OVER w AS gram, lead(ord) OVER w - ord AS gap FROM i_ WINDOW w AS (PARTITION BY line ORDER BY ord))",
+    "SELECT line, ord, gram FROM g WHERE gap = 1", "line", "ord", "gram",
+))
+def contained_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of words that follow each other inside a line, with both ordinals."""
+    w = words(spark, d)
+    rows = contained_sequences(w, lines(spark, d), 2, w.item(), {})
+    return checksum(rows.select("ctx_ord", "u_ord", F.array_join("items", " ").alias("gram")), "ctx_ord", "u_ord", "gram")
+
+
+@query(f"WITH {LIN} SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside FROM lin")
+def contains_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Every line lies inside its document, none reaches out of it."""
+    inner = lines(spark, d).df.select(*(F.col(c).alias(f"i_{c}") for c in ("str_index", "start", "end")))
+    j = docs(spark, d).df.join(inner, F.col("str_index") == F.col("i_str_index"))
+    return j.agg(F.count_if(contains()).alias("n"), F.count_if(~contains()).alias("outside"))
+
+
 @query(f"WITH {TOK}, {LIN}, {_INSIDE} SELECT '__global__' AS row_id, lang AS col_id, count(*) AS value FROM i_ GROUP BY 2")
 def count_merged(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_in_context(words(spark, d), lines(spark, d), unit_key="lang", merge_contexts=True).df

@@ -290,6 +290,48 @@ def test_invariants(spark, data):
     assert Counter(map(tuple, slow.df.collect())) == Counter(map(tuple, t.df.collect()))
 
 
+def _exact(counts, size, measure):
+    """Mean and deviation of a measure over all samples of size tokens."""
+    tokens = [u for u, n in counts.items() for _ in range(n)]
+    got = np.array([measure(Counter(x)) for x in itertools.combinations(tokens, size)])
+    return got.mean(), got.std()
+
+
+def _perplexity_of(c):
+    n = sum(c.values())
+    return math.exp(math.log(n) - sum(k * math.log(k) for k in c.values()) / n)
+
+
+@pytest.mark.parametrize("size", [2, 3, 5])
+def test_resampled_perplexity_against_enumeration(spark, size):
+    """Mean and deviation of many samples against all samples there are."""
+    words = tokenize(from_text(spark, "a a a b b c d"), [("[a-z]", "tokenize")])
+    r = variety_in_context(words, weighting=True, resample=True, subsample_size=size, num_subsamples=6000).first()
+    mean, std = _exact(Counter("aaabbcd"), size, _perplexity_of)
+    assert r.variety_average == pytest.approx(mean, abs=5 * std / 6000**0.5 + 1e-9) and r.variety_std_deviation == pytest.approx(std, rel=0.05, abs=1e-9)
+    assert r.variety_count == 6000
+
+
+def test_resampled_categories_against_enumeration(spark):
+    """Mean variety of two categories without adjustment, weighted and not, against all samples there are."""
+    words = tokenize(from_text(spark, "ax ax ay bx bz bz"), [("a.", "tokenize", {"k": "a"}), ("b.", "tokenize", {"k": "b"})])
+
+    def measure(weighted):
+        def f(c):
+            per = {}
+            for u, n in c.items():
+                v, w = per.get(u[0], (0, 0))
+                per[u[0]] = (v + 1, w + n)
+            return float(np.average([v for v, _ in per.values()], weights=[w for _, w in per.values()] if weighted else None))
+
+        return f
+
+    for weighted in (False, True):
+        r = variety_in_context(words, per_category=True, category_key="k", category_weighting=weighted, adjust=False, resample=True, subsample_size=3, num_subsamples=6000).first()
+        mean, std = _exact(Counter("ax ax ay bx bz bz".split()), 3, measure(weighted))
+        assert r.variety_average == pytest.approx(mean, abs=5 * std / 6000**0.5) and r.variety_std_deviation == pytest.approx(std, rel=0.05)
+
+
 def test_job(spark):
     from spanloom.plans.jobs import job, run_cancellable
 
