@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,8 @@ _SHIPPED = "spanloom.shipped"
 
 #: Bytes of a side's values up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of a batch of rows that a Python worker gets at a time; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def get_spark(app: str = "spanloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -39,11 +42,21 @@ def get_spark(app: str = "spanloom", cores: int | str = "*", **conf: str) -> Spa
     return spark
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python by their bytes: ten thousand rows, the usual number, may be texts of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    m = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get(key).lower())
+    # anything else, such as -1, is no bound
+    if not m or int(m.group(1)) << 10 * " kmgtp".index(m.group(2) or " ") > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, wherever they were started from.
 
     The code travels by the shared folder, so an executor that joins later finds it as well.
     """
+    _bound_batches(spark)
     sc = spark.sparkContext
     if sc._conf.get(_SHIPPED) == sc.applicationId:
         return

@@ -1,6 +1,7 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from spanloom.plans.session import data_bytes, small_or_plain
+from spanloom.plans.session import BATCH_BYTES, data_bytes, ship, small_or_plain
 
 
 def test_bytes_of_a_side(spark):
@@ -23,3 +24,21 @@ def test_a_side_is_broadcast_by_its_bytes(spark):
 
 def test_odd_names(spark):
     assert data_bytes(spark.range(3).toDF("a.b")) == 3 * 16
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long rows come to a Python worker a few at a time; a smaller bound of the session's own is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1g")
+        ship(spark)
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+        spark.conf.set(key, "1m")
+        ship(spark)
+        assert spark.conf.get(key) == "1m"
+        df = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("s"))
+        sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 40 and max(r.n for r in sizes) <= 5
+    finally:
+        spark.conf.set(key, was)
