@@ -127,9 +127,13 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _winners(d: DataFrame) -> DataFrame:
-    """Of (doc_id, digest): per digest the lowest doc_id, rows of that pair, and rows in all."""
-    pairs = d.where(F.col("digest").isNotNull()).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+def _pairs(d: DataFrame) -> DataFrame:
+    """(digest, doc_id, m): the rows of each digest and id."""
+    return d.where(F.col("digest").isNotNull()).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _winners(pairs: DataFrame) -> DataFrame:
+    """Per digest the lowest doc_id, rows of that pair, and rows in all."""
     return pairs.groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("m").alias("m"))).alias("w"),
         F.sum("m").alias("n"),
@@ -145,7 +149,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     d = docs.select(quoted(id_col).cast("long").alias("doc_id"), digest(quoted(text_col)).alias("digest"))
-    w = _winners(d).select("digest", F.col("w.doc_id").alias("first_doc_id"))
+    w = _winners(_pairs(d)).select("digest", F.col("w.doc_id").alias("first_doc_id"))
     if index is not None:
         seen = index.read().select("digest", F.col("doc_id").alias("seen_doc_id"), F.lit(True).alias("seen"))
         w = w.join(seen.hint("merge"), "digest", "left").select("digest", F.when(F.col("seen"), F.col("seen_doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"))
@@ -159,7 +163,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def absorb(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Append the digests of docs that the index lacks, each with its lowest doc_id: a sort-merge anti-join."""
     ship(docs.sparkSession)
-    w = _winners(docs.select(quoted(id_col).cast("long").alias("doc_id"), digest(quoted(text_col)).alias("digest")))
+    w = _winners(_pairs(docs.select(quoted(id_col).cast("long").alias("doc_id"), digest(quoted(text_col)).alias("digest"))))
     new = w.join(index.read().select("digest").hint("merge"), "digest", "left_anti").select("digest", F.col("w.doc_id").alias("doc_id"))
     # written first: the index can't be read and appended to by one job
     index.append(materialize(new, "new-digests"))
@@ -171,7 +175,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     ship(spark)
     key, dig = fresh(docs, "k_doc"), fresh(docs, "k_digest")
     full = docs.withColumns({key: quoted(id_col).cast("long"), dig: digest(quoted(text_col))})
-    d = materialize(full.select(F.col(key).alias("doc_id"), F.col(dig).alias("digest")), "digests")
+    d = materialize(_pairs(full.select(F.col(key).alias("doc_id"), F.col(dig).alias("digest"))), "digests")
     w = materialize(_winners(d), "winners")
     if index is not None:
         fresh_w = w.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
@@ -182,7 +186,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
         fresh_w, gone = w, None
     # rows to drop: the losers of each repeated digest, named by (digest, doc_id)
     multi = fresh_w.where("n > 1").select("digest", F.col("w.doc_id").alias("first"))
-    losers = d.join(multi, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("l_digest"), F.col("doc_id").alias("l_doc")).distinct()
+    losers = d.join(multi, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("l_digest"), F.col("doc_id").alias("l_doc"))
     losers = materialize(losers, "losers")
     losers = small_or_plain(named_apart(full, losers))
     kept = full.join(losers, (full[dig] == losers[losers.columns[0]]) & full[key].eqNullSafe(losers[losers.columns[1]]), "left_anti")

@@ -32,7 +32,7 @@ def test_index_over_batches(spark, tmp_path):
     assert ids(x.dedup(batch, index=index)) == [5, 7]
     assert ids(x.dedup(batch, index=index)) == [7]
     assert index.read().count() == 3
-    plan = x._winners(batch.selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest")).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    plan = x._winners(x._pairs(batch.selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest"))).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
