@@ -37,9 +37,10 @@ def sequences(units: Segmentation, n: int, key: str | None = None, cross_strings
     runs = units.runs() if key is None and not units.recipe_pointers else None
     if runs is not None:
         size = F.size("items")
-        places = F.sequence(F.lit(1), size - (n - 1))
-        inner = runs.where(size >= n).select("offset", F.posexplode(F.transform(places, lambda i: F.slice("items", i, n))).alias("pos", "xs"))
-        inner = inner.select((F.col("offset") + F.col("pos")).alias("ord"), "xs")
+        # the string's array from each of n places on, side by side: a slice copies the whole array, so there are n of them and not one for each unit
+        shifted = [F.slice("items", k + 1, size - (n - 1)).alias(f"x{k}") for k in range(n)]
+        each = runs.where(size >= n).select("offset", *shifted).select("offset", F.posexplode(F.arrays_zip(*(f"x{k}" for k in range(n)))).alias("pos", "x"))
+        inner = each.select((F.col("offset") + F.col("pos")).alias("ord"), F.array(*(F.col(f"x.x{k}") for k in range(n))).alias("xs"))
         near = F.filter(F.transform("items", lambda x, i: F.struct((F.col("offset") + i).alias("ord"), i.alias("i"), x.alias("item"))), lambda x: (x["i"] < n - 1) | (x["i"] >= size - (n - 1)))
         edge = runs.select("str_index", F.explode(near).alias("e")).select("str_index", F.col("e.ord").alias("ord"), F.col("e.item").alias("item"))
     else:

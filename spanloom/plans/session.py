@@ -19,6 +19,8 @@ _SHIPPED = "spanloom.shipped"
 
 #: Bytes of a side's values up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Bytes for each core below which an input is spread over the cores by a shuffle.
+SPREAD_BYTES = 8 << 20
 #: Bytes of a batch of rows that a Python worker gets at a time; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -126,6 +128,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is so small that it may be one row group, which one task reads.
+
+    By the plan's own estimate of its bytes; a larger input has row groups for every core and
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if cores > 1 and size < cores * SPREAD_BYTES else df
+
+
 def _value_bytes(c: Column, kind: T.DataType) -> Column | int:
     """Bytes of a value, a number where they don't depend on it."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.segmentation import Segmentation, no_annotations
+from spanloom.plans.session import spread
 
 
 def from_dataframe(df: DataFrame, id_col: str, text_col: str, annotations: Sequence[str] | dict[str, str] = (), label: str = "input_string") -> Segmentation:
@@ -23,7 +24,8 @@ def from_dataframe(df: DataFrame, id_col: str, text_col: str, annotations: Seque
         ann = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
     else:
         ann = no_annotations()
-    rows = df.where(F.col(text_col).isNotNull()).select(
+    used = list(dict.fromkeys([id_col, text_col, *named.values()]))
+    rows = spread(df.where(F.col(text_col).isNotNull()).select(*used)).select(
         F.col(id_col).cast("long").alias("str_index"),
         F.col(id_col).cast("long").alias("real_str_index"),
         F.lit(0).alias("start"),
