@@ -137,6 +137,71 @@ def test_large_blocks_are_tiled(spark, monkeypatch):
     assert found(docs(spark, rows)) == pytest.approx(brute(rows))
 
 
+def family(seed, n, words=120, change=0.05):
+    """Copies of one text, each with other words changed, some of them as in other copies."""
+    r, base = random.Random(seed), [f"w{k}" for k in range(words)]
+    return [" ".join(f"{w}c{r.randrange(9)}" if r.random() < change else w for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("piece", [2048, 16])
+def test_links_of_large_groups_are_counted_not_listed(spark, monkeypatch, piece):
+    """A group of n near copies gives rows in proportion to n; its links are those of brute force, however it is cut."""
+    monkeypatch.setattr(j, "PIECE_SETS", piece)
+    monkeypatch.setattr(j, "TILE_PAIRS", 50_000 if piece == 2048 else 300)
+    other = [" ".join(t.split()[:70] + [f"v{k}" for k in range(50)]) for t in family(2, 60)]
+    rows = list(enumerate(family(1, 150) + other + family(3, 40, 30, 0.1) + family(4, 30, 9, 0.1)))
+    want, rowed = brute(rows), []
+    assert len(want) > 10_000
+    kept = j.materialize
+
+    def watch(df, name):
+        out = kept(df, name)
+        rowed.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(j, "materialize", watch)
+    df = docs(spark, rows)
+    assert classes_of(df) == classed(rows, want)
+    if piece == 2048:
+        assert max(x for x in rowed if x[1] != "meetings")[0] < 12 * len(rows) < len(want)
+    assert found(df) == pytest.approx(want, abs=1e-6)
+
+
+def test_matrices_against_sets():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.choice(900, 60, replace=False)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(30, 60), replace=False), r.choice(900, 14)])).astype(np.uint64) for _ in range(70)]
+    near, common = j._alike(sets[:40], sets[25:], 0.45)
+    for a, x in enumerate(sets[:40]):
+        for b, y in enumerate(sets[25:]):
+            both = len({*x.tolist()} & {*y.tolist()})
+            assert common[a, b] == both and near[a, b] == (both / (len(x) + len(y) - both) >= 0.45 - 1e-12)
+    assert 0 < near.sum() < near.size
+    assert not j._common([x for x in sets[:2]], [sets[0] + np.uint64(1000)]).any()
+
+
+def test_forest_connects_what_links_connect():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    for density in (0.01, 0.04, 0.3):
+        near = r.random((30, 40)) < density
+        edges = [(int(a), 100 + int(b)) for a, b in zip(*np.nonzero(near), strict=True)]
+        rr, i, rc, c = j._forest(near)
+        few = [*zip(rr.tolist(), i.tolist()), *((int(a), 100 + int(b)) for a, b in zip(rc, c, strict=True))]
+
+        def parts(pairs):
+            root = {}
+            for a, b in pairs:
+                x, y = root.get(a, {a}), root.get(b, {b})
+                root |= dict.fromkeys(x | y, x | y)
+            return {frozenset(x) for x in root.values()}
+
+        assert parts(few) == parts(edges) and len(few) <= 70
+
+
 def test_odd_rows(spark):
     df = clashing(odd(spark).unionByName(docs(spark, [(30, prose(2, 100)), (30, prose(2, 100) + " more"), (31, prose(2, 100))])))
     assert set(found(df)) == {(30, 31)}
