@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns
 a DataFrame that is written as Parquet and read again as the next one's docs. All but the
 last return the columns of documents. The classifiers are fitted on the labelled documents
-among the stage's own input.
+among the stage's own input. Each stage begins with the executors' heaps shrunk to what is in use.
 
 Defined results, for every stage but the last
 - Columns beyond those of documents, whatever their names, pass through; nulls in any column
@@ -22,16 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import exact_dedup, jaccard, packing, quality, toxicity
-from spanloom.plans.session import materialize, scratch_path
+from spanloom.plans.session import give_back, materialize, scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    give_back(spark)
     return quality.filter_docs(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
+    give_back(spark)
     return toxicity.filter_docs(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -40,6 +42,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The documents arrive in two batches; the second is held against the index of the first.
     """
+    give_back(spark)
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "pipeline-index"))
     first, *rest = (exact_dedup.dedup(batch, index=index) for batch in exact_dedup.arrivals(docs))
     return first.union(rest[0]) if rest else first
@@ -47,11 +50,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    give_back(spark)
     return jaccard.dedup(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces and their places in the training sequences."""
+    give_back(spark)
     return packing.pack(docs)
 
 

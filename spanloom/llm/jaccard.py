@@ -66,7 +66,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesvec
-from spanloom.llm.common import fresh, named_apart, quoted, ship, slices, text_bytes
+from spanloom.llm.common import fresh, map_batches, named_apart, quoted, ship, slices, text_bytes
 from spanloom.llm.components import components
 from spanloom.plans.session import BROADCAST_BYTES, data_bytes, drop_scratch, materialize, small_or_plain
 
@@ -187,7 +187,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.where("doc_id IS NOT NULL AND text IS NOT NULL")
     if only is not None:
         d = d.join(only, F.col("doc_id") == F.col("only_id"), "left_semi")
-    return d.mapInArrow(run, kinds)
+    return map_batches(d, run, kinds)
 
 
 def keys_of(e: np.ndarray, counts: np.ndarray, sig: np.ndarray, tau: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -253,7 +253,7 @@ def key_table(sets: DataFrame, tau: float) -> DataFrame:
                 for key, sig, n in keys_of(_unpack(data), np.diff(off) // _WIDTH, part.column(0).to_numpy(), tau):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sig), pa.array(n.astype(np.int32))], names=["key", "sig", "n"])
 
-    return sets.select("sig", "elements").mapInArrow(run, "key long, sig long, n int")
+    return map_batches(sets.select("sig", "elements"), run, "key long, sig long, n int")
 
 
 def _groups(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -531,7 +531,7 @@ def _compared(once: Callable[..., DataFrame], reps: DataFrame, tau: float, every
     none = F.lit(None)
     rows = rows.union(tiles.select("tile", "a", "b", none.cast("long"), none.cast("long"), none.cast("binary")))
     rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_compare(tau, every), f"a long, b long, {'jaccard double' if every else 'links long'}"), "near-sets")
+    return materialize(map_batches(rows, _compare(tau, every), f"a long, b long, {'jaccard double' if every else 'links long'}"), "near-sets")
 
 
 def _verified(once: DataFrame, cand: DataFrame, tau: float) -> DataFrame:
@@ -544,7 +544,7 @@ def _verified(once: DataFrame, cand: DataFrame, tau: float) -> DataFrame:
     left = once.join(small_or_plain(need), F.col("sig") == F.col("n_sig")).select("tile", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
     rows = left.union(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("elements")))
     rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(tau), "a long, b long, jaccard double"), "near-sets")
+    return materialize(map_batches(rows, _verify(tau), "a long, b long, jaccard double"), "near-sets")
 
 
 def _linked(near: DataFrame, reps: DataFrame) -> DataFrame:

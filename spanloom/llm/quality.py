@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesvec
-from spanloom.llm.common import map_rows, quoted, ship, slices, text_bytes
+from spanloom.llm.common import map_batches, map_rows, quoted, ship, slices, text_bytes
 from spanloom.llm.labelled import best_threshold, collected, one_row_each, sample
 
 #: Labelled documents used for fitting and calibration, and bytes of their features on the driver (half precision).
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     got = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     got = one_row_each(got.where("text IS NOT NULL"))
-    t = collected(got.mapInArrow(_described, "doc_id long, y int, x binary"), "x", train_bytes)
+    t = collected(map_batches(got, _described, "doc_id long, y int, x binary"), "x", train_bytes)
     raw = t.column("x").to_pylist()
     keep = [i for i, r in enumerate(raw) if r]
     if not keep:
@@ -243,7 +243,7 @@ def classify(docs: DataFrame, model: Mil | None, id_col: str = "doc_id", text_co
                     keep = ~(p <= m.threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64(), mask=np.isnan(p)), pa.array(keep)], names=["doc_id", "score", "keep"])
 
-    return d.mapInArrow(run, "doc_id long, score double, keep boolean")
+    return map_batches(d, run, "doc_id long, score double, keep boolean")
 
 
 def filter_docs(docs: DataFrame, model: Mil | None, text_col: str = "text") -> DataFrame:

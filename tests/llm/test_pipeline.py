@@ -1,7 +1,12 @@
+import os
+from pathlib import Path
+
+import numpy as np
 import pytest
 
 import corpus_pipeline as p
 from spanloom.llm import packing
+from spanloom.llm.common import map_batches
 from tests.llm.helpers import clashing, odd
 from tests.llm.test_jaccard import brute as near_brute
 from tests.llm.test_packing import as_brute
@@ -116,3 +121,36 @@ def test_odd_and_empty(spark, tmp_path):
         packed_ids = {d for r in rows for d in r.doc_ids}
         # 4 and 7 are the labelled ones, and what the classifiers learn of one document each is no matter here
         assert packed_ids - {4, 7} == ({None, 5, 6} if k == 0 else set())
+
+
+def test_stages_begin_with_small_heaps(spark, steps, monkeypatch):
+    """Each stage asks for the executors' heaps before its own work."""
+    d, _ = steps
+    docs, asked = spark.read.parquet(f"{d}/documents.parquet").limit(20), []
+    monkeypatch.setattr(p, "give_back", asked.append)
+    for k, (_, stage) in enumerate(p.STAGES, 1):
+        stage(spark, docs, d)
+        assert len(asked) == k
+
+
+def test_workers_release_what_they_freed():
+    """At a task's end what was freed in small pieces, below one that stays, is the system's again."""
+
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    seen = []
+
+    def run(batches):
+        pieces = [np.ones(10_000) for _ in range(3000)]
+        seen.append(pieces.pop())
+        del pieces
+        seen.append(held())
+        yield from batches
+
+    class Here:
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return list(f(iter([1, 2])))
+
+    assert map_batches(Here(), run, "n long") == [1, 2]
+    assert held() < seen[1] - 150

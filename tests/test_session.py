@@ -1,7 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from spanloom.plans.session import BATCH_BYTES, data_bytes, ship, small_or_plain
+from spanloom.plans.session import BATCH_BYTES, data_bytes, give_back, ship, small_or_plain
 
 
 def test_bytes_of_a_side(spark):
@@ -42,3 +42,13 @@ def test_batches_are_bounded_by_bytes(spark):
         assert sum(r.n for r in sizes) == 40 and max(r.n for r in sizes) <= 5
     finally:
         spark.conf.set(key, was)
+
+
+def test_heaps_are_given_back(spark):
+    """A heap that grew shrinks again."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    # a shuffled sort of long rows leaves much garbage
+    spark.range(0, 400_000, 1, 4).selectExpr("id", "repeat(CAST(id AS STRING), 300) AS t").repartition(4, "t").sortWithinPartitions("t").write.format("noop").mode("overwrite").save()
+    grown, used = runtime.totalMemory(), runtime.totalMemory() - runtime.freeMemory()
+    give_back(spark)
+    assert runtime.totalMemory() - runtime.freeMemory() < used and runtime.totalMemory() < grown
