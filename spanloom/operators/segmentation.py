@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.functions.patterns import portable
 from spanloom.plans.ordinals import prefix_sums, with_ordinals
-from spanloom.plans.session import materialize, small_or_plain
+from spanloom.plans.session import materialize, ship, small_or_plain
 
 NONE = "__none__"
 ADDRESS = ("str_index", "start", "end")
 
+#: Rows of each that are handed on at a time.
+EACH = 10_000
+
 #: Segments shown in full; of more, the first and last SHOWN are shown.
 FULL, SHOWN = 1000, 5
 
@@ -31,15 +38,17 @@ class Segmentation:
     Without ord the order is that of the address, (str_index, start, end, tie).
     whole says that each segment covers its string, one to a string, and pointers that some
     strings lead to others. recipe remembers (parent, pattern) of a plain tokenization, so that
-    counting can stay inside the JVM; ordering makes df with ord where that takes no sort.
+    counting can stay inside the JVM; ordering makes df with ord where that takes no sort, and
+    chains gives the units of each string as arrays.
     """
 
     def __init__(
         self, df: DataFrame, label: str = "segmented_data", whole: bool = False, recipe: tuple[Segmentation, str] | None = None,
-        ordering: Callable[[], DataFrame] | None = None, pointers: bool = False,
+        ordering: Callable[[], DataFrame] | None = None, pointers: bool = False, chains: Callable[[], DataFrame] | None = None,
     ):
         self._df, self.label, self.whole, self.recipe, self._ordering, self.pointers = df, label, whole, recipe, ordering, pointers
         self._offsets: DataFrame | None = None
+        self._chains = chains
 
     @property
     def df(self) -> DataFrame:
@@ -77,14 +86,21 @@ class Segmentation:
         """Whether the strings that the tokens were cut from may be pointers to others."""
         return self.recipe is not None and self.recipe[0].pointers
 
-    def runs(self) -> DataFrame | None:
-        """(str_index, offset, items): each string's tokens as one array, for plain tokens of whole strings."""
+    def runs(self, cat: str | None = None) -> DataFrame | None:
+        """(str_index, real_str_index, n, offset, items[, cat]): each string's tokens as one array, for plain tokens of whole strings.
+
+        cat is their annotation of that key, which is their string's.
+        """
         offsets = self.token_offsets()
         if offsets is None:
             return None
         parent, pattern = self.recipe
-        items = parent.df.select("str_index", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("items"))
-        return items.join(small_or_plain(offsets.where("n > 0").select("str_index", "offset")), "str_index")
+        items = parent.df.select("str_index", "real_str_index", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("items"), *([parent.item_or_none(cat).alias("cat")] if cat else []))
+        return items.join(small_or_plain(offsets.where("n > 0").select("str_index", "n", "offset")), "str_index")
+
+    def chains(self, key: str | None, merge_strings: bool, n: int) -> DataFrame | None:
+        """(ord, items): the units of each string, pointers followed, as arrays, where they are known without any order of all units."""
+        return self._chains() if self._chains is not None and key is None and not merge_strings and n > 1 else None
 
     def item(self, key: str | None = None) -> Column:
         """A segment's content, or its annotation of that key, null where it has none."""
@@ -117,6 +133,25 @@ class Segmentation:
     def __iter__(self) -> Iterator[Row]:
         return self.ordered.orderBy("ord").toLocalIterator()
 
+    def each(self, make: Callable[[Iterator[Row]], Iterator[tuple]], schema: str) -> DataFrame:
+        """The rows that make draws from the segments of a task, which it meets where they are; none goes by the driver.
+
+        The segments of a string that were cut from it follow each other; ord tells their place in the whole.
+        """
+        ship(self._df.sparkSession)
+        seg = self.ordered
+        row = Row(*seg.columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row(*x) for b in batches for x in zip(*(c.to_pylist(maps_as_pydicts="strict") for c in b.columns), strict=True))
+            out = make(rows)
+            while part := list(islice(out, EACH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+        fields = T._parse_datatype_string(schema).fields
+        names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+        return seg.mapInArrow(run, schema)
+
     def set_segment(self, at: int, start: int, end: int, annotations: dict | None = None) -> Segmentation:
         """A segmentation with the segment of that ordinal moved inside its string's content."""
         here = F.col("ord") == at

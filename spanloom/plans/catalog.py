@@ -8,8 +8,10 @@ next four bytes. A row that is missing, doubled or labelled wrongly changes its
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from spanloom.operators.contain import contained_sequences, contains
 from spanloom.operators.segmentation import Segmentation
 from spanloom.operators.table import CrossTab
 from spanloom.plans.jobs import run_cancellable
-from spanloom.plans.session import scratch_path
+from spanloom.plans.session import scratch_path, ship
 from spanloom.sources import corpus
 from spanloom.sources.corpus import from_dataframe, from_texts
 from spanloom.streaming.counts import stream_counts
@@ -77,8 +79,26 @@ _UNNEST = "(SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '" + WO
 def checksum(df: DataFrame, *cols: str) -> DataFrame:
     """(part, n, digest) of rows of whole numbers, strings and booleans."""
     h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in cols)))
-    rows = df.select(h.alias("h"))
-    return rows.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("h", 3, 8), 16, 10).cast("long")).alias("digest"))
+    ship(df.sparkSession)
+    sums = df.select(F.substring(h, 1, 10).alias("h")).mapInArrow(_digit_sums, "part string, n long, digest long")
+    return sums.groupBy("part").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+
+
+def _digit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of rows of each first two hex digits of ten, and the sum of the other eight, by batch."""
+    for b in batches:
+        text = b.column(0)
+        if not len(text):
+            continue
+        first = text.offset
+        ends = np.frombuffer(text.buffers()[1], np.int32)
+        raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[first] : ends[first + len(text)]].reshape(-1, 10)
+        digits = ((raw & 15) + 9 * (raw > 57)).astype(np.int64)
+        part, rest = digits[:, 0] * 16 + digits[:, 1], digits[:, 2:] @ (16 ** np.arange(7, -1, -1))
+        n, low, high = np.bincount(part, minlength=256), np.bincount(part, rest & 0xFFFF, 256), np.bincount(part, rest >> 16, 256)
+        on = np.flatnonzero(n)
+        sums = (high[on].astype(np.int64) << 16) + low[on].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{p:02x}" for p in on]), pa.array(n[on].astype(np.int64)), pa.array(sums)], names=["part", "n", "digest"])
 
 
 def _checksum_sql(ctes: str, rows: str, *cols: str) -> str:
@@ -891,7 +911,7 @@ def set_item(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LIN} SELECT ord, doc_id, item[:3] AS head FROM lin")
 def iterate(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(r.ord, r.str_index, r.content[:3]) for r in lines(spark, d)], "ord long, doc_id long, head string")
+    return lines(spark, d).each(lambda rows: ((r.ord, r.str_index, r.content[:3]) for r in rows), "ord long, doc_id long, head string")
 
 
 @query(f"WITH {LIN}, n_ AS (SELECT count(*) AS n FROM lin) SELECT ord, {_LINE_ROW} FROM lin UNION ALL SELECT n + row_number() OVER (ORDER BY doc_id) - 1, doc_id, 0, len(text), md5(text) FROM documents, n_ WHERE text IS NOT NULL")
