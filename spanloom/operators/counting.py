@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +15,7 @@ from spanloom.functions.patterns import portable
 from spanloom.operators.contain import contained, contained_sequences
 from spanloom.operators.segmentation import NONE, Segmentation
 from spanloom.operators.table import CrossTab
+from spanloom.plans.session import ship
 
 GLOBAL = "__global__"
 
@@ -20,43 +26,144 @@ def _counted(pairs: DataFrame) -> CrossTab:
 
 def items_of(units: Segmentation, key: str | None = None) -> DataFrame:
     """(ord, str_index, real_str_index, item) of all units, in the JVM alone where the text gives them."""
-    runs = units.runs() if key is None and not units.recipe_pointers else None
+    runs = units.runs() if key is None else None
     if runs is None:
         return units.ordered.select("ord", "str_index", "real_str_index", units.item_or_none(key).alias("item"))
-    each = runs.select("str_index", "offset", F.posexplode("items").alias("pos", "item"))
-    return each.select((F.col("offset") + F.col("pos")).alias("ord"), "str_index", F.col("str_index").alias("real_str_index"), "item")
+    # outer: for explode alone Spark puts a filter by the array's size below, which cuts the text once more
+    each = runs.select("str_index", "real_str_index", "offset", F.posexplode_outer("items").alias("pos", "item"))
+    return each.select((F.col("offset") + F.col("pos")).alias("ord"), "str_index", "real_str_index", "item")
 
 
-def sequences(units: Segmentation, n: int, key: str | None = None, cross_strings: bool = True, by: str = "str_index") -> DataFrame:
-    """(ord, xs): the n consecutive units from each unit on, as an array, where there are so many.
+def _met(edge: DataFrame, n: int, by: list[str], cols: list[str]) -> DataFrame:
+    """The n consecutive units that lie in more than one string, as arrays, from the units near the strings' ends."""
+    parts = edge.select(F.explode(F.sequence(F.col("ord") - (n - 1), F.col("ord"))).alias("at"), "str_index", F.struct("ord", *cols).alias("x"), *by)
+    met = parts.groupBy("at", *by).agg(F.count(F.lit(1)).alias("k"), F.min("str_index").alias("lo"), F.max("str_index").alias("hi"), F.array_sort(F.collect_list("x")).alias("xs"))
+    return met.where((F.col("k") == n) & (F.col("lo") < F.col("hi"))).select(F.col("at").alias("ord"), *(F.col(f"xs.{c}").alias(f"{c}s") for c in cols))
+
 
-    Inside a string they are slices of the string's array of tokens, without a shuffle, or a
-    window over the string's units. Across strings, the last and first n - 1 units of each
-    string meet by their ordinals: only those rows are shuffled, and no window spans the corpus.
+def stretches(units: Segmentation, n: int, key: str | None = None, cross_strings: bool = True, by: str = "str_index", cat: str | None = None) -> DataFrame:
+    """(ord, items[, cats]): arrays of consecutive units; every n units that follow each other lie in one of them.
+
+    A string's tokens are one array, without a shuffle; other units are brought together by
+    their string, n to an array. Across strings, the last and first n - 1 units of each string
+    meet by their ordinals: only those rows are shuffled, and no window spans the corpus.
+    Strings that are brought together by another column follow each other in the order of their
+    numbers, even without cross_strings; ord then counts from the first of them. cat adds the
+    units' annotations of that key.
     """
-    runs = units.runs() if key is None and not units.recipe_pointers else None
-    if runs is not None:
-        size = F.size("items")
-        # the string's array from each of n places on, side by side: a slice copies the whole array, so there are n of them and not one for each unit
-        shifted = [F.slice("items", k + 1, size - (n - 1)).alias(f"x{k}") for k in range(n)]
-        each = runs.where(size >= n).select("offset", *shifted).select("offset", F.posexplode(F.arrays_zip(*(f"x{k}" for k in range(n)))).alias("pos", "x"))
-        inner = each.select((F.col("offset") + F.col("pos")).alias("ord"), F.array(*(F.col(f"x.x{k}") for k in range(n))).alias("xs"))
-        near = F.filter(F.transform("items", lambda x, i: F.struct((F.col("offset") + i).alias("ord"), i.alias("i"), x.alias("item"))), lambda x: (x["i"] < n - 1) | (x["i"] >= size - (n - 1)))
-        edge = runs.select("str_index", F.explode(near).alias("e")).select("str_index", F.col("e.ord").alias("ord"), F.col("e.item").alias("item"))
-    else:
-        u = items_of(units, key)
-        w = W.partitionBy(by).orderBy("ord")
+    cols = ["item"] if cat is None else ["item", "cat"]
+    runs = units.runs(cat) if key is None else None
+    if runs is None:
+        u = units.ordered.select("ord", "str_index", "real_str_index", units.item_or_none(key).alias("item"), *([units.item_or_none(cat).alias("cat")] if cat is not None else []))
         if n == 1:
-            return u.select("ord", F.array("item").alias("xs"))
-        last = F.lead("item", n - 1).over(w)
-        inner = u.select("ord", F.array(F.col("item"), *(F.lead("item", k).over(w) for k in range(1, n))).alias("xs"), last.isNotNull().alias("ok")).where("ok").drop("ok")
+            return u.select("ord", *(F.array(c).alias(f"{c}s") for c in cols))
+        w = W.partitionBy(by).orderBy("ord")
+        inner = u.select("ord", *(F.array(F.col(c), *(F.lead(c, k).over(w) for k in range(1, n))).alias(f"{c}s") for c in cols), F.lead("item", n - 1).over(w).isNotNull().alias("ok")).where("ok").drop("ok")
+        if not cross_strings:
+            return inner
         edge = u.withColumn("from_end", F.row_number().over(W.partitionBy("str_index").orderBy(F.desc("ord")))).withColumn("from_start", F.row_number().over(W.partitionBy("str_index").orderBy("ord")))
-        edge = edge.where((F.col("from_end") < n) | (F.col("from_start") < n)).select("str_index", "ord", "item")
-    if not cross_strings or n == 1:
+        return inner.unionByName(_met(edge.where((F.col("from_end") < n) | (F.col("from_start") < n)), n, [], cols))
+    size = F.col("n").cast("int")
+    many = [] if cat is None else [F.array_repeat("cat", size).alias("cats")]
+    inner = runs.where(size >= n).select(F.col("offset").alias("ord"), "items", *many)
+    chained = by == "real_str_index" and units.recipe_pointers
+    if n == 1 or not (cross_strings or chained):
         return inner
-    parts = edge.select(F.explode(F.sequence(F.col("ord") - (n - 1), F.col("ord"))).alias("at"), "ord", "item", "str_index")
-    met = parts.groupBy("at").agg(F.count(F.lit(1)).alias("k"), F.min("str_index").alias("lo"), F.max("str_index").alias("hi"), F.collect_list(F.struct("ord", "item")).alias("xs")).where((F.col("k") == n) & (F.col("lo") < F.col("hi")))
-    return inner.unionByName(met.select(F.col("at").alias("ord"), F.transform(F.array_sort("xs"), lambda x: x["item"]).alias("xs")))
+    chain = []
+    if not cross_strings:
+        chain = ["real_str_index"]
+        before = W.partitionBy(*chain).orderBy("str_index").rowsBetween(W.unboundedPreceding, -1)
+    head = F.least(size, F.lit(n - 1))
+    tail = F.greatest(size - (n - 1), head)
+    near = F.concat(
+        F.transform(F.slice("items", 1, head), lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("item"))),
+        F.transform(F.slice("items", tail + 1, size - tail), lambda x, i: F.struct((tail + i).cast("long").alias("pos"), x.alias("item"))),
+    )
+    edge = runs.select("str_index", *chain, "offset", "n", near.alias("near"), *cols[1:])
+    if chain:
+        edge = edge.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    edge = edge.select("str_index", *chain, "offset", F.explode_outer("near").alias("e"), *cols[1:]).select("str_index", *chain, (F.col("offset") + F.col("e.pos")).alias("ord"), F.col("e.item").alias("item"), *cols[1:])
+    return inner.unionByName(_met(edge, n, chain, cols))
+
+
+def sequences(units: Segmentation, n: int, key: str | None = None, cross_strings: bool = True, by: str = "str_index") -> DataFrame:
+    """(ord, xs): the n consecutive units from each unit on, as an array, where there are so many."""
+    size = F.size("items")
+    # the array from each of n places on, side by side: a slice copies the whole array, so there are n of them and not one for each unit
+    shifted = [F.slice("items", k + 1, size - (n - 1)).alias(f"x{k}") for k in range(n)]
+    each = stretches(units, n, key, cross_strings, by).select("ord", *shifted).select("ord", F.posexplode(F.arrays_zip(*(f"x{k}" for k in range(n)))).alias("pos", "x"))
+    return each.select((F.col("ord") + F.col("pos")).alias("ord"), F.array(*(F.col(f"x.x{k}") for k in range(n))).alias("xs"))
+
+
+#: Units of windows that are laid side by side at a time.
+WINDOW_UNITS = 1 << 20
+
+
+def windowed(arrays: DataFrame, n: int, each: Callable, schema: str, seq_length: int = 1, delimiter: str = "#", ranked: bool = False, pairs: bool = False) -> DataFrame:
+    """What each makes of the windows of n units in arrays (of stretches), some windows at a time, in Python workers.
+
+    each(window, codes, names, cats) gets the windows' ordinals, a matrix of the units' (or
+    n-grams') codes with a row for each window, the units of the codes, and a like matrix of
+    categories' codes or None; it gives columns. Codes hold for one call, and are in the order
+    of the units if ranked; fewer windows come at a time if pairs are made of them. A batch's windows are views of its arrays, so nothing is copied by
+    window in the JVM and nothing is shuffled.
+    """
+    ship(arrays.sparkSession)
+    has_cats = "cats" in arrays.columns
+    m = n - seq_length + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            window, at = places(b.column(0), b.column(1), n)
+            if not len(at):
+                continue
+            flat = b.column(1).flatten()
+            if seq_length > 1:
+                flat = joined(flat, seq_length, delimiter)
+            codes, names = encoded(flat, ranked)
+            cats = encoded(b.column(2).flatten(), False)[0] if has_cats else None
+            step = max(1, WINDOW_UNITS // (m * m if pairs else m))
+            for lo in range(0, len(at), step):
+                view = at[lo : lo + step, None] + np.arange(m)
+                yield from each(window[lo : lo + step], codes[view], names, None if cats is None else cats[view])
+
+    return arrays.select("ord", "items", *(["cats"] if has_cats else [])).mapInArrow(run, schema)
+
+
+def places(ords: pa.Array, items: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ordinal, place among all items) of the first of each n items that follow each other in a list."""
+    sizes = np.diff(items.offsets.to_numpy())
+    first = np.cumsum(sizes) - sizes
+    k = np.maximum(sizes - n + 1, 0)
+    within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return np.repeat(ords.to_numpy(), k) + within, np.repeat(first, k) + within
+
+
+def joined(flat: pa.Array, n: int, delimiter: str) -> pa.Array:
+    """The n-gram from each place on; the last n - 1 have none."""
+    size = max(len(flat) - n + 1, 0)
+    return pc.binary_join_element_wise(*(flat.slice(k, size) for k in range(n)), delimiter)
+
+
+def encoded(flat: pa.Array, ranked: bool) -> tuple[np.ndarray, pa.Array]:
+    """(codes, values): the array by numbers of its values, which are in order if ranked."""
+    d = flat.dictionary_encode()
+    codes, names = d.indices.to_numpy(), d.dictionary
+    if ranked:
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes, names = rank[codes], names.take(pa.array(order))
+    return codes, names
+
+
+def tallies(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, f): how often each code is in each row of a matrix; by row and code."""
+    x = np.sort(codes, axis=1)
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = x[:, 1:] != x[:, :-1]
+    at = np.flatnonzero(new.ravel())
+    return at // x.shape[1], x.ravel()[at], np.diff(np.append(at, x.size))
 
 
 def ngrams(units: Segmentation, n: int, key: str | None = None, delimiter: str = "#", cross_strings: bool = True) -> DataFrame:
@@ -104,13 +211,6 @@ def _in_place(units: Segmentation, ctx: Column | None, unit_key: str | None, any
     return parent.df.select((F.lit(GLOBAL) if anywhere else ctx).alias("row_id"), tokens.alias("col_id"))
 
 
-def windows_of(ord_: Column, n: Column, size: int, length: int = 1) -> Column:
-    """The windows (from 0) of a sequence of n units that hold the n-gram beginning at ord_."""
-    lo = F.greatest(F.lit(0).cast("long"), ord_ + length - size)
-    hi = F.least(ord_, n - size)
-    return F.when(hi >= lo, F.sequence(lo, hi))
-
-
 def in_windows(units: Segmentation, window_size: int, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> DataFrame:
     """(window from 0, units): the units or n-grams of every window of consecutive units, in order."""
     if window_size < seq_length:
@@ -124,13 +224,16 @@ def in_windows(units: Segmentation, window_size: int, unit_key: str | None = Non
 def window_counts(units: Segmentation, window_size: int, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> DataFrame:
     """(window from 0, unit, value): how often each unit occurs in each window.
 
-    A window's units are one row, so they are counted there and nothing is shuffled by window.
+    A window's units lie side by side, so they are counted there and nothing is shuffled by window.
     """
-    w = in_windows(units, window_size, unit_key, seq_length, delimiter)
-    if window_size == seq_length:
-        return w.select("window", F.col("units")[0].alias("unit"), F.lit(1).cast("long").alias("value"))
-    each = F.transform(F.array_distinct("units"), lambda u: F.struct(u.alias("unit"), F.size(F.filter("units", lambda x: x == u)).cast("long").alias("value")))
-    return w.select("window", F.inline(each))
+    if window_size < seq_length:
+        raise ValueError("a window must hold an n-gram")
+
+    def each(window, codes, names, _):
+        row, code, f = tallies(codes)
+        yield pa.RecordBatch.from_arrays([pa.array(window[row]), names.take(pa.array(code)), pa.array(f.astype(np.int64))], names=["window", "unit", "value"])
+
+    return windowed(stretches(units, window_size, unit_key), window_size, each, "window long, unit string, value long", seq_length, delimiter)
 
 
 def count_in_window(units: Segmentation, window_size: int = 1, unit_key: str | None = None, seq_length: int = 1, delimiter: str = "#") -> CrossTab:
@@ -149,14 +252,24 @@ def count_in_chain(
     string, pointers followed, unless merge_strings.
     """
     total = left_size + seq_length + right_size
-    g = sequences(units, total, unit_key, merge_strings, "str_index" if merge_strings else "real_str_index")
-    parts = F.col("xs")
+    if (chains := units.chains(unit_key, merge_strings, total)) is None:
+        chains = stretches(units, total, unit_key, merge_strings, "str_index" if merge_strings else "real_str_index")
+    ship(chains.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, at = places(b.column(0), b.column(1), total)
+            flat, here = b.column(1).flatten(), pa.array(at)
+            if not len(at):
+                continue
+
+            def part(first: int, n: int) -> pa.Array | str:
+                return joined(flat.slice(first), n, delimiter).take(here) if n else ""
 
-    def joined(a: int, b: int) -> Column:
-        return F.array_join(F.slice(parts, a + 1, b - a), delimiter) if b > a else F.lit("")
+            row = pc.binary_join_element_wise(part(0, left_size), pa.scalar(marker), part(left_size + seq_length, right_size), "") if left_size + right_size else pa.array([marker] * len(at))
+            yield pa.RecordBatch.from_arrays([row, part(left_size, seq_length)], names=["row_id", "col_id"])
 
-    row = F.concat(joined(0, left_size), F.lit(marker), joined(left_size + seq_length, total))
-    return _counted(g.select(row.alias("row_id"), joined(left_size, left_size + seq_length).alias("col_id")))
+    return _counted(chains.select("ord", "items").mapInArrow(run, "row_id string, col_id string"))
 
 
-__all__ = ["GLOBAL", "NONE", "count_in_chain", "count_in_context", "count_in_window", "in_windows", "items_of", "ngrams", "sequences", "window_counts", "windows_of"]
+__all__ = ["GLOBAL", "NONE", "count_in_chain", "count_in_context", "count_in_window", "in_windows", "items_of", "ngrams", "sequences", "stretches", "window_counts", "windowed"]

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.contain import contained
-from spanloom.operators.counting import GLOBAL, count_in_context, window_counts, windows_of
+from spanloom.operators.counting import GLOBAL, count_in_context, stretches, tallies, window_counts, windowed
 from spanloom.operators.segmentation import Segmentation
 from spanloom.plans.session import ship
 
@@ -28,14 +29,78 @@ def _in_context(units: Segmentation, contexts: Segmentation | None, unit_key, ca
     return rows.groupBy("context", "cat", "unit").agg(F.count(F.lit(1)).alias("f"))
 
 
+def _with_cats(units: Segmentation, window_size: int, unit_key, category_key) -> tuple[DataFrame, bool, bool]:
+    """(stretches of units and their categories, whether these are the other way round, whether units are their own categories)."""
+    if category_key is not None:
+        return stretches(units, window_size, unit_key, cat=category_key), False, False
+    # the contents are the categories
+    return stretches(units, window_size, None, cat=unit_key), unit_key is not None, unit_key is None
+
+
 def _in_window(units: Segmentation, window_size: int, unit_key, category_key, seq_length, delimiter, per_category) -> DataFrame:
+    """(context, cat, unit, f)."""
+    name = (F.col("window") + 1).cast("string").alias("context")
+    if not per_category:
+        w = window_counts(units, window_size, unit_key, seq_length, delimiter)
+        return w.select(name, F.lit(None).cast("string").alias("cat"), "unit", F.col("value").alias("f"))
+    n = units.ordered.agg(F.count(F.lit(1)).alias("total"))
+    u = units.ordered.select("ord", units.item_or_none(category_key).alias("cat"), units.item_or_none(unit_key).alias("unit")).crossJoin(F.broadcast(n))  # one row
+    lo, hi = F.greatest(F.lit(0).cast("long"), F.col("ord") + 1 - window_size), F.least("ord", F.col("total") - window_size)
+    rows = u.select(F.explode(F.when(hi >= lo, F.sequence(lo, hi))).alias("window"), "cat", "unit")
+    return rows.groupBy(name, "cat", "unit").agg(F.count(F.lit(1)).alias("f"))
+
+
+def _by_row(row: np.ndarray, f: np.ndarray, n: int, weighting: bool) -> np.ndarray:
+    """The number of types of each row, or their perplexity, from their frequencies."""
+    if not weighting:
+        return np.bincount(row, minlength=n).astype(float)
+    total = np.bincount(row, f, n)
+    return np.exp(np.log(total) - np.bincount(row, f * np.log(f), n) / total)
+
+
+def _by_category(codes: np.ndarray, cats: np.ndarray, weighting: bool, category_weighting: bool) -> np.ndarray:
+    """The mean of each row's categories' diversities."""
+    kinds = int(codes.max()) + 1
+    row, pair, f = tallies(cats.astype(np.int64) * kinds + codes)
+    # a row's pairs are in order, so those of a category follow each other
+    cat = pair // kinds
+    new = np.append(True, (row[1:] != row[:-1]) | (cat[1:] != cat[:-1]))
+    group = np.cumsum(new) - 1
+    of = row[new]
+    v = _by_row(group, f, len(of), weighting)
+    w = np.bincount(group, f) if category_weighting else np.ones(len(of))
+    return np.bincount(of, v * w, len(codes)) / np.bincount(of, w, len(codes))
+
+
+def _of_windows(units: Segmentation, window_size: int, unit_key, category_key, seq_length, delimiter, weighting, per_category, category_weighting, size: int | None) -> DataFrame:
+    """(context, variety), or (context, expected_variety) of size draws: measured where a window's units lie side by side, without a shuffle."""
+    if window_size < seq_length:
+        raise ValueError("a window must hold an n-gram")
+    total = window_size - seq_length + 1
+    turned = same = False
     if per_category:
-        n = units.ordered.agg(F.count(F.lit(1)).alias("total"))
-        u = units.ordered.select("ord", units.item_or_none(category_key).alias("cat"), units.item_or_none(unit_key).alias("unit")).crossJoin(F.broadcast(n))  # one row
-        rows = u.select(F.explode(windows_of(F.col("ord"), F.col("total"), window_size)).alias("window"), "cat", "unit")
-        return rows.groupBy((F.col("window") + 1).cast("string").alias("context"), "cat", "unit").agg(F.count(F.lit(1)).alias("f"))
-    w = window_counts(units, window_size, unit_key, seq_length, delimiter)
-    return w.select((F.col("window") + 1).cast("string").alias("context"), F.lit(None).cast("string").alias("cat"), "unit", F.col("value").alias("f"))
+        arrays, turned, same = _with_cats(units, window_size, unit_key, category_key)
+    else:
+        arrays = stretches(units, window_size, unit_key)
+    if size is not None:
+        seen = np.array([1 - _none_drawn(total, size, f) for f in range(total + 1)])
+
+    def each(window, codes, _, cats):
+        if size is not None:
+            if total < size:
+                return
+            row, _, f = tallies(codes)
+            got = np.bincount(row, seen[f], len(codes))
+        elif per_category:
+            cats = codes if same else cats
+            got = _by_category(*((cats, codes) if turned else (codes, cats)), weighting, category_weighting)
+        else:
+            row, _, f = tallies(codes)
+            got = _by_row(row, f, len(codes), weighting)
+        yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(got)], names=["window", "measure"])
+
+    t = windowed(arrays, window_size, each, "window long, measure double", seq_length, delimiter)
+    return t.select((F.col("window") + 1).cast("string").alias("context"), F.col("measure").alias("variety" if size is None else "expected_variety"))
 
 
 def _perplexity(f: str = "f") -> Column:
@@ -69,16 +134,15 @@ def expected_variety(freq: DataFrame, size: int, by: str = "context") -> DataFra
     return kinds.join(totals, by).groupBy(by).agg(F.sum(F.col("m") * (1 - _absent(F.col("total"), size, F.col("f")))).alias("expected"))
 
 
+def _none_drawn(total: int, size: int, f: int) -> float:
+    """_absent of a number."""
+    i = np.arange(min(f, size))
+    return 0.0 if f > total - size else float(np.prod((total - max(f, size) - i) / (total - i)))
+
+
 def _expected(counts: np.ndarray, size: int) -> float:
     total = int(counts.sum())
-    out = 0.0
-    for f, m in zip(*np.unique(counts, return_counts=True), strict=True):
-        if f > total - size:
-            out += m
-            continue
-        i = np.arange(min(int(f), size))
-        out += m * (1 - float(np.prod((total - max(int(f), size) - i) / (total - i))))
-    return out
+    return sum((m * (1 - _none_drawn(total, size, int(f))) for f, m in zip(*np.unique(counts, return_counts=True), strict=True)), 0.0)
 
 
 def adjusted_size(counts: np.ndarray, size: int, target: float) -> int:
@@ -142,14 +206,19 @@ def _resampled(freq: DataFrame, size: int, repeats: int, seed: int, weighting: b
 def _measure(freq: DataFrame, weighting, per_category, category_weighting, adjust, resample, size, repeats, seed, always_size: bool) -> DataFrame:
     if not resample:
         return _variety(freq, weighting, per_category, category_weighting)
-    if not size or size < 1:
-        raise ValueError("resampling needs a subsample_size")
+    _draws(size)
     if per_category or weighting:
         adjust = adjust and per_category
         return _resampled(freq, size, repeats or 0, seed, weighting, per_category, category_weighting, adjust, adjust or (always_size and per_category))
     return expected_variety(freq, size).withColumnRenamed("expected", "expected_variety")
 
 
+def _draws(size: int | None) -> int:
+    if not size or size < 1:
+        raise ValueError("resampling needs a subsample_size")
+    return size
+
+
 def _checked(per_category: bool, seq_length: int) -> None:
     if per_category and seq_length > 1:
         raise ValueError("diversity per category is measured on single units, not on sequences")
@@ -181,5 +250,8 @@ def variety_in_window(
 ) -> DataFrame:
     """variety_in_context for each window of consecutive units, numbered from 1."""
     _checked(per_category, seq_length)
+    if not resample or not (per_category or weighting):
+        size = _draws(subsample_size) if resample else None
+        return _of_windows(units, window_size, unit_key, category_key, seq_length, delimiter, weighting, per_category, category_weighting, size)
     freq = _in_window(units, window_size, unit_key, category_key, seq_length, delimiter, per_category)
     return _measure(freq, weighting, per_category, category_weighting, adjust, resample, subsample_size, num_subsamples, seed, True)
