@@ -6,12 +6,14 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from spanloom.operators.counting import count_in_window
-from spanloom.operators.diversity import variety_in_window
+from spanloom.operators import concordance
 from spanloom.operators.concordance import cooc_in_window
+from spanloom.operators.counting import count_in_chain, count_in_window
+from spanloom.operators.diversity import variety_in_window
 from spanloom.operators.segmentation import Segmentation
-from spanloom.operators.segmenters import tokenize
+from spanloom.operators.segmenters import concatenate, recode, select, tokenize
 from spanloom.plans import catalog
+from spanloom.plans.session import materialize
 from spanloom.sources.corpus import from_dataframe
 
 TEXTS = [(1, "a b a c", "x"), (2, "b", "y"), (3, "a a b c d a b", "x"), (7, "d", "z"), (8, "c d", "x")]
@@ -142,3 +144,65 @@ def test_checksum_of_odd_rows(spark):
     assert "MapInArrow" in plan(t)
     assert {r.part: (r.n, r.digest) for r in t.collect()} == want
     assert catalog.checksum(df.where("false"), "a", "b").count() == 0
+
+
+def test_recoded_chains_need_no_order(spark, u, monkeypatch):
+    """Transitions of recoded words are read off the strings; no word is numbered, written or sorted."""
+    monkeypatch.setattr(Segmentation, "ordered", property(lambda self: pytest.fail("all words were put in order")))
+    t = count_in_chain(recode(u, [("b", "B")])[0]).df
+    want = Counter()
+    for _, text, _ in TEXTS:
+        kept = [w for w in text.split() if w != "b"]
+        want.update((a + "_", b) for a, b in zip(kept, kept[1:], strict=False))
+    assert {(r.row_id, r.col_id): r.value for r in t.collect()} == want
+
+
+def test_recoded_case_is_not_written(spark, u, monkeypatch):
+    from spanloom.operators import segmenters
+
+    monkeypatch.setattr(segmenters, "materialize", lambda df, name: pytest.fail(f"{name} was written") if name == "recoded" else materialize(df, name))
+    out, total = recode(u, case="upper")
+    assert [r.content for r in out.ordered.orderBy("ord").collect()] == [w.upper() for w in WORDS] and total.first()[0] == 0
+    assert min(r.str_index for r in out.df.collect()) == 9
+
+
+def test_patterns_merge_inside_their_string(spark):
+    docs = from_dataframe(spark.createDataFrame([(1, "a 1 22 b3", "x"), (2, "7", "y"), (3, "-", "z")], "id long, text string, kind string"), "id", "text", ["kind"])
+    seg = tokenize(docs, [(r"\w+", "tokenize", {"t": "word"}), ("[0-9]+", "tokenize", {"t": "number", "d": "yes"}), (" ", "split", {"s": "part"})], merge=True)
+    assert not {"start", "str_index"} & shuffled_by(seg.df)
+    got = [(r.str_index, r.content, dict(r.annotations)) for r in seg.ordered.orderBy("ord").collect()]
+    num, word, part = {"t": "number", "d": "yes"}, {"t": "word"}, {"s": "part"}
+    want = [(1, "a", word | part), (1, "1", num | part), (1, "22", num | part), (1, "b3", word | part), (1, "3", num), (2, "7", num | part), (3, "-", part)]
+    assert got == [(i, c, a | {"kind": "xxyz"[i]}) for i, c, a in want]
+
+
+@pytest.mark.parametrize("merge", [False, True])
+@pytest.mark.parametrize("order", [False, True])
+def test_concatenation_shuffles_strings(spark, merge, order):
+    rows = [(1, "a b\nc", "x"), (2, "d", "y"), (5, "\n", "z"), (7, "1 e\n2", "x"), (9, "3", "y")]
+    docs = from_dataframe(spark.createDataFrame(rows, "id long, text string, kind string"), "id", "text", ["kind"])
+    lines, words = tokenize(docs, [(r"[^\n]+", "tokenize")], "lines"), tokenize(docs, [(r"[\p{L}\p{N}]+", "tokenize")], "words")
+    inputs = [select(words, "[0-9]", label="numbers")[0], lines, words]
+    both = concatenate(inputs, sort=order, merge=merge)
+    assert not {"start", "end"} & shuffled_by(both.df)
+    got = [(r.str_index, r.start, r.end, r.annotations["component_label"], r.annotations["kind"], r.content) for r in both.ordered.orderBy("ord").collect()]
+    for s in inputs:
+        s.cuts = None
+    plain = concatenate(inputs, sort=order, merge=merge)
+    assert got == [(r.str_index, r.start, r.end, r.annotations["component_label"], r.annotations["kind"], r.content) for r in plain.ordered.orderBy("ord").collect()]
+    assert len(got) == (10 if merge else 17)
+
+
+def test_only_strings_with_units_meet_their_tokens(spark, monkeypatch):
+    rows = [(1, "a 1 b", "x"), (2, "2", "y"), (3, "c d e", "x"), (4, "3 f", "x")]
+    docs = from_dataframe(spark.createDataFrame(rows, "id long, text string, kind string"), "id", "text", ["kind"])
+    words = tokenize(docs, [("[a-z0-9]+", "tokenize")])
+    units = select(words, "^[0-9]+$")[0]
+    monkeypatch.setattr(concordance, "contained", lambda *_: pytest.fail("all tokens were joined by place"))
+    got = [tuple(r) for r in concordance.neighbors(units, words, max_distance=2).orderBy("id").collect()]
+    assert got == [(1, 2, None, "a", "1", "b", None), (2, 4, None, None, "2", None, None), (3, 8, None, None, "3", "f", None)]
+    got = [tuple(r) for r in concordance.neighbors(units, words, max_distance=2, merge_strings=True).orderBy("id").collect()]
+    assert got == [(1, 2, None, "a", "1", "b", "2"), (2, 4, "1", "b", "2", "c", "d"), (3, 8, "d", "e", "3", "f", None)]
+    for merge, want in ((False, {"a": 1, "b": 1, "f": 1}), (True, {"a": 1, "b": 1, "f": 1, "c": 1, "d": 1, "e": 1, "1": 1, "2": 1})):
+        t = concordance.collocations(units, words, max_distance=2, merge_strings=merge)
+        assert {r.unit: r.local_freq for r in t.collect()} == want
