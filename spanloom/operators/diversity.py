@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.patterns import portable
 from spanloom.operators.contain import contained
 from spanloom.operators.counting import GLOBAL, count_in_context, stretches, tallies, window_counts, windowed
 from spanloom.operators.segmentation import Segmentation
@@ -22,7 +24,12 @@ def _in_context(units: Segmentation, contexts: Segmentation | None, unit_key, ca
         t = count_in_context(units, contexts, unit_key, seq_length, delimiter, context_key, merge).df
         return t.select(F.col("row_id").alias("context"), F.lit(None).cast("string").alias("cat"), F.col("col_id").alias("unit"), F.col("value").alias("f"))
     cols = {"cat": units.item_or_none(category_key), "unit": units.item_or_none(unit_key)}
-    if contexts is None:
+    if contexts is not None and contexts.disjoint and category_key and not unit_key and units.recipe and units.recipe[0] is contexts and portable(units.recipe[1]):
+        # plain tokens have their parent's annotations, so they are counted where its text is
+        name = F.lit(GLOBAL) if merge else contexts.item_or_none(context_key)
+        tokens = F.explode_outer(F.regexp_extract_all("content", F.lit(units.recipe[1]), F.lit(0)))
+        rows = contexts.df.select(name.alias("context"), contexts.item_or_none(category_key).alias("cat"), tokens.alias("unit")).where("unit IS NOT NULL")
+    elif contexts is None:
         rows = units.df.select(F.lit(GLOBAL).alias("context"), *(e.alias(n) for n, e in cols.items()))
     else:
         rows = contained(units, contexts, cols, {"context": F.lit(GLOBAL) if merge else contexts.item_or_none(context_key)})
@@ -186,20 +193,44 @@ def _resampled(freq: DataFrame, size: int, repeats: int, seed: int, weighting: b
     else:
         freq = freq.withColumn("target", F.lit(None).cast("double"))
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.assign(cat=t["cat"].fillna("")).sort_values(["cat", "unit"], kind="stable")
-        f = t["f"].to_numpy(np.int64)
-        codes, names = pd.factorize(t["cat"])
-        context, n = t["context"].iloc[0], size
+    def drawn(context: str, f: np.ndarray, cats: pa.ChunkedArray, target: float | None) -> tuple | None:
+        n = size
         if f.sum() < size:
-            return pd.DataFrame(columns=["context", "variety_average", "variety_std_deviation", "subsample_size", "variety_count"])
+            return None
+        d = cats.combine_chunks().dictionary_encode()
+        codes, names = d.indices.to_numpy(), d.dictionary
         if adjust:
-            n = adjusted_size(np.bincount(codes, f).astype(np.int64), size, float(t["target"].iloc[0]))
+            n = adjusted_size(np.bincount(codes, f).astype(np.int64), size, float(target))
         rng = np.random.default_rng([seed, zlib.crc32(str(context).encode())])
         got = [_sample_measure(rng.multivariate_hypergeometric(f, n, method="marginals"), codes, len(names), weighting, per_category, category_weighting) for _ in range(repeats)]
-        return pd.DataFrame({"context": [context], "variety_average": [np.mean(got)], "variety_std_deviation": [np.std(got)], "subsample_size": [n], "variety_count": [repeats]})
-
-    out = freq.groupBy("context").applyInPandas(run, "context string, variety_average double, variety_std_deviation double, subsample_size long, variety_count long")
+        return context, np.mean(got), np.std(got), n, repeats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cats, fs, target, out = None, [], [], None, []
+        for b in batches:
+            contexts = b.column(0).dictionary_encode()
+            codes = contexts.indices.to_numpy()
+            if not len(codes):
+                continue
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for lo, hi in pairwise(cuts):
+                name = contexts.dictionary[int(codes[lo])].as_py()
+                if fs and name != at:
+                    out.append(drawn(at, np.concatenate(fs), pa.chunked_array(cats), target))
+                    cats, fs = [], []
+                at, target = name, b.column(3)[lo].as_py()
+                cats.append(b.column(1).slice(lo, hi - lo))
+                fs.append(b.column(2).slice(lo, hi - lo).to_numpy())
+        if fs:
+            out.append(drawn(at, np.concatenate(fs), pa.chunked_array(cats), target))
+        rows = [r for r in out if r]
+        if rows:
+            kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["context", "variety_average", "variety_std_deviation", "subsample_size", "variety_count"])
+
+    # a context's frequencies come in the order of their categories and units; the units themselves stay in the JVM
+    placed = freq.withColumn("cat", F.coalesce("cat", F.lit(""))).repartition("context").sortWithinPartitions("context", "cat", "unit")
+    out = placed.select("context", "cat", "f", "target").mapInArrow(run, "context string, variety_average double, variety_std_deviation double, subsample_size long, variety_count long")
     return out if show_size else out.drop("subsample_size")
 
 

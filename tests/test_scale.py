@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from spanloom.operators import concordance
+from spanloom.operators import concordance, diversity
 from spanloom.operators.concordance import cooc_in_window
 from spanloom.operators.counting import count_in_chain, count_in_window
 from spanloom.operators.diversity import variety_in_window
@@ -14,7 +14,7 @@ from spanloom.operators.segmentation import Segmentation
 from spanloom.operators.segmenters import concatenate, recode, select, tokenize
 from spanloom.plans import catalog
 from spanloom.plans.session import materialize
-from spanloom.sources.corpus import from_dataframe
+from spanloom.sources.corpus import from_dataframe, with_pointers
 
 TEXTS = [(1, "a b a c", "x"), (2, "b", "y"), (3, "a a b c d a b", "x"), (7, "d", "z"), (8, "c d", "x")]
 
@@ -206,3 +206,23 @@ def test_only_strings_with_units_meet_their_tokens(spark, monkeypatch):
     for merge, want in ((False, {"a": 1, "b": 1, "f": 1}), (True, {"a": 1, "b": 1, "f": 1, "c": 1, "d": 1, "e": 1, "1": 1, "2": 1})):
         t = concordance.collocations(units, words, max_distance=2, merge_strings=merge)
         assert {r.unit: r.local_freq for r in t.collect()} == want
+
+
+def test_pointer_chains_need_no_order(spark, monkeypatch):
+    docs = from_dataframe(spark.createDataFrame([(1, "a b c"), (2, "d"), (3, "e f")], "id long, text string"), "id", "text")
+    more = with_pointers(docs, spark.createDataFrame([(11, 1), (12, 2), (13, 2)], "str_index long, target long"))
+    monkeypatch.setattr(Segmentation, "token_offsets", lambda self: pytest.fail("all words were numbered"))
+    for left, right in ((1, 0), (2, 1)):
+        n = left + right + 1
+        want = Counter(("#".join(x[:left]) + "_" + "#".join(x[left + 1 :]), x[left]) for xs in ("abcabc", "ddd", "ef") for x in windows(n, list(xs)))
+        t = count_in_chain(tokenize(more, [("[a-z]+", "tokenize")]), left, right).df
+        assert {(r.row_id, r.col_id): r.value for r in t.collect()} == want
+
+
+def test_resampling_counts_tokens_in_place(spark, monkeypatch):
+    """Categories of plain tokens are their strings', so no token is joined with its context."""
+    monkeypatch.setattr(diversity, "contained", lambda *_: pytest.fail("all tokens were joined with their contexts"))
+    rows = [(i, "a b c d e f g h", "xy"[i % 2], "uv"[i // 4]) for i in range(8)]
+    docs = from_dataframe(spark.createDataFrame(rows, "id long, text string, kind string, part string"), "id", "text", ["kind", "part"])
+    t = diversity.variety_in_context(tokenize(docs, [("[a-z]+", "tokenize")]), docs, per_category=True, category_key="kind", context_key="part", adjust=False, resample=True, subsample_size=32, num_subsamples=3)
+    assert {r.context: (r.variety_average, r.variety_std_deviation, r.variety_count) for r in t.collect()} == {"u": (8.0, 0.0, 3), "v": (8.0, 0.0, 3)}
